@@ -61,7 +61,8 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     )
     # The water level if all before this one are capped; the first at which this one is not.
     level = (F.col("total") - F.col("capped")) / F.col("open_w")
-    s = s.withColumn("level", F.min(F.when(level <= F.col("cap") / F.col("w"), level)).over(everything))
+    turn = F.col("cap") / F.col("w")
+    s = s.withColumn("level", F.min(F.when(level <= turn, F.struct(turn.alias("turn"), level.alias("level")))).over(everything)["level"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
     return s.withColumn("target", target).drop("w", "cap", "capped", "open_w", "total", "level")
 
