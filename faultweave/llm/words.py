@@ -1,7 +1,7 @@
 """Vectorised word hashing over Arrow string columns.
 
-A batch of texts is one byte buffer. A table sends each byte to its folded form, or to
-0 if it separates words; words are runs of other bytes inside one text. A word's hash
+A batch of texts is one byte buffer. A table sends each byte to its folded form plus
+1, or to 0 if it separates words; words are runs of other bytes inside one text. A word's hash
 is a polynomial in random 64-bit values of its bytes, taken from a running sum, so that
 no step is a loop over words. Hashes depend on nothing but the word's bytes.
 """
@@ -31,8 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_RANDOM = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
-_RANDOM[0] = 0
+#: A random value for each folded byte; 0, a separator, counts nothing.
+_RANDOM = mix(np.arange(257, dtype=U) * U(0xA0761D6478BD642F))
 
 
 class _Powers:
@@ -54,7 +54,7 @@ _powers = _Powers()
 def folding(separators: bytes | None = None, lower: bool = True) -> np.ndarray:
     """Byte table. Default: all ASCII but letters and digits separates. Bytes from 0x80
     on belong to words."""
-    table = np.arange(256, dtype=np.uint8)
+    table = np.arange(1, 257, dtype=np.uint16)
     keep = np.ones(256, bool)
     if separators is None:
         keep[:128] = [chr(i).isalnum() for i in range(128)]
@@ -69,9 +69,9 @@ def folding(separators: bytes | None = None, lower: bool = True) -> np.ndarray:
 #: Words of letters and digits, A-Z folded.
 WORDS = folding()
 #: Words between white space ``[\x20\x09-\x0D]``, A-Z folded.
-TOKENS = folding(b"\x00\t\n\x0b\x0c\r ")
+TOKENS = folding(b"\t\n\x0b\x0c\r ")
 #: The same, letter case kept.
-CASED = folding(b"\x00\t\n\x0b\x0c\r ", lower=False)
+CASED = folding(b"\t\n\x0b\x0c\r ", lower=False)
 
 
 @dataclass
