@@ -1,15 +1,61 @@
-"""A pipeline of training-data stages over ``documents``."""
+"""From raw documents to a training mix.
+
+``STAGES`` are ``(name, function)`` pairs; a function takes ``(spark, docs, sf_dir)`` and
+returns a DataFrame, which is written and read again as the next one's ``docs``. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultweave.llm import decontam, line_dedup, mixing, ngram_join, quality
+from faultweave.llm.common import staged, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.learn(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
+    return quality.scored(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+
+
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each without the lines that many share."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs, staged(ngram_join.near_duplicates(docs), "near"))
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_contaminated(docs, decontam.contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.mix(docs, keep=("lang",)).select("doc_id", "source", "lang", "size", "source_size", "target", "taken", "epochs")
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("lines", fresh_lines),
+    ("near_duplicates", one_of_each),
+    ("benchmark", no_benchmark),
+    ("mix", source_mix),
+]
 
-STAGES: list = []
+#: The classifier and MinHash have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
