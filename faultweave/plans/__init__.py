@@ -1 +1 @@
-"""Plans of the failure-chain library."""
+"""Whole jobs: reports, and the queries over the driver's tables."""
