@@ -166,9 +166,12 @@ def chain_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chain_page(_ranked(spark, sf_dir)[1], 20, 20).select(*_CHAIN.split(", "))
 
 
-@query(f"WITH {O.ranked()} SELECT id, cascade_pos, source, line_num, greatest(max(cascade_pos) OVER () - 2, 0) AS remaining FROM members WHERE id = 1 AND cascade_pos IS NOT NULL QUALIFY cascade_pos <= 2")
+@query(f"""WITH {O.ranked()}, big AS (SELECT id, cascade_size FROM ranked ORDER BY cascade_size DESC, id LIMIT 1)
+    SELECT id, cascade_pos, source, line_num, greatest(cascade_size - 3, 0) AS remaining FROM members JOIN big USING (id) WHERE cascade_pos BETWEEN 2 AND 3""")
 def member_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.member_page(C.chain_members(*_ranked(spark, sf_dir)), 1, 0, 2).select("id", "cascade_pos", "source", "line_num", "remaining")
+    rows, chains = _ranked(spark, sf_dir)
+    big = chains.orderBy(F.desc("cascade_size"), "id").first()
+    return C.member_page(C.chain_members(rows, chains), big.id if big else 0, 1, 2).select("id", "cascade_pos", "source", "line_num", "remaining")
 
 
 @query(f"WITH {O.classified()} SELECT category, count(*) AS n FROM classified WHERE priority IS NOT NULL GROUP BY 1")
