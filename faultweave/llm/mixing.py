@@ -26,7 +26,7 @@ from .common import join_by_group, staged
 #: Word pattern: white space is exactly these bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Documents that one task sorts.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 
 
 def uniform(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
