@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import CASED, TOKENS, U, Words, buffers, chunks, mix, ngrams, scan
+from .words import CASED, TOKENS, WORDS, U, Words, buffers, chunks, mix, ngrams, scan
 
 BITS = 20
 
@@ -31,6 +31,7 @@ class Space:
     lower: bool = True
     bits: int = BITS
     binary: bool = False
+    marks: bool = True  # words keep the punctuation at their ends
 
 
 _CLASS = np.zeros(256, np.uint8)
@@ -101,7 +102,7 @@ def features(w: Words, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def over(texts: pa.Array, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``features`` of a string column."""
-    table = TOKENS if space.lower else CASED
+    table = (TOKENS if space.lower else CASED) if space.marks else WORDS
     data, offsets = buffers(texts)
     for i, j in chunks(offsets):
         yield from features(scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table), space)

@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from .linear import Ftrl, Space, feature_table, over, score, sigmoid, training_rows, unpack
 
-SPACE = Space(words=(1,), stems=(4, 5), binary=True)
+SPACE = Space(words=(1,), stems=(4, 5), binary=True, marks=False)
 MOST = 12_000
-THRESHOLD = 0.5
+THRESHOLD = 0.3
+#: Rate and L1: few strong weights, so that long clean texts do not add up noise.
+RATE, SPARSE = 1.0, 4.0
 FOLDS = 3
 
 
@@ -56,9 +58,9 @@ def learn_chain(rows, labels: np.ndarray, folds: np.ndarray, size: int, epochs:
         for f in range(FOLDS) if k + 1 < labels.shape[1] else ():
             inside, outside = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
             if len(inside) and len(outside):
-                w = Ftrl(width, alpha=0.1, l1=0.5).fit([x[i] for i in inside], y[inside], epochs)
+                w = Ftrl(width, alpha=RATE, l1=SPARSE).fit([x[i] for i in inside], y[inside], epochs)
                 held[outside] = score([x[i] for i in outside], w)
-        models.append(Ftrl(width, alpha=0.1, l1=0.5).fit(x, y, epochs))
+        models.append(Ftrl(width, alpha=RATE, l1=SPARSE).fit(x, y, epochs))
         earlier.append(held)
     return models
 
