@@ -71,6 +71,11 @@ def _join(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
 
 
+def _placed(hashes: Column, k: int) -> Column:
+    """Runs of ``k`` tokens with their places; the hash tells lengths apart."""
+    return F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, F.lit(k)).alias("h"), i.alias("pos"), F.lit(k).alias("k")))
+
+
 def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> DataFrame:
     """Add the hashes of all runs of ``lengths`` tokens of column ``canon``. A run's hash
     is put together from runs half as long, so a step costs one value for each token."""
@@ -89,7 +94,7 @@ def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> Da
     if len(parts) == 1:
         df = df.withColumn(name, F.transform(parts[0], lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(lengths[0]).alias("k"))) if name == "items" else parts[0])
     else:
-        df = df.withColumn(name, F.flatten(F.array(*[F.transform(p, lambda h, i, k=k: F.struct(F.xxhash64(h, F.lit(k)).alias("h"), i.alias("pos"), F.lit(k).alias("k"))) for k, p in zip(lengths, parts, strict=True)])))
+        df = df.withColumn(name, F.flatten(F.array(*[_placed(p, k) for k, p in zip(lengths, parts, strict=True)])))
     return df.drop(*[c for c in df.columns if c.startswith("_w")])
 
 
