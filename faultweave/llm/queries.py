@@ -92,4 +92,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY r, doc_id""",
+    "op8_source_mix": r"""
+        WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, ''))::DOUBLE AS chars,
+            substr(md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12) AS digest FROM documents),
+        keyed AS (SELECT doc_id, source, size, -ln((('0x' || digest)::BIGINT::DOUBLE + 0.5) / 281474976710656.0) / greatest(0.2, 1.0 - abs(chars / greatest(size, 1) - 6.0) / 10.0) AS k FROM docs),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY 1),
+        weighed AS (SELECT *, source_size * 2.0::DOUBLE AS cap, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sources),
+        levels AS (SELECT *, cap / w AS turn, ((sum(source_size) OVER () * 1.5::DOUBLE) - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+            FROM weighed WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        water AS (SELECT arg_min(level, turn) FILTER (level <= turn) AS level FROM levels),
+        targets AS (SELECT l.source, source_size, CASE WHEN water.level IS NULL THEN cap ELSE least(cap, water.level * w) END AS target FROM levels l, water),
+        ordered AS (SELECT k.doc_id, k.source, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs,
+            sum(size) OVER (PARTITION BY k.source ORDER BY k, k.doc_id NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, round(target - epochs * source_size)::BIGINT - (upto - size))))::BIGINT AS taken, source, epochs FROM ordered""",
+    "op2_warc": r"""
+        WITH raw AS (SELECT page_id, coalesce(html, '') AS body, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS turn,
+            min(page_id) OVER (PARTITION BY coalesce(html, '')) AS lead FROM pages),
+        bits AS (SELECT *, list_aggregate(list_transform(string_split(sha1(body), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS b FROM raw)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(5), lambda j: substr(b, (5 * i + j + 1)::INT, 1)::INT * (16 >> j::INT)))::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN turn > 1 THEN lead END AS refers_to,
+            CASE WHEN turn = 1 THEN true END AS digest_ok FROM bits""",
+    "op5_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+        n AS (SELECT d.r, doc_id, count(s) AS n, md5(coalesce(string_agg(s, '|' ORDER BY s), '')) AS k FROM d LEFT JOIN g ON d.r = g.r GROUP BY 1, 2),
+        shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2
+                 UNION ALL SELECT a.r, b.r, 0 FROM n a JOIN n b ON a.n = 0 AND b.n = 0 AND a.r <> b.r),
+        links AS (SELECT x, y, b.k AS other, a.k AS own FROM shared JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+        reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+        classes AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN d ON d.r = y GROUP BY 1),
+        counts AS (SELECT x, count(*) AS n_links, count(DISTINCT other) FILTER (other <> own) AS n_linked_texts FROM links GROUP BY 1)
+        SELECT n.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_linked_texts, 0)::BIGINT AS n_linked_texts, n::INT AS n_grams FROM n JOIN classes c ON c.x = n.r LEFT JOIN counts k ON k.x = n.r""",
 }
