@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import CONSISTENCY, COVERAGE, PLAIN, SHORTEST, UNITS, WINDOW
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,4 +125,23 @@ ORACLE_SQL: dict[str, str] = {
         classes AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN d ON d.r = y GROUP BY 1),
         counts AS (SELECT x, count(*) AS n_links, count(DISTINCT other) FILTER (other <> own) AS n_linked_texts FROM links GROUP BY 1)
         SELECT n.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_linked_texts, 0)::BIGINT AS n_linked_texts, n::INT AS n_grams FROM n JOIN classes c ON c.x = n.r LEFT JOIN counts k ON k.x = n.r""",
+    "op3_decontamination": rf"""
+        WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM (SELECT DISTINCT doc_id, text FROM documents) UNION ALL SELECT 1, item_id, text FROM benchmark),
+        cut AS (SELECT side, id, row_number() OVER () AS r, regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '([\p{{L}}\p{{N}},;] )(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)', '\1' || chr(2) || '\2' || chr(3), 'g')),
+            chr(2) || '[^' || chr(3) || ']*' || chr(3) || '|[0-9]+(?:[.,][0-9]+)*|\p{{L}}+') AS toks FROM texts),
+        canon AS (SELECT *, len(toks) AS n, list_transform(toks, lambda x, i: CASE WHEN x >= 'A' THEN CASE WHEN i > 1 AND toks[i - 1] >= '0' AND toks[i - 1] < ':' AND list_contains({list(UNITS)}, x) THEN chr(3) ELSE x END
+            WHEN x >= '0' AND x < ':' THEN chr(1) ELSE chr(2) END) AS c FROM cut),
+        items AS (SELECT *, least(n, {WINDOW}) AS k FROM canon WHERE side = 1 AND n >= {SHORTEST}),
+        iw AS (SELECT id AS item_id, r AS ir, k, unnest(range(1, n - k + 2)) AS ipos, unnest(list_transform(range(1, n - k + 2), lambda p: list_slice(c, p, p + k - 1))) AS w FROM items),
+        good AS (SELECT * FROM iw WHERE len(list_filter(w, lambda x: x >= 'A')) >= {PLAIN}),
+        sizes AS (SELECT ir, count(*) AS n_windows FROM good GROUP BY 1),
+        dw AS (SELECT id AS doc_id, r, ks.k AS k, unnest(range(1, n - ks.k + 2)) AS dpos, unnest(list_transform(range(1, n - ks.k + 2), lambda p: list_slice(c, p, p + ks.k - 1))) AS w
+            FROM canon, (SELECT DISTINCT k FROM items) ks WHERE side = 0 AND n >= ks.k),
+        hits AS (SELECT doc_id, r, item_id, ir, ipos, good.k AS k, min(dpos) AS dpos FROM dw JOIN good ON dw.w = good.w AND dw.k = good.k GROUP BY ALL),
+        held AS (SELECT doc_id, r, item_id, ir, count(*) AS n_matched, n_windows FROM hits JOIN sizes USING (ir) GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
+        pairs AS (SELECT DISTINCT h.r, h.ir, i.toks[h.ipos + j] AS a, d.toks[h.dpos + j] AS b FROM hits h JOIN held USING (r, ir) JOIN canon i ON i.r = h.ir JOIN canon d ON d.r = h.r, range({WINDOW}) x(j)
+            WHERE j < h.k AND i.c[h.ipos + j] < 'A'),
+        slots AS (SELECT r, ir, count(DISTINCT a) AS n_slots, count(DISTINCT a) / greatest(count(*), count(DISTINCT b)) AS slot_consistency, bool_and(a = b) AS verbatim FROM pairs GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_windows, n_matched, n_matched / n_windows AS coverage, coalesce(n_slots, 0)::INT AS n_slots, coalesce(slot_consistency, 1.0)::DOUBLE AS slot_consistency, coalesce(verbatim, true) AS verbatim
+        FROM held LEFT JOIN slots USING (r, ir) WHERE coalesce(slot_consistency, 1.0) >= {CONSISTENCY}""",
 }
