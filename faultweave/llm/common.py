@@ -39,11 +39,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from the
     files, so a lost executor does not make Spark redo what came before."""
+    bounded_batches(df.sparkSession)
     path = stage_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Keep what goes to and from Python at a time small: texts differ much in length, and
+    a batch stands in the JVM's and in Python's memory at once, for every core."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``limit`` rows; looks at no more than ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit

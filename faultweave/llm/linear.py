@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import CASED, TOKENS, WORDS, U, Words, buffers, chunks, mix, ngrams, scan
 
 BITS = 20
@@ -164,6 +165,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most:
     if there are no more, else those with the least hash of the id. Only ids and labels
     are sorted. Rows without a label are left out; of an id's label rows the least counts.
     """
+    bounded_batches(docs.sparkSession)
     labelled = labels.where(F.col("doc_id").isNotNull() & F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).eqNullSafe(0))
     labelled = labelled.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("y"))
     picked = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", *[F.col(f"y.{c}").cast("double").alias(c) for c in columns])
@@ -187,5 +189,7 @@ def feature_table(rows: DataFrame, columns: list[str], space: Space) -> DataFram
     return rows.select("doc_id", "text", F.array(*columns).alias("y")).mapInArrow(run, FEATURE_ROWS)
 
 
-def unpack(slots, vals) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for s, v in zip(slots, vals, strict=True)]
+def unpack(slots, vals, order) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a packed column pair, as views: a bounded sample still is some 100 MB."""
+    rows = [(np.frombuffer(s.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for s, v in zip(slots, vals, strict=True)]
+    return [rows[i] for i in order]

@@ -34,9 +34,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     size = 1 << space.bits
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        y = np.array([v[0] for v in table.column("y").to_pylist()])
-        x = unpack(table.column("slots").to_pylist(), table.column("vals").to_pylist())
+        # In the order of ids without a sorted copy of the features.
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        y = np.array([v[0] for v in table.column("y").to_pylist()])[order]
+        x = unpack(table.column("slots"), table.column("vals"), order)
         model = Ftrl(size).fit(x, y, epochs)
         kept = np.flatnonzero(model).astype(np.int32)
         return pa.table({"slots": pa.array([kept.tobytes()], pa.binary()), "vals": pa.array([model[kept].astype(np.float32).tobytes()], pa.binary())})

@@ -71,10 +71,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str], most: i
     rows = feature_table(training_rows(docs, labels, list(categories), most), list(categories), space)
 
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id")
-        y = np.array(table.column("y").to_pylist(), float).reshape(-1, n)
-        folds = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in table.column("doc_id").to_pylist()])
-        models = learn_chain(unpack(table.column("slots").to_pylist(), table.column("vals").to_pylist()), y, folds, size)
+        order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+        y = np.array(table.column("y").to_pylist(), float).reshape(-1, n)[order]
+        folds = np.array([zlib.crc32(str(d).encode()) % FOLDS for d in table.column("doc_id").to_pylist()])[order]
+        models = learn_chain(unpack(table.column("slots"), table.column("vals"), order), y, folds, size)
         kept = [np.flatnonzero(m).astype(np.int32) for m in models]
         return pa.table({"k": pa.array(range(n), pa.int32()), "slots": pa.array([i.tobytes() for i in kept], pa.binary()), "vals": pa.array([m[i].astype(np.float32).tobytes() for m, i in zip(models, kept, strict=True)], pa.binary())})
 

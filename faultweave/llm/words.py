@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time; a single longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 
