@@ -9,6 +9,9 @@ same placeholders must map one to one in at least ``consistency`` of the item's
 Equal values are a copy, other values a re-parameterised question. All of it is DataFrame
 functions; no text is shuffled unless more documents match than may be broadcast.
 
+A window may stand in a document many times. All its places are kept, and the slots are
+judged for each way to lay the item over the document (``layings``); the best one counts.
+
 An item's window counts only if it has at least ``plain`` tokens that are no placeholders.
 Items shorter than ``window`` are one window of their own length, if that is at least
 ``shortest``.
@@ -20,7 +23,7 @@ each. Extra columns do not matter; empty tables give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, small_side, staged
@@ -117,37 +120,73 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
         runs = runs.select("row", "doc_id", F.posexplode_outer("windows").alias("dpos", "h"))
     else:
         runs = runs.select("row", "doc_id", F.explode_outer("windows").alias("w")).select("row", "doc_id", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h"))
-    hits = runs.join(small_side(cut), "h").groupBy("row", "doc_id", "item_id", "ipos", "k").agg(F.min("dpos").alias("dpos"))
-    held = hits.groupBy("row", "doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    hits = runs.join(small_side(cut), "h").select("row", "doc_id", "item_id", "ipos", "dpos", "k").distinct()
+    held = hits.groupBy("row", "doc_id", "item_id").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))).cast("long"))
     held = held.join(small_side(wanted), "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows"))
     held = staged(held, "held")
-    slots = slot_pairs(held, docs, bench)
+    slots = slot_pairs(held, docs, bench, coverage)
     out = held.drop("hits").join(small_side(slots), ["row", "item_id"], "left")
     out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("slot_consistency", F.coalesce("slot_consistency", F.lit(1.0))).withColumn("verbatim", F.coalesce("verbatim", F.lit(True)))
     return out.where(F.col("slot_consistency") >= consistency).select("row", "doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_slots", "slot_consistency", "verbatim")
 
 
-def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """For held items with slots: how many values the item has in them, what share maps
-    one to one, and whether all values are equal."""
+def layings(held: DataFrame, coverage: float) -> DataFrame:
+    """``row, item_id, layings``: the ways to lay an item over a document, each as places
+    ``ipos, dpos, k`` of at least ``coverage`` of the item's windows. They are, for each
+    shift ``dpos - ipos``, the windows at that shift alone, and with every other window at
+    its shift nearest to that one, which goes over words put in or left out; and the first
+    place of every window. All but the first are rows, as a document may have many shifts."""
+    pair = ["row", "item_id", "n_windows"]
+    held = held.select(*pair, "hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["dpos"] - h["ipos"]))).alias("n_shifts"))
+    single = held.where("n_shifts = 1").select("row", "item_id", F.array("hits").alias("layings"))
+    flat = held.where("n_shifts > 1").select(*pair, F.explode("hits").alias("x")).select(*pair, "x.ipos", "x.dpos", "x.k", (F.col("x.dpos") - F.col("x.ipos")).alias("shift"))
+    first = flat.groupBy(*pair, "ipos", "k").agg(F.min("dpos").alias("dpos")).select(*pair, F.lit(0).alias("kind"), F.lit(0).alias("at"), "ipos", "dpos", "k")
+    alone = flat.select(*pair, F.lit(1).alias("kind"), F.col("shift").alias("at"), "ipos", "dpos", "k")
+    grid = flat.select(*pair, "ipos", "k").distinct().join(flat.select("row", "item_id", F.col("shift").alias("at")).distinct(), ["row", "item_id"])
+    grid = grid.join(flat.select("row", "item_id", "ipos", F.col("shift").alias("at"), "shift"), ["row", "item_id", "ipos", "at"], "left")
+    same = Window.partitionBy("row", "item_id", "ipos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grid = grid.withColumn("below", F.last("shift", True).over(same.orderBy("at"))).withColumn("above", F.last("shift", True).over(same.orderBy(F.desc("at"))))
+    nearest = F.when(F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at")), F.col("below")).otherwise(F.col("above"))
+    near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + nearest).alias("dpos"), "k")
+    laid = first.unionByName(alone).unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    laid = laid.where(F.size("hits") >= coverage * F.col("n_windows")).groupBy("row", "item_id").agg(F.collect_list("hits").alias("layings"))
+    return single.unionByName(laid)
+
+
+def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame, coverage: float) -> DataFrame:
+    """For held items with slots, by the best way to lay them: how many values the item has
+    in them, what share maps one to one, and whether all values are equal."""
     slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item_id", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
-    asked = held.join(small_side(slotted), "item_id").select("row", "item_id", "hits", "itoks", "icanon")
+    laid = staged(layings(held.join(small_side(slotted.select("item_id").distinct()), "item_id", "left_semi"), coverage), "layings")
+    asked = laid.join(small_side(slotted), "item_id").select("row", "item_id", "layings", "itoks", "icanon")
     keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb")).distinct(), "slot-rows"))
     texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"], "left_semi")
     texts = staged(texts.select("row", tokens(F.col("text")).alias("dtoks")), "slot-texts").dropDuplicates(["row"])
     at = asked.join(texts, "row")
-    one = F.transform(
-        "hits",
-        lambda h: F.transform(
-            F.filter(F.sequence(F.lit(0), h["k"] - 1), lambda j: F.get("icanon", h["ipos"] + j) < "A"),
-            lambda j: F.struct(F.get("itoks", h["ipos"] + j).alias("i"), F.get("dtoks", h["dpos"] + j).alias("d")),
-        ),
-    )
-    at = at.select("row", "item_id", F.array_distinct(F.flatten(one)).alias("pairs"))
-    of_item, of_doc = F.array_distinct(F.transform("pairs", lambda p: p["i"])), F.array_distinct(F.transform("pairs", lambda p: p["d"]))
-    at = at.withColumn("n_slots", F.size(of_item)).withColumn("n_values", F.greatest(F.size("pairs"), F.size(of_doc)))
-    share = F.when(F.col("n_values") == 0, 1.0).otherwise(F.col("n_slots") / F.col("n_values"))
-    return staged(at.select("row", "item_id", "n_slots", share.alias("slot_consistency"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("verbatim")), "slots")
+
+    def values(hits: Column) -> Column:
+        one = F.transform(
+            hits,
+            lambda h: F.transform(
+                F.filter(F.sequence(F.lit(0), h["k"] - 1), lambda j: F.get("icanon", h["ipos"] + j) < "A"),
+                lambda j: F.struct(F.get("itoks", h["ipos"] + j).alias("i"), F.get("dtoks", h["dpos"] + j).alias("d")),
+            ),
+        )
+        return F.array_distinct(F.flatten(one))
+
+    def judged(x: Column) -> Column:
+        share = F.when(x["n_values"] == 0, 1.0).otherwise(x["n_slots"] / x["n_values"])
+        return F.struct(share.alias("slot_consistency"), x["verbatim"].alias("verbatim"), x["n_slots"].alias("n_slots"))
+
+    def counted(pairs: Column) -> Column:
+        of_item, of_doc = F.array_distinct(F.transform(pairs, lambda p: p["i"])), F.array_distinct(F.transform(pairs, lambda p: p["d"]))
+        return F.struct(F.size(of_item).alias("n_slots"), F.greatest(F.size(pairs), F.size(of_doc)).alias("n_values"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("verbatim"))
+
+    at = at.select("row", "item_id", F.transform("layings", values).alias("pairs"))
+    at = at.select("row", "item_id", F.transform("pairs", counted).alias("counts"))
+    at = at.select("row", "item_id", F.array_max(F.transform("counts", judged)).alias("best"))
+    return staged(at.select("row", "item_id", "best.n_slots", "best.slot_consistency", "best.verbatim"), "slots")
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -64,3 +64,15 @@ def test_brute_force(spark):
 def test_no_python_in_the_plan(spark, docs_of):
     plan = contaminated(docs_of([(1, ITEM)]), items(spark, [(1, ITEM)]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_templates_that_repeat(spark, docs_of):
+    """Slots are judged where the copy stands, not at the first place of each window."""
+    inside = "Anna buys 3 apples and 4 pears at the big market today. Later Anna buys 5 apples and 6 pears at the big market today. What did it cost?"
+    part = "drives 77 km in 8 hours and then walks 9 km with Carol and Dora, how far did they travel."
+    pieces = ITEM.replace("in 3 hours and", "in 3 hours of rain and")
+    docs = docs_of([(1, inside), (2, filler(1) + part + filler(2) + ITEM), (3, filler(3) + part + filler(4) + pieces), (4, filler(5) + inside.replace("Anna", "Maria"))])
+    bench = items(spark, [(1, inside), (2, ITEM)])
+    got = found(docs, bench)
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 1)}
+    assert got[1, 1].coverage == 1.0 and got[1, 1].slot_consistency == 1.0 and got[1, 1].verbatim and got[2, 2].verbatim and got[3, 2].verbatim
