@@ -12,6 +12,12 @@ functions; no text is shuffled unless more documents match than may be broadcast
 A window may stand in a document many times. All its places are kept, and the slots are
 judged for each way to lay the item over the document (``layings``); the best one counts.
 
+This is done in three forms of the texts, on both sides, and an item is held if it is held
+in one of them; the figures are those of the first: names inside sentences, as above; all
+capitalised words as names, also those at the start of a text, sentence or line, after a
+quote or bracket, and in capitals; and no names, for copies in another letter case. Where
+the letter case does not show names, changed names are not known as such.
+
 An item's window counts only if it has at least ``plain`` tokens that are no placeholders.
 Items shorter than ``window`` are one window of their own length, if that is at least
 ``shortest``.
@@ -46,9 +52,21 @@ NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
 TOKEN = f"{OPEN}[^{CLOSE}]*{CLOSE}|[0-9]+(?:[.,][0-9]+)*|\\p{{L}}+"
 
 
-def tokens(text: Column) -> Column:
+#: The names of the forms. The loop is possessive: others recurse in Java.
+CAPITALISED = r"(?<!\p{L})\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)*+"
+FORMS = (NAMES, CAPITALISED, None)
+
+
+def tokens(text: Column, form: int = 0) -> Column:
     """Raw tokens; a name keeps its marks, so it starts with a control character."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(NAMES), F.lit(f"{OPEN}$0{CLOSE}"))), F.lit(TOKEN), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    marked = text if FORMS[form] is None else F.regexp_replace(text, F.lit(FORMS[form]), F.lit(f"{OPEN}$0{CLOSE}"))
+    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+
+
+def tokens_of(text: Column, form: Column) -> Column:
+    """``tokens`` where the form is a column; a row is cut in its own form only."""
+    return F.when(form == 0, tokens(text, 0)).when(form == 1, tokens(text, 1)).otherwise(tokens(text, 2))
 
 
 def _is_number(x: Column) -> Column:
@@ -104,66 +122,73 @@ def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> Da
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, plain: int = PLAIN, shortest: int = SHORTEST) -> DataFrame:
     """``row, doc_id, item_id, n_windows, n_matched, coverage, n_slots, slot_consistency,
     verbatim``: a row for each document and benchmark item that it holds."""
-    bench = items.select("item_id", tokens(F.col("text")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
+    forms = F.explode(F.array(*map(F.lit, range(len(FORMS))))).alias("form")
+    bench = items.select("item_id", "text", forms).select("item_id", "form", tokens_of(F.col("text"), F.col("form")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
     bench = staged(bench, "bench-tokens").where(F.size("toks") >= shortest)
     lengths = sorted({min(window, r[0]) for r in bench.select(F.least(F.size("toks"), F.lit(window))).distinct().collect()} | {window})
-    cut = with_windows(bench, lengths, "items").withColumn("n", F.size("toks")).select("item_id", "n", "canon", F.explode_outer("items").alias("w"))
+    cut = with_windows(bench, lengths, "items").withColumn("n", F.size("toks")).select("item_id", "form", "n", "canon", F.explode_outer("items").alias("w"))
     cut = cut.where((F.col("w.k") == F.least("n", F.lit(window))) & (F.size(F.filter(F.slice("canon", F.col("w.pos") + 1, F.col("w.k")), lambda x: x >= "A")) >= plain))
-    cut = staged(cut.select("item_id", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"), F.col("w.k").alias("k")), "bench-windows")
-    wanted = cut.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-
-    texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
-    runs = with_windows(texts, lengths)
-    # The outer forms: for the others Spark adds a filter on the array's size, which it
-    # moves down to the scan and so works out every array twice, in each of its uses.
-    if len(lengths) == 1:
-        runs = runs.select("row", "doc_id", F.posexplode_outer("windows").alias("dpos", "h"))
-    else:
-        runs = runs.select("row", "doc_id", F.explode_outer("windows").alias("w")).select("row", "doc_id", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h"))
-    hits = runs.join(small_side(cut), "h").select("row", "doc_id", "item_id", "ipos", "dpos", "k").distinct()
-    held = hits.groupBy("row", "doc_id", "item_id").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    cut = staged(cut.select("item_id", "form", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"), F.col("w.k").alias("k")), "bench-windows")
+    wanted = cut.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("n_windows"))
+
+    side, hits = small_side(cut), None
+    for form in range(len(FORMS)):
+        texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text"), form).alias("toks")).withColumn("canon", canonical(F.col("toks")))
+        runs = with_windows(texts, lengths)
+        # The outer forms: for the others Spark adds a filter on the array's size, which it
+        # moves down to the scan and so works out every array twice, in each of its uses.
+        if len(lengths) == 1:
+            runs = runs.select("row", "doc_id", F.posexplode_outer("windows").alias("dpos", "h"))
+        else:
+            runs = runs.select("row", "doc_id", F.explode_outer("windows").alias("w")).select("row", "doc_id", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h"))
+        of_form = runs.join(side.where(F.col("form") == form), "h").select("row", "doc_id", "item_id", "form", "ipos", "dpos", "k")
+        hits = of_form if hits is None else hits.unionByName(of_form)
+    held = hits.distinct().groupBy("row", "doc_id", "item_id", "form").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
     held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))).cast("long"))
-    held = held.join(small_side(wanted), "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    held = held.join(small_side(wanted), ["item_id", "form"]).where(F.col("n_matched") >= coverage * F.col("n_windows"))
     held = staged(held, "held")
     slots = slot_pairs(held, docs, bench, coverage)
-    out = held.drop("hits").join(small_side(slots), ["row", "item_id"], "left")
+    out = held.drop("hits").join(small_side(slots), ["row", "item_id", "form"], "left")
     out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("slot_consistency", F.coalesce("slot_consistency", F.lit(1.0))).withColumn("verbatim", F.coalesce("verbatim", F.lit(True)))
-    return out.where(F.col("slot_consistency") >= consistency).select("row", "doc_id", "item_id", "n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_slots", "slot_consistency", "verbatim")
+    told = ["n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_slots", "slot_consistency", "verbatim"]
+    out = out.where(F.col("slot_consistency") >= consistency).groupBy("row", "doc_id", "item_id").agg(F.min_by(F.struct(*told), "form").alias("x"))
+    return out.select("row", "doc_id", "item_id", "x.*")
 
 
 def layings(held: DataFrame, coverage: float) -> DataFrame:
-    """``row, item_id, layings``: the ways to lay an item over a document, each as places
+    """``row, item_id, form, layings``: the ways to lay an item over a document, each as places
     ``ipos, dpos, k`` of at least ``coverage`` of the item's windows. They are, for each
     shift ``dpos - ipos``, the windows at that shift alone, and with every other window at
     its shift nearest to that one, which goes over words put in or left out; and the first
     place of every window. All but the first are rows, as a document may have many shifts."""
-    pair = ["row", "item_id", "n_windows"]
+    same = ["row", "item_id", "form"]
+    pair = [*same, "n_windows"]
     held = held.select(*pair, "hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["dpos"] - h["ipos"]))).alias("n_shifts"))
-    single = held.where("n_shifts = 1").select("row", "item_id", F.array("hits").alias("layings"))
+    single = held.where("n_shifts = 1").select(*same, F.array("hits").alias("layings"))
     flat = held.where("n_shifts > 1").select(*pair, F.explode("hits").alias("x")).select(*pair, "x.ipos", "x.dpos", "x.k", (F.col("x.dpos") - F.col("x.ipos")).alias("shift"))
     first = flat.groupBy(*pair, "ipos", "k").agg(F.min("dpos").alias("dpos")).select(*pair, F.lit(0).alias("kind"), F.lit(0).alias("at"), "ipos", "dpos", "k")
     alone = flat.select(*pair, F.lit(1).alias("kind"), F.col("shift").alias("at"), "ipos", "dpos", "k")
-    grid = flat.select(*pair, "ipos", "k").distinct().join(flat.select("row", "item_id", F.col("shift").alias("at")).distinct(), ["row", "item_id"])
-    grid = grid.join(flat.select("row", "item_id", "ipos", F.col("shift").alias("at"), "shift"), ["row", "item_id", "ipos", "at"], "left")
-    same = Window.partitionBy("row", "item_id", "ipos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.withColumn("below", F.last("shift", True).over(same.orderBy("at"))).withColumn("above", F.last("shift", True).over(same.orderBy(F.desc("at"))))
+    grid = flat.select(*pair, "ipos", "k").distinct().join(flat.select(*same, F.col("shift").alias("at")).distinct(), same)
+    grid = grid.join(flat.select(*same, "ipos", F.col("shift").alias("at"), "shift"), [*same, "ipos", "at"], "left")
+    window = Window.partitionBy(*same, "ipos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grid = grid.withColumn("below", F.last("shift", True).over(window.orderBy("at"))).withColumn("above", F.last("shift", True).over(window.orderBy(F.desc("at"))))
     nearest = F.when(F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at")), F.col("below")).otherwise(F.col("above"))
     near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + nearest).alias("dpos"), "k")
     laid = first.unionByName(alone).unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
-    laid = laid.where(F.size("hits") >= coverage * F.col("n_windows")).groupBy("row", "item_id").agg(F.collect_list("hits").alias("layings"))
+    laid = laid.where(F.size("hits") >= coverage * F.col("n_windows")).groupBy(*same).agg(F.collect_list("hits").alias("layings"))
     return single.unionByName(laid)
 
 
 def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame, coverage: float) -> DataFrame:
     """For held items with slots, by the best way to lay them: how many values the item has
     in them, what share maps one to one, and whether all values are equal."""
-    slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item_id", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
-    laid = staged(layings(held.join(small_side(slotted.select("item_id").distinct()), "item_id", "left_semi"), coverage), "layings")
-    asked = laid.join(small_side(slotted), "item_id").select("row", "item_id", "layings", "itoks", "icanon")
-    keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb")).distinct(), "slot-rows"))
-    texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"], "left_semi")
-    texts = staged(texts.select("row", tokens(F.col("text")).alias("dtoks")), "slot-texts").dropDuplicates(["row"])
-    at = asked.join(texts, "row")
+    slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item_id", "form", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
+    laid = staged(layings(held.join(small_side(slotted.select("item_id", "form").distinct()), ["item_id", "form"], "left_semi"), coverage), "layings")
+    asked = laid.join(small_side(slotted), ["item_id", "form"]).select("row", "item_id", "form", "layings", "itoks", "icanon")
+    keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "form").distinct(), "slot-rows"))
+    texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"])
+    texts = staged(texts.select("row", "form", tokens_of(F.col("text"), F.col("form")).alias("dtoks")), "slot-texts").dropDuplicates(["row", "form"])
+    at = asked.join(texts, ["row", "form"])
 
     def values(hits: Column) -> Column:
         one = F.transform(
@@ -183,10 +208,10 @@ def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame, coverage: flo
         of_item, of_doc = F.array_distinct(F.transform(pairs, lambda p: p["i"])), F.array_distinct(F.transform(pairs, lambda p: p["d"]))
         return F.struct(F.size(of_item).alias("n_slots"), F.greatest(F.size(pairs), F.size(of_doc)).alias("n_values"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("verbatim"))
 
-    at = at.select("row", "item_id", F.transform("layings", values).alias("pairs"))
-    at = at.select("row", "item_id", F.transform("pairs", counted).alias("counts"))
-    at = at.select("row", "item_id", F.array_max(F.transform("counts", judged)).alias("best"))
-    return staged(at.select("row", "item_id", "best.n_slots", "best.slot_consistency", "best.verbatim"), "slots")
+    at = at.select("row", "item_id", "form", F.transform("layings", values).alias("pairs"))
+    at = at.select("row", "item_id", "form", F.transform("pairs", counted).alias("counts"))
+    at = at.select("row", "item_id", "form", F.array_max(F.transform("counts", judged)).alias("best"))
+    return staged(at.select("row", "item_id", "form", "best.n_slots", "best.slot_consistency", "best.verbatim"), "slots")
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -76,3 +76,14 @@ def test_templates_that_repeat(spark, docs_of):
     got = found(docs, bench)
     assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 1)}
     assert got[1, 1].coverage == 1.0 and got[1, 1].slot_consistency == 1.0 and got[1, 1].verbatim and got[2, 2].verbatim and got[3, 2].verbatim
+
+
+def test_names_at_sentence_starts_and_other_letter_case(spark, docs_of):
+    apples = 'Tom has 12 red apples. Tom gives 3 to Ann. Tom eats 2 more today. How many are left?'
+    quoted = 'Tom has 12 red apples. "Tom gives 3 to Ann", (Tom eats 2 more today). How many are left?'
+    crowd = "Yesterday Ann and Bob met Carl, Dora and Emil while Fred, Gina and Hugo saw Ina with Jon and Karl."
+    other = lambda t: t.replace("Tom", "Sam").replace("Ann", "Joe").replace("12", "15").replace("3", "4").replace("2 more", "7 more")
+    docs = docs_of([(1, other(apples)), (2, filler(1) + other(quoted)), (3, crowd.upper()), (4, crowd.lower()), (5, "\n" + other(apples).replace("Sam", "SAM")), (6, other(apples).replace("Sam gives", "Max gives").replace("Sam eats", "Leo eats"))])
+    got = found(docs, items(spark, [(1, apples), (2, quoted), (3, crowd)]))
+    assert {(1, 1), (2, 2), (3, 3), (4, 3), (5, 1)} <= set(got) and (6, 1) not in got
+    assert got[3, 3].coverage == 1.0 and got[3, 3].verbatim and not got[1, 1].verbatim
