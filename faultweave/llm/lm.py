@@ -1,25 +1,28 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a bigram model over all training tokens. Its automaton has the empty state,
-whose arcs carry the smoothed unigrams, and a state for every word with kept bigrams
-(seen at least ``min_count`` times). A state's arcs carry its kept bigrams; its failure
-arc leads to the empty state with the weight that is left over. A text is scored in one
-traversal from left to right: the state is the word before, an arc that exists is taken,
-else the failure arc and then the empty state's arc.
-
-    base(w)   = (c(w) + 1) / (N + V + 1)
-    p(w | h)  = max(c(h, w) - D, 0) / c(h) + left(h) * base(w)    c(h, w) >= min_count
-    p(w | h)  = left(h) * base(w)                                 otherwise
+The model is an n-gram model of any ``order`` over all training tokens. Its automaton has
+the empty state, whose arcs carry the smoothed unigrams, and a state for every context of
+up to ``order - 1`` tokens. A state's arcs carry its kept n-grams (seen at least
+``min_count`` times); its failure arc leads to the state without the oldest token, with
+the weight that is left over. A text is read from left to right: the state after a token
+is the arc's n-gram, and the failure arcs are followed down to the empty state, so that
+with h' for h without its oldest token
+
+    p(w)      = (c(w) + 1) / (N + V + 1)
+    p(w | h)  = max(c(h, w) - D, 0) / c(h) + left(h) * p(w | h')    c(h, w) >= min_count
+    p(w | h)  = left(h) * p(w | h')                                 otherwise
     left(h)   = 1 - sum of (c(h, w) - D) / c(h) over the kept w
 
+Before a text's first token stands the start, as often as the context is long.
+
 Nothing of the model is ever in one place. Texts are encoded once, some megabytes of them
 as one row (a chunk): token numbers, and the chunk's own vocabulary as 64-bit hashes. A
 chunk then asks for the counts of its own words and bigrams: sorted hashes go to buckets,
 a bucket adds up what all chunks counted and answers each with what it asked for. What a
 chunk gets back is the part of the automaton that its texts can reach. Bigrams lie with
 their context, so a bucket knows the weight left over; contexts that hold more than
-1/1000 of all tokens (fewer than 1,000 words) are split over ``SALTS`` buckets and their
-sums added up. Words of one hash count as one word; for 10^9 distinct words that is
+1/1000 of all tokens (fewer than 1,000 an order) are split over ``SALTS`` buckets and their
+sums added up. The orders are counted one after the other: one tells the next's contexts. Words of one hash count as one word; for 10^9 distinct words that is
 expected for less than one pair.
 
 Defined results: a null text counts as empty; its only token is the end. Rows without an
@@ -145,19 +148,36 @@ def word_counts(chunks: DataFrame, bits: int, total: int) -> DataFrame:
     return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "word-counts")
 
 
-class Pairs:
-    """The distinct bigrams of a chunk, by bucket, then context. ``of`` is the number of
-    each token's bigram; ``edges`` the first of each run of one context in one bucket."""
+def _gram(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, from its context's and the low 40 bits of its last word's."""
+    return mix(head * U(0x9E3779B97F4A7C15) + (tail & U((1 << 40) - 1)) + U(1))
 
-    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, bits: int, hot: np.ndarray) -> None:
-        starts = np.cumsum(sizes) - sizes
+
+def histories(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 2 on: the number of each token's context (the state carried from
+    the token before; the start is the last number) and the hashes of the contexts."""
+    starts = np.cumsum(sizes) - sizes
+    gram, heads = tokens, words
+    for level in range(2, order + 1):
         before = np.empty(len(tokens), np.int64)
-        before[1:] = tokens[:-1]
-        before[starts] = len(words)
+        before[1:] = gram[:-1]
+        before[starts] = len(heads)
+        heads = np.append(heads, START)
+        yield before, heads
+        if level < order:
+            codes, gram = np.unique(before * len(words) + tokens, return_inverse=True)
+            heads = _gram(heads[codes // max(1, len(words))], words[codes % max(1, len(words))])
+
+
+class Pairs:
+    """The distinct n-grams of a chunk, as pairs of context and word, by bucket, then
+    context. ``of`` is the number of each token's n-gram; ``edges`` the first of each run of
+    one context in one bucket."""
+
+    def __init__(self, tokens: np.ndarray, before: np.ndarray, heads: np.ndarray, words: np.ndarray, bits: int, hot: np.ndarray) -> None:
         code = before * len(words) + tokens
         self.codes, of = np.unique(code, return_inverse=True)
         context, word = self.codes // max(1, len(words)), self.codes % max(1, len(words))
-        heads = np.append(words, START)
         head, tail = heads[context], words[word]
         is_hot = np.isin(heads, hot) | (heads == START)
         salted = np.where(is_hot[context], head ^ mix(tail % U(SALTS) + U(1)), head)
@@ -193,15 +213,18 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, sizes, np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), sizes)
 
 
-def pair_counts(chunks: DataFrame, bits: int, hot: np.ndarray, min_count: int, discount: float) -> DataFrame:
-    """Answers of kind 1 for each chunk: which of its bigrams are kept, their counts, and
-    for each context the mass of its kept bigrams. Kind -2: masses of split contexts."""
+def pair_counts(chunks: DataFrame, level: int, bits: int, hot: np.ndarray, min_count: int, discount: float, total: int) -> DataFrame:
+    """Answers of kind ``level - 1`` for each chunk: which of its n-grams of that order are
+    kept, their counts, and for each context the mass of its kept n-grams and its count.
+    Kind -2: masses and counts of split contexts. Kind -3: n-grams hot as contexts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 tokens, sizes, train = _opened(row)
-                p = Pairs(tokens, sizes, np.frombuffer(row["words"], U), bits, hot)
+                words = np.frombuffer(row["words"], U)
+                *_, (before, own) = histories(tokens, sizes, words, level)
+                p = Pairs(tokens, before, own, words, bits, hot)
                 counts = np.bincount(p.of[train], minlength=len(p.codes)).astype(np.int32)
                 rows = []
                 for b, lo, hi in _runs(p.bucket):
@@ -220,60 +243,67 @@ def pair_counts(chunks: DataFrame, bits: int, hot: np.ndarray, min_count: int, d
         at_head = np.repeat(run_at, np.concatenate(spans))
         tails = np.concatenate([_long(r["tails"]) for r in rows])
         counts = np.concatenate([_unpack(r["counts"], r["n"], np.int32) for r in rows])
-        _, first, at = np.unique(mix(heads[at_head]) + tails * U(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        keys = mix(heads[at_head]) + tails * U(0x9E3779B97F4A7C15)
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
         sums = np.bincount(at, counts, len(first))
         kept = sums >= min_count
         mass = np.bincount(at_head[first], np.where(kept, sums - discount, 0.0), len(heads))
+        mass = np.stack([mass, np.bincount(at_head[first], sums, len(heads))], 1)
         out, i, j = [], 0, 0
         for r in rows:
             mine = at[i : i + r["n"]]
             flags = kept[mine]
             numbers = sums[mine[flags]].astype(np.int64)
-            out.append((r["chunk"], 1, r["place"], _pack(np.packbits(flags)), len(numbers), _pack(numbers), _pack(mass[run_at[j : j + r["n_heads"]]])))
+            out.append((r["chunk"], level - 1, r["place"], _pack(np.packbits(flags)), len(numbers), _pack(numbers), _pack(mass[run_at[j : j + r["n_heads"]]])))
             i, j = i + r["n"], j + r["n_heads"]
         hot_at = np.unique(run_at[split])
         if len(hot_at):
             out.append((None, -2, 0, heads[hot_at].tobytes(), len(hot_at), None, mass[hot_at].tobytes()))
+        often = first[sums > total // HOT]
+        if len(often):
+            out.append((None, -3, 0, _gram(heads[at_head[often]], tails[often]).tobytes(), len(often), None, None))
         return _answer_rows(out)
 
     names = ["bucket", "chunk", "place", "n", "runs", "n_heads", "heads", "hot", "tails", "counts"]
     asked = chunks.select("chunk", "train", "sizes", "n_tokens", "tokens", "words").mapInArrow(ask, "bucket int, chunk long, place long, n long, runs binary, n_heads long, heads binary, hot binary, tails binary, counts binary")
-    return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "pair-counts")
+    return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), f"counts-{level}")
 
 
 SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_chunks(chunks: DataFrame, answers: DataFrame, bits: int, hot_mass: dict[int, float], total: int, distinct: int, texts: int) -> DataFrame:
-    """The traversal, a chunk at a time. ``texts`` counts training texts: how often the
-    start is a context."""
-    hot = np.array(sorted(hot_mass), U)
-    hot_sums = np.array([hot_mass[int(h)] for h in hot], np.float64)
+def score_chunks(chunks: DataFrame, answers: DataFrame, bits: int, hot_sums: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int) -> DataFrame:
+    """The traversal, a chunk at a time. ``hot_sums`` has, for each order from 2 on, the
+    split contexts, sorted, and their masses and counts."""
 
     def traverse(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         tokens, sizes, _ = _opened(row)
         words = np.frombuffer(row["words"], U)
         count = np.zeros(len(words), np.float64)
-        p = Pairs(tokens, sizes, words, bits, hot)
-        arc, left = np.zeros(len(p.codes)), np.ones(len(p.codes))
         replies = answered.to_pylist()
         for r in replies:
             if r["kind"] == 0:
                 count[r["place"] : r["place"] + r["n"]] = _unpack(r["counts"], r["n"], np.int64)
-        heads = np.append(count, texts)
-        at = {r["place"]: r for r in replies if r["kind"] == 1}
-        for _, lo, hi in _runs(p.bucket):
-            r, edges = at[lo], p.edges(lo, hi)
-            flags = np.unpackbits(_unpack(r["kept"], -(-(hi - lo) // 8), np.uint8), count=hi - lo).astype(bool)
-            context = np.maximum(heads[p.context[lo:hi]], 1.0)
-            arc[lo:hi][flags] = (_unpack(r["counts"], r["n"], np.int64) - DISCOUNT) / context[flags]
-            mass = _unpack(r["masses"], len(edges), np.float64).copy()
-            split = p.hot[lo:hi][edges]
-            mass[split] = hot_sums[np.searchsorted(hot, p.head[lo:hi][edges][split])] if len(hot) else 0.0
-            left[lo:hi] = 1.0 - np.repeat(mass, np.diff(np.append(edges, hi - lo))) / context
         base = (count + 1.0) / (total + distinct + 1.0)
-        step = np.log10(arc + left * base[p.codes % max(1, len(words))])
+        step = base[tokens]
+        for kind, (before, heads) in enumerate(histories(tokens, sizes, words, len(hot_sums) + 1), 1):
+            hot, sums = hot_sums[kind - 1]
+            p = Pairs(tokens, before, heads, words, bits, hot)
+            arc, left = np.zeros(len(p.codes)), np.ones(len(p.codes))
+            at = {r["place"]: r for r in replies if r["kind"] == kind}
+            for _, lo, hi in _runs(p.bucket):
+                r, edges = at[lo], p.edges(lo, hi)
+                flags = np.unpackbits(_unpack(r["kept"], -(-(hi - lo) // 8), np.uint8), count=hi - lo).astype(bool)
+                mass = _unpack(r["masses"], 2 * len(edges), np.float64).reshape(-1, 2).copy()
+                split = p.hot[lo:hi][edges]
+                mass[split] = sums[np.searchsorted(hot, p.head[lo:hi][edges][split])]
+                mass = np.repeat(mass, np.diff(np.append(edges, hi - lo)), axis=0)
+                context = np.maximum(mass[:, 1], 1.0)
+                arc[lo:hi][flags] = (_unpack(r["counts"], r["n"], np.int64) - DISCOUNT) / context[flags]
+                left[lo:hi] = 1.0 - mass[:, 0] / context
+            step = arc[p.of] + left[p.of] * step
+        step = np.log10(step)
         starts = np.cumsum(sizes) - sizes
         ids = row["doc_ids"]
         return pa.table({
@@ -282,28 +312,32 @@ def score_chunks(chunks: DataFrame, answers: DataFrame, bits: int, hot_mass: dic
             "n_tokens": pa.array(sizes),
             "n_known": pa.array(np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)),
             "base_score": pa.array(np.add.reduceat(np.log10(base)[tokens], starts)),
-            "score": pa.array(np.add.reduceat(step[p.of], starts)),
+            "score": pa.array(np.add.reduceat(step, starts)),
         })
 
     picked = chunks.select("chunk", "doc_ids", "train", "sizes", "n_tokens", "tokens", "words")
     return picked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(traverse, SCORED)
 
 
-def score_texts(docs: DataFrame, train, min_count: int = MIN_COUNT) -> DataFrame:
+def score_texts(docs: DataFrame, train, min_count: int = MIN_COUNT, order: int = 2) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row."""
     chunks = encode(docs, train)
-    size = chunks.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens"), F.sum(F.length(F.translate(F.hex("train"), "0", "")))).first()
-    total, asked, tokens, texts = (int(x or 0) for x in size)
+    size = chunks.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens")).first()
+    total, asked, tokens = (int(x or 0) for x in size)
     counts = word_counts(chunks, _bits(asked), total)
     told = counts.where("kind = -1").select("place", "n", "masses").collect()
-    hot = np.unique(np.concatenate([np.zeros(0, U), *(np.frombuffer(r.masses, U) for r in told if r.n)]))
+    hot = np.unique(np.concatenate([np.array([START], U), *(np.frombuffer(r.masses, U) for r in told if r.n)]))
     distinct = sum(r.place for r in told)
     bits = _bits(tokens)
-    pairs = pair_counts(chunks, bits, hot, min_count, DISCOUNT)
-    hot_mass: dict[int, float] = {int(h): 0.0 for h in hot} | {int(START): 0.0}
-    for r in pairs.where("kind = -2").select("kept", "masses").collect():
-        for h, m in zip(np.frombuffer(r.kept, U).tolist(), np.frombuffer(r.masses, np.float64).tolist(), strict=True):
-            hot_mass[h] += m
-    answers = counts.where("kind = 0").unionByName(pairs.where("kind = 1"))
-    out = score_chunks(chunks, answers, bits, hot_mass, total, distinct, texts)
+    answers, hot_sums = counts.where("kind = 0"), []
+    for level in range(2, order + 1):
+        grams = pair_counts(chunks, level, bits, hot, min_count, DISCOUNT, total)
+        sums = np.zeros((len(hot), 2))
+        for r in grams.where("kind = -2").select("kept", "masses").collect():
+            np.add.at(sums, np.searchsorted(hot, np.frombuffer(r.kept, U)), np.frombuffer(r.masses, np.float64).reshape(-1, 2))
+        hot_sums.append((hot, sums))
+        often = grams.where("kind = -3").select("kept").collect()
+        hot = np.unique(np.concatenate([np.array([START], U), *(np.frombuffer(r.kept, U) for r in often)]))
+        answers = answers.unionByName(grams.where(F.col("kind") == level - 1))
+    out = score_chunks(chunks, answers, bits, hot_sums, total, distinct)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))

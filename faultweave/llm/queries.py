@@ -71,7 +71,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
 
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    out = score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    out = score_texts(table(spark, sf_dir, "documents"), ~held_out, min_count=1, order=3)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -63,3 +63,29 @@ def test_probabilities_add_up():
     left = 1 - sum(x - lm.DISCOUNT for x in pairs.values()) / counts["a"]
     total = sum(max(pairs.get(("a", w), 0) - lm.DISCOUNT, 0) / counts["a"] + left * (c + 1) / (n + v + 1) for w, c in counts.items()) + left / (n + v + 1)
     assert np.isclose(total, 1)
+
+
+def test_trigrams_with_failure_arcs(docs_of, odd_rows, monkeypatch):
+    """All n-grams count, and a state of two tokens fails to that of one, then the empty."""
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 500)
+    rows = odd_rows + [(i, filler(i % 50, 40).lower() + " of the " * (i % 9) + filler(i % 7, 5).lower()) for i in range(10, 200)]
+    texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [0, 0, *re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]) for i, t in rows]
+    c, seen, kinds = Counter(), Counter(), Counter()
+    for _, held_out, w in texts:
+        if not held_out:
+            for k in range(2, len(w)):
+                c.update([(w[k],), (w[k - 1], w[k]), (w[k - 2], w[k - 1], w[k])])
+    for g, x in c.items():
+        if len(g) > 1:
+            seen[g[:-1]] += x
+            kinds[g[:-1]] += 1
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+
+    def p(*g):
+        if len(g) == 1:
+            return (c[g] + 1) / (n + v + 1)
+        h = g[:-1]
+        return p(*g[1:]) if not seen[h] else max(c[g] - lm.DISCOUNT, 0) / seen[h] + lm.DISCOUNT * kinds[h] / seen[h] * p(*g[1:])
+
+    want = sorted((str(i), round(sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w))), 4)) for i, _, w in texts)
+    assert sorted((r[0], r[6]) for r in got(lm.score_texts(docs_of(rows), ~held(), min_count=1, order=3))) == want
