@@ -24,7 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: what follows may read it often, and a lost executor
-    does not make Spark redo what came before."""
+    does not make Spark redo what came before. ``discard`` removes the files."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_path.rpartition("/")[0])
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
