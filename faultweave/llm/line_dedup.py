@@ -1,32 +1,35 @@
 """Line deduplication that can be extended and taken back.
 
 A line's key is its text, white space stripped at both ends and A-Z folded, as a digest
-of 128 bits. The exact state is a table of references, a row for each key and document
-holding it; from it come, per key, the number of documents and the largest id. Keys of
-at least ``min_chars`` code points in at least ``min_docs`` documents are frequent: their
-lines go from all documents but the one with the largest id. Cuckoo filters, a shard for
-every ``SHARD_KEYS`` frequent keys, screen lines before the exact table decides. Inserting
-and deleting documents changes the references, and puts into or takes out of the filters
-just the keys that became or ceased to be frequent.
+of 128 bits. The exact state is a log of references, a row for each key and document that
+comes to hold it (1) or ceases to (-1); from it come, per key, the number of documents and
+the largest id. Keys of at least ``min_chars`` code points in at least ``min_docs``
+documents are frequent: their lines go from all documents but the one with the largest id.
+Cuckoo filters, a shard for every ``SHARD_KEYS`` frequent keys, screen lines before the
+exact table decides; a key is looked up in its own shard only. Inserting and deleting
+documents appends to the log what changed, counts the touched keys anew, and puts into or
+takes out of the filters just the keys that became or ceased to be frequent.
 
 Defined results: null and empty texts are one empty line and keep it. Rows with one id
 count as one document. Rows without an id count for no key and lose every frequent line.
-A text of which no line is left is empty. Extra columns are kept; an empty table gives an
-empty result.
+A text of which no line is left is empty. Extra columns are kept, but ``n_lines`` and
+``n_dropped`` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few_rows, join_by_group, staged
+from ..operators.stage import discard
+from .common import BROADCAST_ROWS, join_by_group, quoted, small_side, staged, unused, with_row_key
 from .cuckoo import CuckooFilter, Full
 
 #: Fixed value: what is stripped from both ends of a line.
@@ -34,8 +37,11 @@ BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_KEYS = 50_000
-#: Filters together up to this size are sent to every task to screen lines.
-SCREEN_BYTES = 32 << 20
+#: Filters together up to this size are sent to every task to screen lines; beyond it the
+#: join with the exact table alone decides.
+SCREEN_BYTES = 64 << 20
+#: Parts that the log of references may have before it is written anew.
+MOST_PARTS = 16
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -46,44 +52,88 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
     return hashlib.blake2b(key, digest_size=16).digest()
 
 
-def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``key, doc_id``: the distinct keys of each row."""
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """``key, doc_id``: the distinct keys of each row. ``carry`` names more long columns."""
+    names = ["doc_id", *carry]
+
+    def packed(keys: list, rows: list, batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(batch.column(k).take(at) for k in range(len(names)))], ["key", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            keys, rows = [], []
+            for i, t in enumerate(batch.column(len(names))):
                 found = {line_key(x, min_chars) for x in (t.as_py() or "").encode().split(b"\n")}
                 found.discard(None)
                 keys += found
-                ids += [i] * len(found)
+                rows += [i] * len(found)
                 if len(keys) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
-                    keys, ids = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
+                    yield packed(keys, rows, batch)
+                    keys, rows = [], []
+            yield packed(keys, rows, batch)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, "text").mapInArrow(run, ", ".join(["key binary", *(f"{c} long" for c in names)]))
 
 
 @dataclass(frozen=True)
 class LineState:
     """The tables of an incremental run."""
 
-    references: DataFrame  # key, doc_id
+    parts: tuple[DataFrame, ...]  # key, doc_id, change
     frequent: DataFrame  # key, n_docs, max_doc
     filters: DataFrame  # shard, filter
     shards: int
     min_chars: int = MIN_CHARS
     min_docs: int = MIN_DOCS
 
+    @property
+    def log(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    @property
+    def references(self) -> DataFrame:
+        """``key, doc_id``: which document holds which key now."""
+        return held(self.log)
+
+
+def held(log: DataFrame) -> DataFrame:
+    return log.groupBy("key", "doc_id").agg(F.sum("change").alias("change")).where("change > 0").select("key", "doc_id")
+
 
 def shard_of(shards: int):
-    return F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    """The shard of column ``key``: digests are even, so their first bytes decide."""
+    return (F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") % shards).cast("int")
+
+
+def shards_of(keys: list[bytes], shards: int) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), ">u4").reshape(-1, 4)[:, 0].astype(np.int64) % shards
+
+
+class Screens:
+    """The filters by shard. A key is looked up in the filter of its own shard."""
+
+    def __init__(self, filters: dict[int, bytes], shards: int) -> None:
+        self.shards = shards
+        self.filters = {shard: CuckooFilter.load(raw) for shard, raw in filters.items()}
+
+    def contains(self, keys: list[bytes]) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        own = shards_of(keys, self.shards)
+        for shard in np.unique(own).tolist():
+            if shard in self.filters:
+                at = np.flatnonzero(own == shard)
+                out[at] = self.filters[shard].contains([keys[i] for i in at.tolist()])
+        return out
+
+
+def screens(state: LineState) -> Screens:
+    return Screens({r.shard: bytes(r.filter) for r in state.filters.collect()}, state.shards)
 
 
 def _frequent(references: DataFrame, min_docs: int) -> DataFrame:
     counts = references.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
-    return staged(counts.where(F.col("n_docs") >= min_docs), "line-counts")
+    return counts.where(F.col("n_docs") >= min_docs)
 
 
 def _built(frequent: DataFrame, shards: int) -> DataFrame:
@@ -98,47 +148,63 @@ def _built(frequent: DataFrame, shards: int) -> DataFrame:
 def start(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineState:
     """The state of a first set of documents."""
     found = line_keys(docs.where(F.col("doc_id").isNotNull()), min_chars)
-    references = staged(found.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).select("key", "doc_id"), "line-references")
-    frequent = _frequent(references, min_docs)
+    log = staged(found.groupBy("key", "doc_id").agg(F.lit(1).alias("change")), "line-references")
+    frequent = staged(_frequent(log, min_docs), "line-counts")
     shards = max(1, -(-frequent.count() // SHARD_KEYS))
-    return LineState(references, frequent, _built(frequent, shards), shards, min_chars, min_docs)
+    return LineState((log,), frequent, _built(frequent, shards), shards, min_chars, min_docs)
 
 
-def _moved(state: LineState, references: DataFrame) -> LineState:
-    frequent = _frequent(references, state.min_docs)
-    up = frequent.join(state.frequent, "key", "left_anti").select("key", F.lit(True).alias("up"))
-    down = state.frequent.join(frequent, "key", "left_anti").select("key", F.lit(False).alias("up"))
-    changes = up.unionByName(down).withColumn("shard", shard_of(state.shards))
+def _moved(state: LineState, change: DataFrame) -> LineState:
+    """The state after a staged change of the log. Only touched keys are counted anew, and
+    only filters of their shards are written anew."""
+    parts = (*state.parts, change)
+    touched = staged(change.select("key").distinct(), "line-touched")
+    log = reduce(DataFrame.unionByName, parts)
+    now = staged(_frequent(held(log.join(small_side(touched), "key", "left_semi")), state.min_docs), "line-recounted")
+    frequent = staged(state.frequent.join(small_side(touched), "key", "left_anti").unionByName(now), "line-counts")
+    up = now.join(state.frequent, "key", "left_anti").select("key", F.lit(True).alias("up"))
+    down = state.frequent.join(small_side(touched), "key", "left_semi").join(now, "key", "left_anti").select("key", F.lit(False).alias("up"))
+    changes = staged(up.unionByName(down).withColumn("shard", shard_of(state.shards)), "line-changes")
 
     def update(old: pa.Table, new: pa.Table) -> pa.Table:
-        shard = (new if new.num_rows else old).column("shard").slice(0, 1)
         raw = old.column("filter").to_pylist()
         filter_ = CuckooFilter.load(raw[0]) if raw else CuckooFilter.sized(SHARD_KEYS)
         rows = list(zip(new.column("key").to_pylist(), new.column("up").to_pylist(), strict=True))
         filter_.delete([k for k, u in rows if not u])
         try:
             filter_.insert([k for k, u in rows if u])
+            dumped = filter_.dump()
         except Full:
-            return pa.table({"shard": shard, "filter": pa.array([b""], pa.binary())})
-        return pa.table({"shard": shard, "filter": pa.array([filter_.dump()], pa.binary())})
+            dumped = b""
+        return pa.table({"shard": new.column("shard").slice(0, 1), "filter": pa.array([dumped], pa.binary())})
 
-    filters = staged(state.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, "shard int, filter binary"), "line-filters")
+    mine = changes.select("shard").distinct()
+    old = state.filters.join(mine, "shard", "left_semi")
+    filters = state.filters.join(mine, "shard", "left_anti").unionByName(old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(update, "shard int, filter binary"))
+    filters, shards = staged(filters, "line-filters"), state.shards
     if filters.where(F.octet_length("filter") == 0).limit(1).count():
         shards = max(1, -(-frequent.count() // SHARD_KEYS))
-        return replace(state, references=references, frequent=frequent, filters=_built(frequent, shards), shards=shards)
-    return replace(state, references=references, frequent=frequent, filters=filters)
+        filters = _built(frequent, shards)
+    discard(touched, changes, now)
+    if len(parts) > MOST_PARTS:
+        parts = (staged(held(log).withColumn("change", F.lit(1)), "line-references"),)
+    return replace(state, parts=parts, frequent=frequent, filters=filters, shards=shards)
 
 
 def insert_documents(state: LineState, docs: DataFrame) -> LineState:
     """The state with more documents; ids may be new or old."""
     found = line_keys(docs.where(F.col("doc_id").isNotNull()), state.min_chars)
-    both = state.references.unionByName(found).groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-    return _moved(state, staged(both.select("key", "doc_id"), "line-references"))
+    found = staged(found.groupBy("key", "doc_id").agg(F.lit(1).alias("change")), "line-found")
+    there = held(state.log.join(small_side(found.select("doc_id").distinct()), "doc_id", "left_semi"))
+    change = staged(found.join(there, ["key", "doc_id"], "left_anti"), "line-references")
+    discard(found)
+    return _moved(state, change)
 
 
 def delete_documents(state: LineState, ids: DataFrame) -> LineState:
     """The state without the documents in ``ids`` (column ``doc_id``)."""
-    return _moved(state, staged(state.references.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("key", "doc_id"), "line-references"))
+    there = held(state.log.join(small_side(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()), "doc_id", "left_semi"))
+    return _moved(state, staged(there.withColumn("change", F.lit(-1)), "line-references"))
 
 
 DROPPED = "struct<text:string,n_lines:long,n_dropped:long>"
@@ -150,33 +216,52 @@ def drop_lines(docs: DataFrame, state: LineState, broadcast_rows: int = BROADCAS
 
     Up to ``broadcast_rows`` frequent keys the filters and the exact table go to every
     task. Beyond that lines travel to the exact table: a shuffle by key, then the keys to
-    drop to their documents by id. The result is the same.
+    drop to their rows. The result is the same.
     """
-    rest = [c for c in docs.columns if c != "text"]
-    if few_rows(state.frequent, broadcast_rows):
-        out = _drop_in_place(docs, state)
+    (kept,) = unused(docs.columns, "_kept")
+    rest = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
+    if state.frequent.count() <= broadcast_rows:
+        out = _drop_in_place(docs, state, kept)
     else:
-        out = _drop_by_shuffle(docs, state)
-    return out.select(*[F.col(f"`{c}`") for c in rest], F.col("_kept.text").alias("text"), F.col("_kept.n_lines").alias("n_lines"), F.col("_kept.n_dropped").alias("n_dropped"))
+        out = _drop_by_shuffle(docs, state, kept)
+    return out.select(*quoted(rest), *[F.col(kept)[c].alias(c) for c in ("text", "n_lines", "n_dropped")])
+
+
+class Exact:
+    """Frequent keys with the largest id that holds them, as sorted arrays."""
+
+    def __init__(self, keys: list[bytes], top: list[int]) -> None:
+        raw = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+        order = np.lexsort((raw[:, 1], raw[:, 0]))
+        self.a, self.b, self.top = raw[order, 0], raw[order, 1], np.array(top, np.int64)[order]
+
+    def get(self, keys: list[bytes]) -> dict[bytes, int]:
+        if not keys:
+            return {}
+        raw, out = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2), {}
+        lo, hi = np.searchsorted(self.a, raw[:, 0]), np.searchsorted(self.a, raw[:, 0], "right")
+        for key, b, i, j in zip(keys, raw[:, 1].tolist(), lo.tolist(), hi.tolist(), strict=True):
+            for k in range(i, j):
+                if int(self.b[k]) == b:
+                    out[key] = int(self.top[k])
+        return out
 
 
-def _drop_in_place(docs: DataFrame, state: LineState) -> DataFrame:
+def _drop_in_place(docs: DataFrame, state: LineState, name: str) -> DataFrame:
     sc = docs.sparkSession.sparkContext
-    exact = sc.broadcast({bytes(r.key): r.max_doc for r in state.frequent.select("key", "max_doc").collect()})
-    filters = sc.broadcast([bytes(r.filter) for r in state.filters.collect()])
+    frequent = state.frequent.select("key", "max_doc").toArrow()
+    exact = sc.broadcast(Exact(frequent.column("key").to_pylist(), frequent.column("max_doc").to_pylist()))
+    filters = sc.broadcast(screens(state))
     min_chars = state.min_chars
 
     @F.arrow_udf(DROPPED)
     def kept(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        table, screens = exact.value, [CuckooFilter.load(f) for f in filters.value]
         doc_ids, raws = ids.to_pylist(), [(t.as_py() or "").encode() for t in texts]
         split = [r.split(b"\n") for r in raws]
         keys = [[line_key(x, min_chars) for x in lines] for lines in split]
         flat = list({k for ks in keys for k in ks if k is not None})
-        maybe = np.zeros(len(flat), bool)
-        for s in screens:
-            maybe |= s.contains(flat)
-        hits = {k: table[k] for k, m in zip(flat, maybe, strict=True) if m and k in table}
+        maybe = filters.value.contains(flat)
+        hits = exact.value.get([k for k, m in zip(flat, maybe, strict=True) if m])
         rows = []
         for i, raw, lines, ks in zip(doc_ids, raws, split, keys, strict=True):
             gone = [k in hits and (i is None or i < hits[k]) for k in ks]
@@ -185,28 +270,26 @@ def _drop_in_place(docs: DataFrame, state: LineState) -> DataFrame:
             rows.append({"text": text.decode(), "n_lines": len(lines), "n_dropped": n})
         return pa.array(rows, _SCHEMA)
 
-    return docs.withColumn("_kept", kept(F.col("doc_id").cast("long"), F.col("text")))
+    return docs.withColumn(name, kept(F.col("doc_id").cast("long"), F.col("text")))
 
 
-def _drop_by_shuffle(docs: DataFrame, state: LineState) -> DataFrame:
-    found = line_keys(docs, state.min_chars)
+def _drop_by_shuffle(docs: DataFrame, state: LineState, name: str) -> DataFrame:
+    # Keys come back by row, not by id: rows without an id are many rows, not one key.
+    keyed, (a, b) = with_row_key(docs)
+    found = line_keys(keyed, state.min_chars, [a, b])
     size = state.filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size <= SCREEN_BYTES:
-        filters = docs.sparkSession.sparkContext.broadcast([bytes(r.filter) for r in state.filters.collect()])
+        filters = docs.sparkSession.sparkContext.broadcast(screens(state))
 
         def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            screens = [CuckooFilter.load(f) for f in filters.value]
             for batch in batches:
-                keys = batch.column(0).to_pylist()
-                maybe = np.zeros(len(keys), bool)
-                for s in screens:
-                    maybe |= s.contains(keys)
-                yield batch.filter(pa.array(maybe))
+                yield batch.filter(pa.array(filters.value.contains(batch.column(0).to_pylist())))
 
-        found = found.mapInArrow(screen, "key binary, doc_id long")
+        found = found.mapInArrow(screen, found.schema)
     lost = join_by_group(found, state.frequent, "key", "n_docs", "inner").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("max_doc")))
-    lost = lost.groupBy("doc_id").agg(F.collect_set("key").alias("_lost")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    (gone,) = unused([*docs.columns, a, b, name], "_lost")
+    lost = lost.groupBy(a, b).agg(F.collect_set("key").alias(gone))
+    joined = keyed.join(lost.hint("shuffle_hash"), [a, b], "left")
     min_chars = state.min_chars
 
     @F.arrow_udf(DROPPED)
@@ -219,7 +302,7 @@ def _drop_by_shuffle(docs: DataFrame, state: LineState) -> DataFrame:
             rows.append({"text": b"\n".join(left).decode(), "n_lines": len(lines), "n_dropped": len(lines) - len(left)})
         return pa.array(rows, _SCHEMA)
 
-    return joined.withColumn("_kept", kept("text", "_lost")).drop("_lost")
+    return joined.withColumn(name, kept(F.col("text"), F.col(gone)))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -60,9 +60,42 @@ def test_insert_and_delete(docs_of, spark):
     rest = [r for r in rows if r[0] in kept]
     assert table(back) == table(L.start(docs_of(rest)))
     for state in (grown, back):
-        filters = [CuckooFilter.load(bytes(r.filter)) for r in state.filters.collect()]
-        keys = [bytes(r.key) for r in state.frequent.collect()]
-        assert np.array([f.contains(keys) for f in filters]).any(0).all()
+        assert L.screens(state).contains([bytes(r.key) for r in state.frequent.collect()]).all()
+    # What was there before is not written again: the log only grows by what changed.
+    assert len(grown.parts) == 2 and len(back.parts) == 3
+    again = L.insert_documents(grown, more)
+    assert again.parts[-1].count() == 0 and table(again) == table(grown)
+
+
+def test_parts_are_joined_up(docs_of, spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_PARTS", 2)
+    rows = sample(60)
+    state = L.start(docs_of(rows[:20]))
+    for k in (20, 40):
+        state = L.insert_documents(state, docs_of(rows[k : k + 20]))
+    ids = sorted({r[0] for r in rows if r[0] is not None})[:10]
+    back = L.insert_documents(L.delete_documents(state, spark.createDataFrame([(i,) for i in ids], "doc_id long")), docs_of([r for r in rows if r[0] in ids]))
+    for s in (state, back):
+        assert len(s.parts) <= 2 and rows_of(L.drop_lines(docs_of(rows), s)) == brute(rows)
+
+
+def test_a_lookup_touches_one_shard(docs_of, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 4)
+    docs = docs_of(sample(90))
+    state = L.start(docs)
+    keys = [bytes(r.key) for r in state.frequent.collect()]
+    assert state.shards > 1 and rows_of(L.drop_lines(docs, state)) == rows_of(L.drop_lines(docs, state, broadcast_rows=-1))
+    made, asked = L.screens(state), []
+    monkeypatch.setattr(CuckooFilter, "contains", lambda self, ks: asked.extend(ks) or np.ones(len(ks), bool))
+    assert made.contains(keys).all() and sorted(asked) == sorted(keys)
+
+
+def test_clashing_columns(docs_of):
+    rows = sample(30)
+    docs = docs_of(rows).withColumnsRenamed({"score": "n_lines", "key": "_kept"}).selectExpr("*", "1 AS _key_a", "2 AS _lost", "3 AS N_dropped")
+    for most in (L.BROADCAST_ROWS, -1):
+        out = L.drop_lines(docs, L.start(docs), most)
+        assert rows_of(out) == brute(rows) and sorted(out.columns) == sorted(["doc_id", "lang", "source", "n_chars", "_kept", "_key_a", "_lost", "text", "n_lines", "n_dropped"])
 
 
 def test_cuckoo_filter():
