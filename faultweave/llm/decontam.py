@@ -9,8 +9,9 @@ same placeholders must map one to one in at least ``consistency`` of the item's
 Equal values are a copy, other values a re-parameterised question. All of it is DataFrame
 functions; no text is shuffled unless more documents match than may be broadcast.
 
-A window may stand in a document many times. All its places are kept, and the slots are
-judged for each way to lay the item over the document (``layings``); the best one counts.
+A window may stand in a document many times. All its places are kept, and coverage and
+slots are judged for each way to lay the item over one passage of the document
+(``layings``); the best one counts.
 
 This is done in three forms of the texts, on both sides, and an item is held if it is held
 in one of them; the figures are those of the first: names inside sentences, as above; all
@@ -23,8 +24,9 @@ Items shorter than ``window`` are one window of their own length, if that is at
 ``shortest``.
 
 Defined results: null and empty texts hold nothing, and null or shorter items are held by
-nothing. Rows with equal id and text are one document. Items with equal texts are reported
-each. Extra columns do not matter; empty tables give an empty result.
+nothing; items without an id are left out. Rows with equal id and text are one document.
+Items with equal texts are reported each. Extra columns do not matter; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, small_side, staged
+from .common import quoted, row_key, small_side, staged, with_row_key
 
 WINDOW = 8
 SHORTEST = 5
@@ -48,11 +50,11 @@ UNITS = (
     "second seconds minute minutes min hour hours day days week weeks month months year years "
     "percent cent cents dollar dollars euro euros pound pounds degree degrees meter meters metre metres gram grams kilogram kilograms kilometer kilometers mph kmh"
 ).split()
-NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*"
-TOKEN = f"{OPEN}[^{CLOSE}]*{CLOSE}|[0-9]+(?:[.,][0-9]+)*|\\p{{L}}+"
-
-
-#: The names of the forms. The loop is possessive: others recurse in Java.
+#: Names inside sentences; tokens. All loops are possessive: others call
+#: themselves in Java for every repeat, and a long list of names would end the executor.
+NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
+TOKEN = f"{OPEN}[^{CLOSE}]*+{CLOSE}|[0-9]++(?:[.,][0-9]++)*+|\\p{{L}}++"
+#: The names of the forms.
 CAPITALISED = r"(?<!\p{L})\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)*+"
 FORMS = (NAMES, CAPITALISED, None)
 
@@ -144,47 +146,52 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
         of_form = runs.join(side.where(F.col("form") == form), "h").select("row", "doc_id", "item_id", "form", "ipos", "dpos", "k")
         hits = of_form if hits is None else hits.unionByName(of_form)
     held = hits.distinct().groupBy("row", "doc_id", "item_id", "form").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
-    held = held.withColumn("n_matched", F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))).cast("long"))
-    held = held.join(small_side(wanted), ["item_id", "form"]).where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    # Less than that in the whole document cannot be enough in a passage of it.
+    held = held.join(small_side(wanted), ["item_id", "form"]).where(F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))) >= coverage * F.col("n_windows"))
     held = staged(held, "held")
-    slots = slot_pairs(held, docs, bench, coverage)
-    out = held.drop("hits").join(small_side(slots), ["row", "item_id", "form"], "left")
-    out = out.withColumn("n_slots", F.coalesce("n_slots", F.lit(0))).withColumn("slot_consistency", F.coalesce("slot_consistency", F.lit(1.0))).withColumn("verbatim", F.coalesce("verbatim", F.lit(True)))
-    told = ["n_windows", "n_matched", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_slots", "slot_consistency", "verbatim"]
-    out = out.where(F.col("slot_consistency") >= consistency).groupBy("row", "doc_id", "item_id").agg(F.min_by(F.struct(*told), "form").alias("x"))
-    return out.select("row", "doc_id", "item_id", "x.*")
+    laid = staged(layings(held, coverage), "layings")
+    judged = staged(best_layings(laid, docs, bench), "judged")
+    same = ["row", "item_id", "form"]
+    told = ["n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("coverage"), "best.n_slots", "best.slot_consistency", "best.verbatim"]
+    out = held.drop("hits").join(judged.where(F.col("best.slot_consistency") >= consistency), same).groupBy("row", "doc_id", "item_id")
+    return out.agg(F.min_by(F.struct(*told), "form").alias("x")).select("row", "doc_id", "item_id", "x.*")
 
 
 def layings(held: DataFrame, coverage: float) -> DataFrame:
     """``row, item_id, form, layings``: the ways to lay an item over a document, each as places
     ``ipos, dpos, k`` of at least ``coverage`` of the item's windows. They are, for each
     shift ``dpos - ipos``, the windows at that shift alone, and with every other window at
-    its shift nearest to that one, which goes over words put in or left out; and the first
-    place of every window. All but the first are rows, as a document may have many shifts."""
+    its shift nearest to that one, which goes over words put in or left out, but no further
+    away than the item has windows: that would be another passage. They are rows until
+    they are complete, as a document may have many shifts."""
     same = ["row", "item_id", "form"]
     pair = [*same, "n_windows"]
     held = held.select(*pair, "hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["dpos"] - h["ipos"]))).alias("n_shifts"))
     single = held.where("n_shifts = 1").select(*same, F.array("hits").alias("layings"))
     flat = held.where("n_shifts > 1").select(*pair, F.explode("hits").alias("x")).select(*pair, "x.ipos", "x.dpos", "x.k", (F.col("x.dpos") - F.col("x.ipos")).alias("shift"))
-    first = flat.groupBy(*pair, "ipos", "k").agg(F.min("dpos").alias("dpos")).select(*pair, F.lit(0).alias("kind"), F.lit(0).alias("at"), "ipos", "dpos", "k")
     alone = flat.select(*pair, F.lit(1).alias("kind"), F.col("shift").alias("at"), "ipos", "dpos", "k")
     grid = flat.select(*pair, "ipos", "k").distinct().join(flat.select(*same, F.col("shift").alias("at")).distinct(), same)
     grid = grid.join(flat.select(*same, "ipos", F.col("shift").alias("at"), "shift"), [*same, "ipos", "at"], "left")
     window = Window.partitionBy(*same, "ipos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grid = grid.withColumn("below", F.last("shift", True).over(window.orderBy("at"))).withColumn("above", F.last("shift", True).over(window.orderBy(F.desc("at"))))
     nearest = F.when(F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at")), F.col("below")).otherwise(F.col("above"))
-    near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + nearest).alias("dpos"), "k")
-    laid = first.unionByName(alone).unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    grid = grid.withColumn("nearest", nearest).where(F.abs(F.col("nearest") - F.col("at")) <= F.col("n_windows"))
+    near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + F.col("nearest")).alias("dpos"), "k")
+    laid = alone.unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
     laid = laid.where(F.size("hits") >= coverage * F.col("n_windows")).groupBy(*same).agg(F.collect_list("hits").alias("layings"))
     return single.unionByName(laid)
 
 
-def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame, coverage: float) -> DataFrame:
-    """For held items with slots, by the best way to lay them: how many values the item has
-    in them, what share maps one to one, and whether all values are equal."""
+def best_layings(laid: DataFrame, docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """``row, item_id, form, best``: of the ways to lay an item the best one: what share of
+    the values in the item's slots maps one to one (1 without slots), whether all are equal,
+    how many windows match, how many values there are."""
+    same = ["row", "item_id", "form"]
     slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item_id", "form", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
-    laid = staged(layings(held.join(small_side(slotted.select("item_id", "form").distinct()), ["item_id", "form"], "left_semi"), coverage), "layings")
-    asked = laid.join(small_side(slotted), ["item_id", "form"]).select("row", "item_id", "form", "layings", "itoks", "icanon")
+    plain = laid.join(small_side(slotted.select("item_id", "form").distinct()), ["item_id", "form"], "left_anti")
+    no_slots = F.struct(F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"), F.array_max(F.transform("layings", lambda x: F.size(x).cast("long"))).alias("n_matched"), F.lit(0).alias("n_slots"))
+    plain = plain.select(*same, no_slots.alias("best"))
+    asked = laid.join(small_side(slotted), ["item_id", "form"]).select(*same, "layings", "itoks", "icanon")
     keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "form").distinct(), "slot-rows"))
     texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"])
     texts = staged(texts.select("row", "form", tokens_of(F.col("text"), F.col("form")).alias("dtoks")), "slot-texts").dropDuplicates(["row", "form"])
@@ -198,24 +205,24 @@ def slot_pairs(held: DataFrame, docs: DataFrame, bench: DataFrame, coverage: flo
                 lambda j: F.struct(F.get("itoks", h["ipos"] + j).alias("i"), F.get("dtoks", h["dpos"] + j).alias("d")),
             ),
         )
-        return F.array_distinct(F.flatten(one))
+        return F.struct(F.size(hits).cast("long").alias("n_matched"), F.array_distinct(F.flatten(one)).alias("pairs"))
+
+    def counted(x: Column) -> Column:
+        pairs = x["pairs"]
+        of_item, of_doc = F.array_distinct(F.transform(pairs, lambda p: p["i"])), F.array_distinct(F.transform(pairs, lambda p: p["d"]))
+        return F.struct(x["n_matched"].alias("n_matched"), F.size(of_item).alias("n_slots"), F.greatest(F.size(pairs), F.size(of_doc)).alias("n_values"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("verbatim"))
 
     def judged(x: Column) -> Column:
         share = F.when(x["n_values"] == 0, 1.0).otherwise(x["n_slots"] / x["n_values"])
-        return F.struct(share.alias("slot_consistency"), x["verbatim"].alias("verbatim"), x["n_slots"].alias("n_slots"))
-
-    def counted(pairs: Column) -> Column:
-        of_item, of_doc = F.array_distinct(F.transform(pairs, lambda p: p["i"])), F.array_distinct(F.transform(pairs, lambda p: p["d"]))
-        return F.struct(F.size(of_item).alias("n_slots"), F.greatest(F.size(pairs), F.size(of_doc)).alias("n_values"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("verbatim"))
+        return F.struct(share.alias("slot_consistency"), x["verbatim"].alias("verbatim"), x["n_matched"].alias("n_matched"), x["n_slots"].alias("n_slots"))
 
-    at = at.select("row", "item_id", "form", F.transform("layings", values).alias("pairs"))
-    at = at.select("row", "item_id", "form", F.transform("pairs", counted).alias("counts"))
-    at = at.select("row", "item_id", "form", F.array_max(F.transform("counts", judged)).alias("best"))
-    return staged(at.select("row", "item_id", "form", "best.n_slots", "best.slot_consistency", "best.verbatim"), "slots")
+    at = at.select(*same, F.transform("layings", values).alias("pairs"))
+    at = at.select(*same, F.transform("pairs", counted).alias("counts"))
+    return plain.unionByName(at.select(*same, F.array_max(F.transform("counts", judged)).alias("best")))
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` but those that hold an item."""
-    gone = staged(found.select(F.col("row.a").alias("_a"), F.col("row.b").alias("_b")).distinct(), "contaminated")
-    keyed = docs.withColumn("_k", row_key()).withColumn("_a", F.col("_k.a")).withColumn("_b", F.col("_k.b"))
-    return keyed.join(small_side(gone), ["_a", "_b"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed, (a, b) = with_row_key(docs)
+    gone = staged(found.select(F.col("row.a").alias(a), F.col("row.b").alias(b)).distinct(), "contaminated")
+    return keyed.join(small_side(gone), [a, b], "left_anti").select(*quoted(docs.columns))

@@ -1,3 +1,5 @@
+import pytest
+
 from faultweave.llm.decontam import contaminated, without_contaminated
 
 from conftest_text import filler
@@ -25,7 +27,8 @@ def test_copies_and_new_parameters(spark, docs_of):
     # 'km' became 'miles' once and stayed once.
     assert not got[2, 10].verbatim and got[2, 10].slot_consistency == 7 / 8
     assert (5, 10) not in found(docs, bench, consistency=0.9)
-    assert sorted(r.doc_id for r in without_contaminated(docs, contaminated(docs, bench)).collect()) == [3, 5, 6, 7, 8] or (5, 10) in got
+    gone = {i for i, _ in got}
+    assert sorted(r.doc_id for r in without_contaminated(docs, contaminated(docs, bench)).collect()) == sorted({1, 2, 3, 4, 5, 6, 7, 8} - gone)
 
 
 def test_short_items_and_empty_tables(spark, docs_of):
@@ -42,7 +45,7 @@ def test_brute_force(spark):
 
     folder = "/root/testdata/sf0.001"
     if not os.path.isdir(folder):
-        return
+        pytest.skip("no data")
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     split = lambda t: re.findall(r"[^\W\d_]+|\d+", (t or "").lower())
     places, n = defaultdict(set), {}
@@ -87,3 +90,33 @@ def test_names_at_sentence_starts_and_other_letter_case(spark, docs_of):
     got = found(docs, items(spark, [(1, apples), (2, quoted), (3, crowd)]))
     assert {(1, 1), (2, 2), (3, 3), (4, 3), (5, 1)} <= set(got) and (6, 1) not in got
     assert got[3, 3].coverage == 1.0 and got[3, 3].verbatim and not got[1, 1].verbatim
+
+
+def test_long_lists_of_names_and_numbers(spark, docs_of):
+    """The regexes need no stack for repeats."""
+    bench = items(spark, [(1, ITEM)])
+    docs = docs_of([(1, "the " + "Anna " * 20_000 + ITEM), (2, "1," * 20_000 + "5 " + ITEM), (3, "x " + "Ab" * 20_000), (4, "Z" * 50_000 + " " + "9" * 50_000)])
+    assert set(found(docs, bench)) == {(1, 1), (2, 1)}
+
+
+def test_one_passage_has_to_hold_the_item(spark, docs_of):
+    """Another variant before the copy does no harm; pieces far apart are no copy."""
+    words = PLAIN.split()
+    apart = " ".join(words[:9]) + " " + filler(1, 60) + " " + " ".join(words[9:])
+    decoy = "drives 99 km in 8 hours and then walks 9 km with Carol and Dora, how far did they travel"
+    copy = ITEM.replace("120", "77").replace("Alice", "Maria").replace("Bob", "Paul")
+    docs = docs_of([(1, apart), (2, f"{decoy} {filler(2)} {copy}"), (3, filler(3) + PLAIN + filler(4) + PLAIN)])
+    got = found(docs, items(spark, [(1, PLAIN), (2, ITEM)]), coverage=0.6)
+    assert set(got) == {(2, 2), (3, 1)} and got[2, 2].slot_consistency == 1.0 and not got[2, 2].verbatim
+
+
+def test_two_instances_of_one_template(spark, docs_of):
+    one, two = (f"Maria packs {a} boxes with {b} books each and sends {c} boxes to the old school, how many books stay?" for a, b, c in ((3, 9, 2), (40, 50, 6)))
+    got = found(docs_of([(1, one + " " + filler(1) + " " + two)]), items(spark, [(1, one), (2, two)]))
+    assert set(got) == {(1, 1), (1, 2)} and got[1, 1].verbatim and got[1, 2].verbatim
+
+
+def test_clashing_columns(spark, docs_of):
+    docs = docs_of([(1, ITEM), (2, filler(3))]).withColumnsRenamed({"score": "_key", "key": "_KEY_A"})
+    kept = without_contaminated(docs, contaminated(docs, items(spark, [(1, ITEM)])))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.where("doc_id = 2").collect()]
