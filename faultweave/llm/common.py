@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a table that may be broadcast. Above this the shuffled form of a join is used.
+from ..operators import stage
+from ..operators.stage import shared_dir
+
+#: Rows and bytes of a table that may be broadcast. Above one of them the shuffled form of
+#: a join is used.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
 
@@ -40,9 +30,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later steps start from the
     files, so a lost executor does not make Spark redo what came before."""
     bounded_batches(df.sparkSession)
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage.staged(df, name)
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -51,31 +39,58 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; looks at no more than ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores more as make it differ from all columns.
+    Letter case does not tell columns apart in Spark."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
+def quoted(columns: Iterable[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small; otherwise hinted for a
-    shuffled hash join. The result of the join is the same either way."""
-    return F.broadcast(df) if few_rows(df, limit) else df.hint("shuffle_hash")
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _width(x, kind.elementType)), F.lit(16))
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if a count of its rows and bytes proves it small;
+    otherwise hinted for a shuffled hash join. The result of the join is the same."""
+    width = sum((_width(c, f.dataType) for c, f in zip(quoted(df.columns), df.schema, strict=True)), F.lit(16).cast("long"))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= most else df.hint("shuffle_hash")
 
 
 def join_by_group(rows: DataFrame, groups: DataFrame, key: str, n: str, how: str = "left", hot_share: int = 1000) -> DataFrame:
-    """Join one-row-per-key ``groups`` onto ``rows`` when a key may hold a large share
-    of all rows. ``n`` is the column of ``groups`` with the number of rows of the key.
+    """Join one-row-per-key ``groups`` (a table, as it is read three times) onto ``rows``
+    when a key may hold a large share of all rows. ``n`` is the column of ``groups`` with
+    the number of rows of the key.
 
     Keys with more than 1/``hot_share`` of all rows number fewer than ``hot_share``: a
     proven bound, so these are broadcast; all other keys are joined by a shuffle.
     """
+    (hot_name,) = unused([*rows.columns, *groups.columns], "_hot")
     total = groups.agg(F.sum(n)).first()[0] or 0
     bound = max(total // hot_share, 1000)
     hot, cold = groups.where(F.col(n) > bound), groups.where(F.col(n) <= bound)
-    keys = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    keys = F.broadcast(hot.select(key, F.lit(True).alias(hot_name)))
     marked = rows.join(keys, key, "left")
-    cold_rows = marked.where(F.col("_hot").isNull()).drop("_hot").join(cold, key, how)
-    hot_rows = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
+    cold_rows = marked.where(F.col(hot_name).isNull()).drop(hot_name).join(cold, key, how)
+    hot_rows = marked.where(F.col(hot_name)).drop(hot_name).join(F.broadcast(hot), key)
     return cold_rows.unionByName(hot_rows)
 
 
@@ -85,3 +100,9 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
         F.xxhash64(F.lit(1), F.col(doc_id).isNull(), doc_id, F.col(text).isNull(), text).alias("a"),
         F.xxhash64(F.lit(2), text, F.col(text).isNull(), doc_id, F.col(doc_id).isNull()).alias("b"),
     )
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the two halves of each row's key, and the names of these columns."""
+    k, a, b = unused(docs.columns, "_key", "_key_a", "_key_b")
+    return docs.withColumn(k, row_key()).withColumns({a: F.col(k)["a"], b: F.col(k)["b"]}).drop(k), [a, b]

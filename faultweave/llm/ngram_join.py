@@ -5,10 +5,12 @@ the set of its whole word sequence. Documents with equal sets form one class at
 only classes are compared. Band and row counts are the cheapest that find a pair at the
 threshold with the target recall. Classes that share a band are candidates: they are tied
 to their band's smallest member, and the connected groups are compared inside. A group is
-cut into blocks of bounded size and every pair of blocks is one task, so a large group
-spreads over many tasks and no pair becomes a row. A task compares full n-gram sets, of
-all pairs that share a band and may reach the threshold by size; it returns each class's
-number of links and links enough to keep the linked together.
+cut into blocks of bounded size, so that classes with one smallest member stay together,
+and every pair of blocks in which some band meets is one task: a large group spreads over
+many tasks, blocks of a loose group that share nothing are not compared, and no pair
+becomes a row. A task compares full n-gram sets, of all pairs that share a band and may
+reach the threshold by size; it returns each class's number of links and links enough to
+keep the linked together.
 
 Defined results: a null or empty text, and one without words, is the empty set; such
 documents equal each other (similarity 1) and nothing else. Rows with equal id and text
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_group, row_key, small_side, staged
+from ..operators.stage import discard
+from .common import join_by_group, quoted, row_key, small_side, staged, with_row_key
 from .components import components
 from .words import U, Words, buffers, chunks, mix, ngrams, scan
 
@@ -164,15 +167,42 @@ def joined(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tup
 LINKS = "a long, b long, sets long, docs long"
 
 
-def verify(members: DataFrame, threshold: float) -> DataFrame:
+def spread(classes: DataFrame, *keep: str) -> DataFrame:
+    """``band, value`` of each class, a row for each band, with the columns in ``keep``."""
+    values = F.transform(F.sequence(F.lit(0), (F.octet_length("bands") / 8 - 1).cast("int")), lambda i: F.xxhash64(F.substring(F.col("bands"), i * 8 + 1, F.lit(8))))
+    return classes.select(*keep, F.posexplode(values).alias("band", "value"))
+
+
+def blocks(groups: DataFrame, classes: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes in groups with their ``block`` (null where the group is one block), and
+    the pairs of blocks ``component, block, one, two`` that a block takes part in."""
+    size = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    homes = candidates.groupBy(F.col("a").alias("class")).agg(F.min("b").alias("home"))
+    members = groups.join(classes.select("class", "key", "copies", "n", "bands"), "class").join(homes, "class", "left")
+    members = staged(members.withColumn("home", F.coalesce("home", "class")), "members")
+    large = members.groupBy("component").agg(size.alias("parts")).where("parts > 1")
+    near = members.groupBy("component", "home").agg(size.alias("home_parts")).where("home_parts > 1")
+    placed = members.join(small_side(staged(large, "large")), "component", "left").join(small_side(staged(near, "near")), ["component", "home"], "left")
+    block = F.when(F.col("home_parts").isNotNull(), F.xxhash64("home", F.pmod(F.xxhash64("class"), "home_parts"))).otherwise(F.pmod(F.xxhash64("home"), "parts"))
+    placed = staged(placed.select("component", "class", "key", "copies", "bands", F.when(F.col("parts").isNotNull(), block).alias("block")), "blocks")
+    discard(members)
+    at = spread(placed.where("block is not null"), "component", "block").distinct()
+    two = at.select("component", F.col("block").alias("other"), "band", "value")
+    pairs = at.join(two, ["component", "band", "value"]).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct()
+    pairs = staged(pairs, "block-pairs")
+    both = pairs.select("component", F.col("one").alias("block"), "one", "two").unionByName(pairs.where("one != two").select("component", F.col("two").alias("block"), "one", "two"))
+    return placed, both
+
+
+def verify(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Rows ``(a, null, sets, docs)``: linked classes and documents of class ``a`` in a
     task; rows ``(a, b, 0, 0)``: links that keep the linked together.
 
-    ``members`` has ``component, blocks, block, class, copies, grams, bands``.
+    ``members`` has ``component, block, class, copies, grams, bands``; a block goes to all
+    ``pairs`` that it takes part in. A group that is one block is one task.
     """
-    # A block meets itself and each later block: it goes to all tasks that it takes part in.
-    tasks = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    tasks = members.join(small_side(pairs), ["component", "block"], "left")
+    tasks = tasks.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("block", "one", "two")})
 
     def compare(table: pa.Table) -> pa.Table:
         one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
@@ -203,36 +233,38 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     bands, rows = banding(threshold, recall)
     signed = staged(signatures(docs, bands, rows, n), "signatures")
     # A class is named by a number of its own, drawn from its key: ids may repeat or be null.
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.first("n").alias("n"))
+    # The row with the least key speaks for it.
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.first("n").alias("n"), F.min("row").alias("speaker"))
     classes = staged(classes.withColumn("class", F.xxhash64("key")), "classes")
-    spread = classes.where("n > 0").select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.substring("bands", i * 8 + 1, F.lit(8))))).alias("band", "value"))
-    hubs = spread.groupBy("band", "value").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    candidates = staged(spread.join(hubs, ["band", "value"]).where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
-    groups = components(candidates).withColumnRenamed("node", "class")
-    members = staged(groups.join(classes.select("class", "key", "copies", "n", "bands"), "class"), "members")
-    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), F.col("blocks")).cast("int"))
-    # Full n-gram sets, of one row for each class in a group: the one with the least key.
-    speakers = signed.groupBy("key").agg(F.min("row").alias("row"))
-    wanted = members.select("key", "component", "blocks", "block", "class", "copies", "bands").join(speakers, "key")
-    wanted = staged(wanted.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "component", "blocks", "block", "class", "copies", "bands"), "wanted")
+    values = spread(classes.where("n > 0"), "class")
+    hubs = values.groupBy("band", "value").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    candidates = staged(values.join(hubs, ["band", "value"]).where(F.col("class") != F.col("hub")).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "candidates")
+    members, pairs = blocks(components(candidates).withColumnRenamed("node", "class"), classes, candidates)
+    # Full n-gram sets, of one row for each class in a group.
+    wanted = members.join(classes.select("class", "speaker"), "class").select(F.col("speaker.a").alias("ra"), F.col("speaker.b").alias("rb"), "component", "block", "class", "copies", "bands")
+    wanted = staged(wanted, "wanted")
+    discard(candidates, members)
     texts = docs.select(row_key().alias("k"), F.lower("text").alias("text")).select(F.col("k.a").alias("ra"), F.col("k.b").alias("rb"), "text")
-    full = texts.join(small_side(wanted, 100_000), ["ra", "rb"])
+    full = texts.join(small_side(wanted), ["ra", "rb"])
     if repeated_rows(signed).limit(1).count():
         full = full.dropDuplicates(["ra", "rb"])
-    links = staged(verify(_with_sets(full, n), threshold), "links")
+    links = staged(verify(_with_sets(full, n), pairs, threshold), "links")
+    discard(wanted)
     counts = links.where("b is null").groupBy("a").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs")).withColumnRenamed("a", "class")
     joined = components(links.where("b is not null").select("a", "b")).withColumnRenamed("node", "class")
     named = classes.select("class", "key", "least_id", "copies").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")).join(counts, "class", "left")
+    named = staged(named, "classes-linked")
+    discard(links, classes)
     heads = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
     facts = named.join(heads, "component").select("key", F.col("component").alias("class"), "class_id", (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_linked_texts"), "copies")
-    facts = staged(facts, "classes-linked")
+    facts = staged(facts, "facts")
+    discard(named)
     return join_by_group(signed.select("row", "doc_id", "key", "n"), facts, "key", "copies", "inner").select("row", "doc_id", "class", "class_id", "n_links", "n_linked_texts", F.col("n").alias("n_grams"))
 
 
 def _with_sets(rows: DataFrame, n: int) -> DataFrame:
     """Members with their full n-gram sets."""
-    names = ["component", "blocks", "block", "class", "copies", "bands"]
+    names = ["component", "block", "class", "copies", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +275,7 @@ def _with_sets(rows: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), grams], [*names, "grams"])
 
-    schema = "component long, blocks int, block int, class long, copies long, bands binary, grams binary"
+    schema = "component long, block long, class long, copies long, bands binary, grams binary"
     return rows.select("text", *names).mapInArrow(run, schema)
 
 
@@ -256,14 +288,14 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one document of each class of ``near_duplicates``: that with the
     smallest id. Only keys of rows that go travel; rows that repeat it go too."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    heads = found.groupBy("class").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    heads = staged(found.groupBy("class").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"), "heads")
     gone = join_by_group(found.select("row", "class"), heads, "class", "members", "inner").where(F.col("row") != F.col("head.row"))
-    gone = staged(gone.select(F.col("row.a").alias("_a"), F.col("row.b").alias("_b")).distinct(), "gone")
-    keyed = docs.withColumn("_k", row_key()).withColumn("_a", F.col("_k.a")).withColumn("_b", F.col("_k.b")).drop("_k")
-    kept = keyed.join(small_side(gone), ["_a", "_b"], "left_anti")
-    again = repeated_rows(found)
+    keyed, (a, b) = with_row_key(docs)
+    gone = staged(gone.select(F.col("row.a").alias(a), F.col("row.b").alias(b)).distinct(), "gone")
+    kept = keyed.join(small_side(gone), [a, b], "left_anti")
+    again = staged(repeated_rows(found).select(F.col("row.a").alias(a), F.col("row.b").alias(b)), "repeated")
     if again.limit(1).count():
-        again = small_side(staged(again.select(F.col("row.a").alias("_a"), F.col("row.b").alias("_b")), "repeated"))
-        once = kept.join(again, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
-        kept = kept.join(again, ["_a", "_b"], "left_anti").unionByName(once)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        again = small_side(again)
+        once = kept.join(again, [a, b], "left_semi").dropDuplicates([a, b])
+        kept = kept.join(again, [a, b], "left_anti").unionByName(once)
+    return kept.select(*quoted(docs.columns))

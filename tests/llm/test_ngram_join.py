@@ -72,3 +72,10 @@ def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (50, 50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 200: 100, 300: 100}
+
+
+def test_clashing_columns(docs_of):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words stand in this text")]
+    docs = docs_of(rows).withColumnsRenamed({"score": "_key", "key": "_Key_b"})
+    kept = J.keep_one(docs, J.near_duplicates(docs))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
