@@ -1,29 +1,31 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is an n-gram model of any ``order`` over all training tokens. Its automaton has
-the empty state, whose arcs carry the smoothed unigrams, and a state for every context of
-up to ``order - 1`` tokens. A state's arcs carry its kept n-grams (seen at least
-``min_count`` times); its failure arc leads to the state without the oldest token, with
-the weight that is left over. A text is read from left to right: the state after a token
-is the arc's n-gram, and the failure arcs are followed down to the empty state, so that
-with h' for h without its oldest token
+The model is an n-gram model of any ``order`` over all training tokens, all n-grams kept.
+Its automaton has the empty state, whose arcs carry the smoothed unigrams, and a state for
+every context of up to ``order - 1`` tokens. A state's arcs carry its n-grams; its failure
+arc leads to the state without the oldest token, with the weight that is left over. A text
+is read from left to right, the state carried from token to token: where the state has an
+arc for the token its weight counts, else the failure arc's, and the next shorter state is
+tried, down to the empty one. With h' for h without its oldest token the weights are
 
     p(w)      = (c(w) + 1) / (N + V + 1)
-    p(w | h)  = max(c(h, w) - D, 0) / c(h) + left(h) * p(w | h')    c(h, w) >= min_count
-    p(w | h)  = left(h) * p(w | h')                                 otherwise
-    left(h)   = 1 - sum of (c(h, w) - D) / c(h) over the kept w
+    p(w | h)  = (c(h, w) - D) / c(h) + left(h) * p(w | h')    if c(h, w) > 0
+    left(h)   = D * kinds(h) / c(h), kinds(h) the number of tokens seen after h
 
-Before a text's first token stands the start, as often as the context is long.
+and those of a context never seen are the shorter one's. Before a text's first token
+stands the start, as often as the context is long.
 
 Nothing of the model is ever in one place. Texts are encoded once, some megabytes of them
 as one row (a chunk): token numbers, and the chunk's own vocabulary as 64-bit hashes. A
-chunk then asks for the counts of its own words and bigrams: sorted hashes go to buckets,
-a bucket adds up what all chunks counted and answers each with what it asked for. What a
-chunk gets back is the part of the automaton that its texts can reach. Bigrams lie with
-their context, so a bucket knows the weight left over; contexts that hold more than
-1/1000 of all tokens (fewer than 1,000 an order) are split over ``SALTS`` buckets and their
-sums added up. The orders are counted one after the other: one tells the next's contexts. Words of one hash count as one word; for 10^9 distinct words that is
-expected for less than one pair.
+chunk asks for the counts of its words, then of its n-grams of all orders in one go. They
+go to buckets, an n-gram with its context; a bucket adds up what all chunks counted and
+answers each with what it asked for, so a chunk gets back the part of the automaton that
+its texts can reach. c(h) is the count of h as an n-gram of the order below. Contexts that
+hold more than 1/``HOT`` of all tokens (fewer than ``HOT`` an order) are split over
+``SALTS`` buckets by their next token, and ``kinds`` added up where the answers meet again.
+Which contexts are split changes no result. On the way words stand as places in a book of
+the most frequent ones (at most ``BOOK``, broadcast), all others as hashes. Words of one
+hash count as one word; for 10^9 distinct words that is expected for less than one pair.
 
 Defined results: a null text counts as empty; its only token is the end. Rows without an
 id are training rows. Repeated rows count as often as they occur. With no training row
@@ -33,6 +35,7 @@ N and V are 0. Extra columns do not matter; an empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,38 +46,81 @@ from pyspark.sql import functions as F
 from .common import staged
 from .words import TOKENS, U, mix, scans
 
-CHUNK_BYTES = 16 << 20
+ORDER = 3
+CHUNK_BYTES = 6 << 20
 BUCKET_KEYS = 1_000_000
 SALTS = 16
-HOT = 1000
+HOT_BITS = 10
+HOT = 1 << HOT_BITS
+BOOK = 65_534
+#: Words are told by classes: those with more than 1/2^k of all training tokens.
+CLASSES = range(1, 25)
 DISCOUNT = 0.5
-MIN_COUNT = 2
-#: The end of a text, and the context of its first token.
+#: The end of a text, and what stands before its first token.
 END, START = mix(np.array([0xE0D], U))[0], mix(np.array([0x57A27], U))[0]
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True) if len(x) else b""
+    """Whole numbers from 0 on, as few bytes each as the largest needs, byte by byte."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpack(raw: bytes, n: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : raw[0]] = np.frombuffer(pa.decompress(raw[1:], n * raw[0], "zstd", asbytes=True), np.uint8).reshape(raw[0], n).T
+    return out.view("<u8").reshape(-1).astype(np.int64)
 
 
-ENCODED = "chunk long, doc_ids array<long>, train binary, sizes binary, n_tokens long, tokens binary, n_words long, words binary, counts binary, n_train long"
+def _gram(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram, from its context's and its last word's."""
+    return mix(head * U(0x9E3779B97F4A7C15) + mix(tail) + U(1))
 
 
-def encode(docs: DataFrame, train) -> DataFrame:
+def often(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, order: int) -> list[dict]:
+    """The chunk's n-grams, of orders 2 to ``order - 1``, that hold more than 1/``HOT`` of
+    its tokens. Only n-grams whose parts do so are looked at."""
+    out, limit, n = [], max(1, len(tokens) >> HOT_BITS), len(words)
+    starts = np.cumsum(sizes) - sizes
+    frequent = np.bincount(tokens, minlength=n)[tokens] > limit
+    at, fine, heads, first = tokens, frequent, words, np.array([START], U)
+    for level in range(2, order):
+        before, open_ = np.empty(len(tokens), np.int64), np.empty(len(tokens), bool)
+        before[1:], open_[1:] = at[:-1], fine[:-1]
+        before[starts], open_[starts] = len(heads), True
+        pick = np.flatnonzero(frequent & open_)
+        codes, of, counts = np.unique(before[pick] * n + tokens[pick], return_inverse=True, return_counts=True)
+        heads, first = _gram(np.append(heads, first)[codes // max(1, n)], words[codes % max(1, n)]), _gram(first, np.array([START], U))
+        many = counts > limit
+        out += [{"level": level, "hash": h, "n": c} for h, c in zip(heads[many].view(np.int64).tolist(), counts[many].tolist(), strict=True)]
+        at, fine = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        at[pick], fine[pick] = of, many[of]
+    return out
+
+
+ENCODED = "chunk long, doc_ids array<long>, train binary, sizes binary, n_tokens long, tokens binary, n_words long, words binary, counts binary, n_train long, n_texts long, often array<struct<level:int,hash:long,n:long>>"
+
+
+def encode(docs: DataFrame, train, order: int) -> DataFrame:
     """Texts as chunks. ``train`` is a boolean column."""
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())]))]
+    names = ["chunk", "doc_ids", "train", "sizes", "n_tokens", "tokens", "n_words", "words", "counts", "n_train", "n_texts", "often"]
 
     def chunk(number: int, ids: list, train: list, parts: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(p) for p in parts], np.int64)
-        words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
+        words, tokens, seen = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order_ = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order_] = np.arange(len(words))
+        words, tokens = words[order_], rank[tokens]
         used = np.repeat(np.array(train, bool), sizes)
-        counts = np.bincount(tokens[used], minlength=len(words)).astype(np.int32)
-        row = [number, ids, np.array(train, np.uint8).tobytes(), sizes.tobytes(), len(tokens), _pack(tokens.astype(np.int32)), len(words), words.tobytes(), _pack(counts), int(used.sum())]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])
+        counts = np.bincount(tokens[used], minlength=len(words))
+        row = [number, ids, np.array(train, np.uint8).tobytes(), sizes.tobytes(), len(tokens), _pack(tokens), len(words), words.tobytes(), _pack(counts), int(used.sum()), sum(train), often(tokens, sizes, words, order)]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -111,233 +157,300 @@ def _bits(keys: int) -> int:
     return max(1, int(np.ceil(np.log2(max(1, keys / BUCKET_KEYS)))))
 
 
-ANSWER = "chunk long, kind int, place long, kept binary, n long, counts binary, masses binary"
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    named = [x.split() for x in schema.split(", ")]
+    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
 
 
-def _answer_rows(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table({x.split()[0]: pa.array(c, k) for x, c, k in zip(ANSWER.split(", "), columns, kinds, strict=True)})
+#: What a bucket says to a chunk: level 1, words; higher, n-grams; 0 and below, to all.
+ANSWER = "chunk long, level int, place long, n long, counts binary, n_runs long, kinds binary"
 
 
 def word_counts(chunks: DataFrame, bits: int, total: int) -> DataFrame:
-    """Answers of kind 0 for each chunk: the training count of each of its words. Kind -1:
-    how many distinct training words a bucket has, and its hot words."""
+    """The training counts of each chunk's words, in the order of their hashes. To all: how
+    many distinct training words a bucket has (level 0), and the words of a class (-k) that
+    are in none before."""
+    asks = "bucket int, chunk long, place long, n long, words binary, counts binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, words, n, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words, counts = np.frombuffer(words, U), _unpack(counts, n, np.int32)
-                rows = [(b, number, lo, words[lo:hi].tobytes(), _pack(counts[lo:hi])) for b, lo, hi in _runs((words >> U(64 - bits)).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "place", "words", "counts"])
+                words = np.frombuffer(words, U)
+                order = np.argsort(words)
+                words, counts = words[order], _unpack(counts, n)[order]
+                yield _table([(b, number, lo, hi - lo, words[lo:hi].tobytes(), _pack(counts[lo:hi])) for b, lo, hi in _runs((words >> U(64 - bits)).astype(np.int64))], asks)
 
     def answer(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w, U) for w in table.column("words").to_pylist()]
-        counts = np.concatenate([_unpack(c, len(w), np.int32) for c, w in zip(table.column("counts").to_pylist(), words, strict=True)])
-        found, at = np.unique(np.concatenate(words), return_inverse=True)
+        asked = table.to_pylist()
+        counts = np.concatenate([_unpack(r["counts"], r["n"]) for r in asked])
+        found, at = np.unique(np.concatenate([np.frombuffer(r["words"], U) for r in asked]), return_inverse=True)
         sums = np.bincount(at, counts, len(found)).astype(np.int64)
         rows, i = [], 0
-        for number, place, w in zip(table.column("chunk").to_pylist(), table.column("place").to_pylist(), words, strict=True):
-            rows.append((number, 0, place, None, len(w), _pack(sums[at[i : i + len(w)]]), None))
-            i += len(w)
-        hot = np.flatnonzero(sums > total // HOT)
-        rows.append((None, -1, int((sums > 0).sum()), None, len(hot), None, found[hot].tobytes()))
-        return _answer_rows(rows)
-
-    asked = chunks.select("chunk", "words", "n_words", "counts").mapInArrow(ask, "bucket int, chunk long, place long, words binary, counts binary")
+        for r in asked:
+            rows.append((r["chunk"], 1, r["place"], r["n"], _pack(sums[at[i : i + r["n"]]]), 0, None))
+            i += r["n"]
+        rows.append((None, 0, 0, int((sums > 0).sum()), None, 0, None))
+        for k in CLASSES:
+            of = np.flatnonzero((sums > total >> k) & (sums <= total >> (k - 1)))
+            if len(of):
+                rows.append((None, -k, 0, len(of), found[of[np.argsort(-sums[of], kind="stable")]].tobytes(), 0, None))
+        return pa.Table.from_batches([_table(rows, ANSWER)])
+
+    asked = chunks.select("chunk", "words", "n_words", "counts").mapInArrow(ask, asks)
     return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "word-counts")
 
 
-def _gram(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """The hash of an n-gram, from its context's and the low 40 bits of its last word's."""
-    return mix(head * U(0x9E3779B97F4A7C15) + (tail & U((1 << 40) - 1)) + U(1))
+class Opened(NamedTuple):
+    """A chunk with its words in the order of the book, those that are not in it last."""
 
+    tokens: np.ndarray
+    sizes: np.ndarray
+    train: np.ndarray  # by token
+    words: np.ndarray  # hashes; the last is the start
+    codes: np.ndarray  # places in the book, 0 for none
 
-def histories(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order from 2 on: the number of each token's context (the state carried from
-    the token before; the start is the last number) and the hashes of the contexts."""
-    starts = np.cumsum(sizes) - sizes
-    gram, heads = tokens, words
+    @classmethod
+    def of(cls, row: dict, book: np.ndarray) -> Opened:
+        words = np.frombuffer(row["words"], U)
+        order = np.argsort(book)
+        at = np.minimum(np.searchsorted(book, words, sorter=order), len(book) - 1)
+        codes = np.where(book[order[at]] == words, order[at], 0)
+        turn = np.lexsort((words, np.where(codes > 0, codes, len(book))))
+        rank = np.empty(len(words), np.int64)
+        rank[turn] = np.arange(len(words))
+        sizes = np.frombuffer(row["sizes"], np.int64)
+        train = np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), sizes)
+        return cls(rank[_unpack(row["tokens"], row["n_tokens"])], sizes, train, np.append(words[turn], START), np.append(codes[turn], 1))
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of one order in a chunk, by context, then word."""
+
+    before: np.ndarray  # by token: the number of its context, the state carried to it
+    gram: np.ndarray  # by token: the number of its n-gram
+    first: np.ndarray  # by n-gram: a token where it stands
+    context: np.ndarray  # by n-gram
+    word: np.ndarray  # by n-gram
+    heads: np.ndarray  # by context: its words
+
+    @property
+    def n_contexts(self) -> int:
+        return len(self.heads)
+
+
+def levels(c: Opened, order: int) -> Iterator[Level]:
+    """The orders from 2 on. Contexts are the n-grams of the order below, by their numbers;
+    the last one is the start."""
+    n = len(c.words) - 1
+    starts = np.cumsum(c.sizes) - c.sizes
+    gram, heads = c.tokens, np.arange(n)[:, None]
     for level in range(2, order + 1):
-        before = np.empty(len(tokens), np.int64)
+        before = np.empty(len(c.tokens), np.int64)
         before[1:] = gram[:-1]
         before[starts] = len(heads)
-        heads = np.append(heads, START)
-        yield before, heads
+        heads = np.concatenate([heads, np.full((1, level - 1), n)])
+        codes, first, gram = np.unique(before * n + c.tokens, return_index=True, return_inverse=True)
+        context, word = codes // max(1, n), codes % max(1, n)
+        yield Level(before, gram, first, context, word, heads)
         if level < order:
-            codes, gram = np.unique(before * len(words) + tokens, return_inverse=True)
-            heads = _gram(heads[codes // max(1, len(words))], words[codes % max(1, len(words))])
-
-
-class Pairs:
-    """The distinct n-grams of a chunk, as pairs of context and word, by bucket, then
-    context. ``of`` is the number of each token's n-gram; ``edges`` the first of each run of
-    one context in one bucket."""
-
-    def __init__(self, tokens: np.ndarray, before: np.ndarray, heads: np.ndarray, words: np.ndarray, bits: int, hot: np.ndarray) -> None:
-        code = before * len(words) + tokens
-        self.codes, of = np.unique(code, return_inverse=True)
-        context, word = self.codes // max(1, len(words)), self.codes % max(1, len(words))
-        head, tail = heads[context], words[word]
-        is_hot = np.isin(heads, hot) | (heads == START)
-        salted = np.where(is_hot[context], head ^ mix(tail % U(SALTS) + U(1)), head)
-        bucket = (mix(salted) >> U(64 - bits)).astype(np.int64)
-        # Codes are sorted by context already; a stable sort keeps that inside a bucket.
-        order = np.argsort(bucket, kind="stable")
-        self.order, self.bucket, self.context = order, bucket[order], context[order]
-        self.head, self.tail, self.hot = head[order], tail[order], is_hot[context][order]
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.of, self.codes = rank[of], self.codes[order]
-
-    def edges(self, lo: int, hi: int) -> np.ndarray:
-        """The first bigrams of the contexts between two of them, counted from ``lo``."""
-        return np.concatenate([[0], np.flatnonzero(np.diff(self.context[lo:hi])) + 1])
-
-
-def _short(x: np.ndarray) -> bytes:
-    """The low 40 bits of each value."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _long(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
-
-
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, sizes and training flags by token of a chunk's row."""
-    tokens = _unpack(row["tokens"], row["n_tokens"], np.int32).astype(np.int64)
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    return tokens, sizes, np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), sizes)
-
-
-def pair_counts(chunks: DataFrame, level: int, bits: int, hot: np.ndarray, min_count: int, discount: float, total: int) -> DataFrame:
-    """Answers of kind ``level - 1`` for each chunk: which of its n-grams of that order are
-    kept, their counts, and for each context the mass of its kept n-grams and its count.
-    Kind -2: masses and counts of split contexts. Kind -3: n-grams hot as contexts."""
+            heads = np.column_stack([heads[context], word])
+
+
+class Placed:
+    """Runs of n-grams of one context in one bucket, by bucket. A context that is split has
+    a run, maybe empty, in each of its buckets."""
+
+    def __init__(self, c: Opened, g: Level, bits: int, hot: np.ndarray) -> None:
+        heads = c.words[g.heads[:, 0]]
+        for k in range(1, g.heads.shape[1]):
+            heads = _gram(heads, c.words[g.heads[:, k]])
+        split = np.isin(heads, hot)
+        width = np.where(np.bincount(g.context, minlength=g.n_contexts) > 0, np.where(split, SALTS, 1), 0)
+        start = np.cumsum(width) - width
+        context = np.repeat(np.arange(g.n_contexts), width)
+        salt = (np.arange(len(context)) - start[context] + 1).astype(U)
+        bucket = (mix(np.where(split[context], heads[context] ^ mix(salt), heads[context])) >> U(64 - bits)).astype(np.int64)
+        # Two parts of a context may meet in one bucket: they are one run.
+        runs, place = np.unique(bucket * g.n_contexts + context, return_inverse=True)
+        own = place[start[g.context] + np.where(split[g.context], (c.words[g.word] % U(SALTS)).astype(np.int64), 0)]
+        self.context, self.bucket = runs % g.n_contexts, runs // g.n_contexts
+        self.grams = np.argsort(own, kind="stable")
+        self.lengths = np.bincount(own, minlength=len(runs))
+        self.ends = np.cumsum(self.lengths)
+
+    def slices(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(bucket, runs from, to, n-grams from, to)``."""
+        for bucket, a, b in _runs(self.bucket):
+            yield bucket, a, b, int(self.ends[a] - self.lengths[a]), int(self.ends[b - 1])
+
+
+def _squeeze(c: Opened, at: np.ndarray) -> bytes:
+    """Words as places in the book, then the hashes of those that are not in it."""
+    codes = c.codes[at]
+    packed = _pack(codes)
+    return len(packed).to_bytes(4, "little") + packed + c.words[at[codes == 0]].tobytes()
+
+
+def _words(raw: bytes, n: int, book: np.ndarray) -> np.ndarray:
+    size = int.from_bytes(raw[:4], "little")
+    codes = _unpack(raw[4 : 4 + size], n)
+    out = book[codes]
+    out[codes == 0] = np.frombuffer(raw[4 + size :], U)
+    return out
+
+
+def gram_counts(chunks: DataFrame, book, hot: dict[int, np.ndarray], bits: int, order: int) -> DataFrame:
+    """For each chunk the training counts of its n-grams of all orders from 2 on, and by run
+    how many kinds of tokens follow the context in the bucket."""
+    asks = "bucket int, level int, chunk long, place long, n_runs long, n long, heads array<binary>, lengths binary, tails binary, counts binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, sizes, train = _opened(row)
-                words = np.frombuffer(row["words"], U)
-                *_, (before, own) = histories(tokens, sizes, words, level)
-                p = Pairs(tokens, before, own, words, bits, hot)
-                counts = np.bincount(p.of[train], minlength=len(p.codes)).astype(np.int32)
-                rows = []
-                for b, lo, hi in _runs(p.bucket):
-                    edges = p.edges(lo, hi)
-                    rows.append((b, row["chunk"], lo, hi - lo, _pack(np.diff(np.append(edges, hi - lo)).astype(np.int32)), len(edges), p.head[lo:hi][edges].tobytes(), np.packbits(p.hot[lo:hi][edges]).tobytes(), _short(p.tail[lo:hi]), _pack(counts[lo:hi])))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 64], strict=True), kinds, strict=True)], names)
+                c = Opened.of(row, book.value)
+                for level, g in enumerate(levels(c, order), 2):
+                    p, rows = Placed(c, g, bits, hot[level]), []
+                    counts = np.bincount(g.gram[c.train], minlength=len(g.word))[p.grams]
+                    words, heads = g.word[p.grams], g.heads[p.context]
+                    for b, ra, rb, a, z in p.slices():
+                        rows.append((b, level, row["chunk"], ra, rb - ra, z - a, [_squeeze(c, heads[ra:rb, k]) for k in range(level - 1)], _pack(p.lengths[ra:rb]), _squeeze(c, words[a:z]), _pack(counts[a:z])))
+                        if len(rows) == 64:
+                            yield _table(rows, asks)
+                            rows = []
+                    yield _table(rows, asks)
 
     def answer(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        spans = [_unpack(r["runs"], r["n_heads"], np.int32) for r in rows]
-        own = np.concatenate([np.frombuffer(r["heads"], U) for r in rows])
-        split = np.concatenate([np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=r["n_heads"]) for r in rows]).astype(bool)
-        heads, run_at = np.unique(own, return_inverse=True)
-        at_head = np.repeat(run_at, np.concatenate(spans))
-        tails = np.concatenate([_long(r["tails"]) for r in rows])
-        counts = np.concatenate([_unpack(r["counts"], r["n"], np.int32) for r in rows])
-        keys = mix(heads[at_head]) + tails * U(0x9E3779B97F4A7C15)
+        asked = table.to_pylist()
+        level = asked[0]["level"]
+
+        def heads_of(r: dict) -> np.ndarray:
+            out = _words(r["heads"][0], r["n_runs"], book.value)
+            for raw in r["heads"][1:]:
+                out = _gram(out, _words(raw, r["n_runs"], book.value))
+            return out
+
+        heads, run_at = np.unique(np.concatenate([heads_of(r) for r in asked]), return_inverse=True)
+        at_head = np.repeat(run_at, np.concatenate([_unpack(r["lengths"], r["n_runs"]) for r in asked]))
+        keys = np.concatenate([_words(r["tails"], r["n"], book.value) for r in asked])
+        keys = _gram(heads[at_head], keys)
+        counts = np.concatenate([_unpack(r["counts"], r["n"]) for r in asked])
         _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        sums = np.bincount(at, counts, len(first))
-        kept = sums >= min_count
-        mass = np.bincount(at_head[first], np.where(kept, sums - discount, 0.0), len(heads))
-        mass = np.stack([mass, np.bincount(at_head[first], sums, len(heads))], 1)
-        out, i, j = [], 0, 0
-        for r in rows:
-            mine = at[i : i + r["n"]]
-            flags = kept[mine]
-            numbers = sums[mine[flags]].astype(np.int64)
-            out.append((r["chunk"], level - 1, r["place"], _pack(np.packbits(flags)), len(numbers), _pack(numbers), _pack(mass[run_at[j : j + r["n_heads"]]])))
-            i, j = i + r["n"], j + r["n_heads"]
-        hot_at = np.unique(run_at[split])
-        if len(hot_at):
-            out.append((None, -2, 0, heads[hot_at].tobytes(), len(hot_at), None, mass[hot_at].tobytes()))
-        often = first[sums > total // HOT]
-        if len(often):
-            out.append((None, -3, 0, _gram(heads[at_head[often]], tails[often]).tobytes(), len(often), None, None))
-        return _answer_rows(out)
-
-    names = ["bucket", "chunk", "place", "n", "runs", "n_heads", "heads", "hot", "tails", "counts"]
-    asked = chunks.select("chunk", "train", "sizes", "n_tokens", "tokens", "words").mapInArrow(ask, "bucket int, chunk long, place long, n long, runs binary, n_heads long, heads binary, hot binary, tails binary, counts binary")
-    return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), f"counts-{level}")
+        sums = np.bincount(at, counts, len(first)).astype(np.int64)
+        kinds = np.bincount(at_head[first[sums > 0]], minlength=len(heads))
+        rows, i, j = [], 0, 0
+        for r in asked:
+            rows.append((r["chunk"], level, r["place"], r["n"], _pack(sums[at[i : i + r["n"]]]), r["n_runs"], _pack(kinds[run_at[j : j + r["n_runs"]]])))
+            i, j = i + r["n"], j + r["n_runs"]
+        return pa.Table.from_batches([_table(rows, ANSWER)])
+
+    asked = chunks.select("chunk", "train", "sizes", "n_tokens", "tokens", "words").mapInArrow(ask, asks)
+    return asked.groupBy("level", "bucket").applyInArrow(answer, ANSWER)
 
 
 SCORED = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_chunks(chunks: DataFrame, answers: DataFrame, bits: int, hot_sums: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int) -> DataFrame:
-    """The traversal, a chunk at a time. ``hot_sums`` has, for each order from 2 on, the
-    split contexts, sorted, and their masses and counts."""
+class Arcs(NamedTuple):
+    """The automaton's states of one length, as far as a chunk's texts reach them."""
+
+    before: np.ndarray  # by token: the state
+    gram: np.ndarray  # by token: the arc asked for
+    there: np.ndarray  # by arc: whether the state has it
+    weight: np.ndarray  # by arc
+    left: np.ndarray  # by state: the weight of the failure arc
+
+
+def traverse(c: Opened, base: np.ndarray, arcs: list[Arcs]) -> np.ndarray:
+    """Log10 probability of each token. All tokens that wait at states of one length take
+    their arc or the failure arc at once."""
+    out = np.zeros(len(c.tokens))
+    waiting = np.arange(len(c.tokens))
+    for a in reversed(arcs):
+        arc = a.gram[waiting]
+        taken = a.there[arc]
+        out[waiting[taken]] += np.log10(a.weight[arc[taken]])
+        waiting = waiting[~taken]
+        out[waiting] += np.log10(a.left[a.before[waiting]])
+    out[waiting] += np.log10(base[c.tokens[waiting]])
+    return out
 
-    def traverse(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+
+def score_chunks(chunks: DataFrame, answers: DataFrame, book, hot: dict[int, np.ndarray], bits: int, order: int, total: int, distinct: int, n_texts: int) -> DataFrame:
+    """Puts each chunk's part of the automaton together and traverses its texts."""
+
+    def score(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        tokens, sizes, _ = _opened(row)
-        words = np.frombuffer(row["words"], U)
-        count = np.zeros(len(words), np.float64)
-        replies = answered.to_pylist()
-        for r in replies:
-            if r["kind"] == 0:
-                count[r["place"] : r["place"] + r["n"]] = _unpack(r["counts"], r["n"], np.int64)
+        c = Opened.of(row, book.value)
+        replies = {(r["level"], r["place"]): r for r in answered.to_pylist()}
+        count = np.zeros(len(c.words) - 1, np.int64)
+        by_hash = np.argsort(c.words[:-1])
+        for (level, place), r in replies.items():
+            if level == 1:
+                count[by_hash[place : place + r["n"]]] = _unpack(r["counts"], r["n"])
         base = (count + 1.0) / (total + distinct + 1.0)
-        step = base[tokens]
-        for kind, (before, heads) in enumerate(histories(tokens, sizes, words, len(hot_sums) + 1), 1):
-            hot, sums = hot_sums[kind - 1]
-            p = Pairs(tokens, before, heads, words, bits, hot)
-            arc, left = np.zeros(len(p.codes)), np.ones(len(p.codes))
-            at = {r["place"]: r for r in replies if r["kind"] == kind}
-            for _, lo, hi in _runs(p.bucket):
-                r, edges = at[lo], p.edges(lo, hi)
-                flags = np.unpackbits(_unpack(r["kept"], -(-(hi - lo) // 8), np.uint8), count=hi - lo).astype(bool)
-                mass = _unpack(r["masses"], 2 * len(edges), np.float64).reshape(-1, 2).copy()
-                split = p.hot[lo:hi][edges]
-                mass[split] = sums[np.searchsorted(hot, p.head[lo:hi][edges][split])]
-                mass = np.repeat(mass, np.diff(np.append(edges, hi - lo)), axis=0)
-                context = np.maximum(mass[:, 1], 1.0)
-                arc[lo:hi][flags] = (_unpack(r["counts"], r["n"], np.int64) - DISCOUNT) / context[flags]
-                left[lo:hi] = 1.0 - mass[:, 0] / context
-            step = arc[p.of] + left[p.of] * step
-        step = np.log10(step)
-        starts = np.cumsum(sizes) - sizes
+        known = (count > 0)[c.tokens].astype(np.int64)
+        arcs, weight, gram = [], base, c.tokens
+        for level, g in enumerate(levels(c, order), 2):
+            p = Placed(c, g, bits, hot[level])
+            # A context is an n-gram of the order below: its count is known.
+            seen = np.append(count, n_texts)
+            count, kinds = np.zeros(len(g.word), np.int64), np.zeros(len(p.context), np.int64)
+            for _, ra, rb, a, z in p.slices():
+                r = replies[level, ra]
+                count[p.grams[a:z]], kinds[ra:rb] = _unpack(r["counts"], r["n"]), _unpack(r["kinds"], r["n_runs"])
+            kinds = np.bincount(p.context, kinds, minlength=g.n_contexts)
+            left = np.where(kinds > 0, DISCOUNT * kinds / np.maximum(seen, 1), 1.0)
+            lower = weight[gram[g.first]]
+            weight = np.maximum(count - DISCOUNT, 0.0) / np.maximum(seen[g.context], 1) + left[g.context] * lower
+            gram = g.gram
+            arcs.append(Arcs(g.before, gram, count > 0, weight, left))
+        starts = np.cumsum(c.sizes) - c.sizes
         ids = row["doc_ids"]
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()),
             "train": pa.array(np.frombuffer(row["train"], np.uint8).astype(bool)),
-            "n_tokens": pa.array(sizes),
-            "n_known": pa.array(np.add.reduceat((count > 0)[tokens].astype(np.int64), starts)),
-            "base_score": pa.array(np.add.reduceat(np.log10(base)[tokens], starts)),
-            "score": pa.array(np.add.reduceat(step, starts)),
+            "n_tokens": pa.array(c.sizes),
+            "n_known": pa.array(np.add.reduceat(known, starts)),
+            "base_score": pa.array(np.add.reduceat(np.log10(base)[c.tokens], starts)),
+            "score": pa.array(np.add.reduceat(traverse(c, base, arcs), starts)),
         })
 
     picked = chunks.select("chunk", "doc_ids", "train", "sizes", "n_tokens", "tokens", "words")
-    return picked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(traverse, SCORED)
+    return picked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 
-def score_texts(docs: DataFrame, train, min_count: int = MIN_COUNT, order: int = 2) -> DataFrame:
+def _hashes(raws: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, U), *(np.frombuffer(r, U) for r in raws)])
+
+
+def score_texts(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
     """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row."""
-    chunks = encode(docs, train)
-    size = chunks.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens")).first()
-    total, asked, tokens = (int(x or 0) for x in size)
+    chunks = encode(docs, train, order)
+    size = chunks.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens"), F.sum("n_texts")).first()
+    total, asked, tokens, n_texts = (int(x or 0) for x in size)
     counts = word_counts(chunks, _bits(asked), total)
-    told = counts.where("kind = -1").select("place", "n", "masses").collect()
-    hot = np.unique(np.concatenate([np.array([START], U), *(np.frombuffer(r.masses, U) for r in told if r.n)]))
-    distinct = sum(r.place for r in told)
+    told = {r.level: r.n for r in counts.where("level <= 0").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    held, last = 0, 0
+    for k in CLASSES:
+        if (held := held + told.get(-k, 0)) <= BOOK:
+            last = k
+        else:
+            break
+    of_class = {k: [] for k in CLASSES}
+    for r in counts.where((F.col("level") < 0) & (F.col("level") >= -last)).select("level", "counts").collect():
+        of_class[-r.level].append(r.counts)
+    start = np.array([START], U)
+    # Place 0 is none, place 1 the start.
+    book = docs.sparkSession.sparkContext.broadcast(np.concatenate([np.zeros(1, U), start, *(np.sort(_hashes(of_class[k])) for k in CLASSES)]))
+    hot, first = {2: np.append(_hashes(sum((of_class[k] for k in range(1, min(last, HOT_BITS) + 1)), [])), start)}, start
+    frequent = chunks.select(F.explode("often").alias("x")).groupBy("x.level", "x.hash").agg(F.sum("x.n").alias("n")).where(F.col("n") > tokens >> HOT_BITS)
+    found = frequent.collect() if order > 2 else []
+    for level in range(3, order + 1):
+        first = _gram(first, start)
+        hot[level] = np.append(np.array([r.hash for r in found if r.level == level - 1], np.int64).view(U), first)
     bits = _bits(tokens)
-    answers, hot_sums = counts.where("kind = 0"), []
-    for level in range(2, order + 1):
-        grams = pair_counts(chunks, level, bits, hot, min_count, DISCOUNT, total)
-        sums = np.zeros((len(hot), 2))
-        for r in grams.where("kind = -2").select("kept", "masses").collect():
-            np.add.at(sums, np.searchsorted(hot, np.frombuffer(r.kept, U)), np.frombuffer(r.masses, np.float64).reshape(-1, 2))
-        hot_sums.append((hot, sums))
-        often = grams.where("kind = -3").select("kept").collect()
-        hot = np.unique(np.concatenate([np.array([START], U), *(np.frombuffer(r.kept, U) for r in often)]))
-        answers = answers.unionByName(grams.where(F.col("kind") == level - 1))
-    out = score_chunks(chunks, answers, bits, hot_sums, total, distinct)
+    answers = counts.where("level = 1").unionByName(gram_counts(chunks, book, hot, bits, order))
+    out = score_chunks(chunks, answers, book, hot, bits, order, total, told.get(0, 0), n_texts)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from faultweave.llm import lm
@@ -13,79 +15,67 @@ def held():
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
 
-def brute(rows):
+def brute(rows, order):
+    """Counts of all n-grams and the backed-off probabilities, straight from the texts."""
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(fold)) + [None]) for i, t in rows]
-    c, pairs, starts = Counter(), Counter(), 0
-    for _, held, w in texts:
-        if not held:
-            starts += 1
-            c.update(w)
-            pairs.update(zip([0, *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    kept = {k: x for k, x in pairs.items() if x >= lm.MIN_COUNT}
-    mass = Counter()
-    for (h, _), x in kept.items():
-        mass[h] += x - lm.DISCOUNT
-    out = []
-    for i, held, w in texts:
-        base = [(c[x] + 1) / (n + v + 1) for x in w]
-        total = 0.0
-        for h, x, p in zip([0, *w[:-1]], w, base, strict=True):
-            seen = max(starts if h == 0 else c[h], 1)
-            total += math.log10(max(kept.get((h, x), 0) - lm.DISCOUNT, 0) / seen + (1 - mass[h] / seen) * p)
-        out.append((str(i), not held, len(w), sum(c[x] > 0 for x in w), n, round(sum(map(math.log10, base)), 4), round(total, 4)))
-    return sorted(out)
-
-
-def got(df):
-    return sorted((str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in df.collect())
-
-
-def test_odd_rows(docs_of, odd_rows):
-    docs = docs_of(odd_rows)
-    assert got(lm.score_texts(docs, ~held())) == brute(odd_rows)
-    assert lm.score_texts(docs.limit(0), ~held()).count() == 0
-
-
-def test_many_chunks_and_hot_words(docs_of, monkeypatch):
-    monkeypatch.setattr(lm, "BUCKET_KEYS", 500)
-    rows = [(i, (filler(i % 50, 40) + " the " * (i % 9) + filler(i % 7, 5)).title()) for i in range(300)]
-    assert got(lm.score_texts(docs_of(rows), ~held())) == brute(rows)
-
-
-def test_probabilities_add_up():
-    """All words and one unseen after any word: the model's mass is 1."""
-    import numpy as np
-
-    counts, pairs = {"a": 5, "b": 3, "c": 2}, {("a", "b"): 3, ("a", "c"): 2}
-    n, v = sum(counts.values()), len(counts)
-    left = 1 - sum(x - lm.DISCOUNT for x in pairs.values()) / counts["a"]
-    total = sum(max(pairs.get(("a", w), 0) - lm.DISCOUNT, 0) / counts["a"] + left * (c + 1) / (n + v + 1) for w, c in counts.items()) + left / (n + v + 1)
-    assert np.isclose(total, 1)
-
-
-def test_trigrams_with_failure_arcs(docs_of, odd_rows, monkeypatch):
-    """All n-grams count, and a state of two tokens fails to that of one, then the empty."""
-    monkeypatch.setattr(lm, "BUCKET_KEYS", 500)
-    rows = odd_rows + [(i, filler(i % 50, 40).lower() + " of the " * (i % 9) + filler(i % 7, 5).lower()) for i in range(10, 200)]
-    texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [0, 0, *re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]) for i, t in rows]
-    c, seen, kinds = Counter(), Counter(), Counter()
+    texts = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, [0] * (order - 1) + re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(fold)) + [None]) for i, t in rows]
+    c, seen, kinds, failures = Counter(), Counter(), Counter(), Counter()
     for _, held_out, w in texts:
         if not held_out:
-            for k in range(2, len(w)):
-                c.update([(w[k],), (w[k - 1], w[k]), (w[k - 2], w[k - 1], w[k])])
+            for k in range(order - 1, len(w)):
+                c.update(tuple(w[k - j : k + 1]) for j in range(order))
     for g, x in c.items():
         if len(g) > 1:
             seen[g[:-1]] += x
             kinds[g[:-1]] += 1
-    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    words = [g for g in c if len(g) == 1]
+    n, v = sum(c[g] for g in words), len(words)
 
-    def p(*g):
+    def p(g, steps=0):
+        failures[steps] += 1
         if len(g) == 1:
             return (c[g] + 1) / (n + v + 1)
         h = g[:-1]
-        return p(*g[1:]) if not seen[h] else max(c[g] - lm.DISCOUNT, 0) / seen[h] + lm.DISCOUNT * kinds[h] / seen[h] * p(*g[1:])
+        if c[g]:
+            return (c[g] - lm.DISCOUNT) / seen[h] + lm.DISCOUNT * kinds[h] / seen[h] * p(g[1:])
+        return (lm.DISCOUNT * kinds[h] / seen[h] if seen[h] else 1) * p(g[1:], steps + 1)
+
+    out = []
+    for i, held_out, w in texts:
+        own = range(order - 1, len(w))
+        base = sum(math.log10((c[w[k],] + 1) / (n + v + 1)) for k in own)
+        out.append((str(i), not held_out, len(own), sum(c[w[k],] > 0 for k in own), n, round(base, 4), round(sum(math.log10(p(tuple(w[k - order + 1 : k + 1]))) for k in own), 4)))
+    return sorted(out), failures
+
+
+def got(df):
+    return sorted((str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in df.collect())
 
-    want = sorted((str(i), round(sum(math.log10(p(*w[k - 2 : k + 1])) for k in range(2, len(w))), 4)) for i, _, w in texts)
-    assert sorted((r[0], r[6]) for r in got(lm.score_texts(docs_of(rows), ~held(), min_count=1, order=3))) == want
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_odd_rows(docs_of, odd_rows, order):
+    docs = docs_of(odd_rows)
+    assert got(lm.score_texts(docs, ~held(), order)) == brute(odd_rows, order)[0]
+    assert lm.score_texts(docs.limit(0), ~held(), order).count() == 0
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_many_chunks_and_hot_contexts(docs_of, odd_rows, monkeypatch, order):
+    """A state of several tokens fails to ever shorter ones, down to the empty one; frequent
+    contexts are split; words outside the book travel as hashes."""
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 500)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "BOOK", 40)
+    monkeypatch.setattr(lm, "HOT_BITS", 6)
+    rows = odd_rows + [(i, filler(i % 50, 40).title() + " of the " * (i % 9) + filler(i % 7, 5)) for i in range(10, 250)]
+    want, failures = brute(rows, order)
+    assert failures[order - 1]
+    assert got(lm.score_texts(docs_of(rows), ~held(), order)) == want
+
+
+def test_packing():
+    dice = np.random.default_rng(1)
+    for top in (1, 200, 70_000, 1 << 40):
+        x = dice.integers(0, top, 1000)
+        assert (lm._unpack(lm._pack(x), 1000) == x).all()
+    assert len(lm._unpack(lm._pack(x[:0]), 0)) == 0
