@@ -17,15 +17,19 @@ stands the start, as often as the context is long.
 
 Nothing of the model is ever in one place. Texts are encoded once, some megabytes of them
 as one row (a chunk): token numbers, and the chunk's own vocabulary as 64-bit hashes. A
-chunk asks for the counts of its words, then of its n-grams of all orders in one go. They
-go to buckets, an n-gram with its context; a bucket adds up what all chunks counted and
-answers each with what it asked for, so a chunk gets back the part of the automaton that
-its texts can reach. c(h) is the count of h as an n-gram of the order below. Contexts that
-hold more than 1/``HOT`` of all tokens (fewer than ``HOT`` an order) are split over
-``SALTS`` buckets by their next token, and ``kinds`` added up where the answers meet again.
-Which contexts are split changes no result. On the way words stand as places in a book of
-the most frequent ones (at most ``BOOK``, broadcast), all others as hashes. Words of one
-hash count as one word; for 10^9 distinct words that is expected for less than one pair.
+chunk asks for the counts of its n-grams of all orders in one go. They go to buckets as a
+tree: by first word, below it the second words, below these the third. A bucket adds up
+what all chunks counted and answers each with what it asked for, so a chunk gets back the
+part of the automaton that its texts can reach. c(h) is the count of h as an n-gram of the
+order below; a word's own count is that of all n-grams it begins.
+
+Contexts that hold more than 1/``HOT`` of all tokens (fewer than ``HOT`` an order) are
+split over ``SALTS`` buckets by their next token: words where their tree begins, longer
+contexts by taking what stands below them out of the tree. What the buckets tell of such a
+context adds up. Which contexts are split changes no result. On the way words stand as
+places in a book of the most frequent ones (at most ``BOOK``, broadcast), all others as
+hashes. Words of one hash count as one word; for 10^9 distinct words that is expected for
+less than one pair.
 
 Defined results: a null text counts as empty; its only token is the end. Rows without an
 id are training rows. Repeated rows count as often as they occur. With no training row
@@ -43,18 +47,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stage import discard
 from .common import staged
 from .words import TOKENS, U, mix, scans
 
 ORDER = 3
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1_000_000
 SALTS = 16
 HOT_BITS = 10
 HOT = 1 << HOT_BITS
-BOOK = 65_534
-#: Words are told by classes: those with more than 1/2^k of all training tokens.
-CLASSES = range(1, 25)
+BOOK = 1_000_000
 DISCOUNT = 0.5
 #: The end of a text, and what stands before its first token.
 END, START = mix(np.array([0xE0D], U))[0], mix(np.array([0x57A27], U))[0]
@@ -159,47 +162,52 @@ def _bits(keys: int) -> int:
 
 def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
     named = [x.split() for x in schema.split(", ")]
-    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+    kind = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(named)
     return pa.RecordBatch.from_arrays([pa.array(c, kind[k]) for c, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
 
 
-#: What a bucket says to a chunk: level 1, words; higher, n-grams; 0 and below, to all.
-ANSWER = "chunk long, level int, place long, n long, counts binary, n_runs long, kinds binary"
+def word_totals(chunks: DataFrame) -> DataFrame:
+    """``word, n``: the words of the training texts and their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, n, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, counts = np.frombuffer(words, np.int64), _unpack(counts, n)
+                yield pa.RecordBatch.from_arrays([pa.array(words[counts > 0]), pa.array(counts[counts > 0])], ["word", "n"])
 
-def word_counts(chunks: DataFrame, bits: int, total: int) -> DataFrame:
-    """The training counts of each chunk's words, in the order of their hashes. To all: how
-    many distinct training words a bucket has (level 0), and the words of a class (-k) that
-    are in none before."""
-    asks = "bucket int, chunk long, place long, n long, words binary, counts binary"
+    found = chunks.select("words", "n_words", "counts").mapInArrow(run, "word long, n long")
+    return staged(found.groupBy("word").agg(F.sum("n").alias("n")), "word-totals")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, words, n, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = np.frombuffer(words, U)
-                order = np.argsort(words)
-                words, counts = words[order], _unpack(counts, n)[order]
-                yield _table([(b, number, lo, hi - lo, words[lo:hi].tobytes(), _pack(counts[lo:hi])) for b, lo, hi in _runs((words >> U(64 - bits)).astype(np.int64))], asks)
 
-    def answer(table: pa.Table) -> pa.Table:
-        asked = table.to_pylist()
-        counts = np.concatenate([_unpack(r["counts"], r["n"]) for r in asked])
-        found, at = np.unique(np.concatenate([np.frombuffer(r["words"], U) for r in asked]), return_inverse=True)
-        sums = np.bincount(at, counts, len(found)).astype(np.int64)
-        rows, i = [], 0
-        for r in asked:
-            rows.append((r["chunk"], 1, r["place"], r["n"], _pack(sums[at[i : i + r["n"]]]), 0, None))
-            i += r["n"]
-        rows.append((None, 0, 0, int((sums > 0).sum()), None, 0, None))
-        for k in CLASSES:
-            of = np.flatnonzero((sums > total >> k) & (sums <= total >> (k - 1)))
-            if len(of):
-                rows.append((None, -k, 0, len(of), found[of[np.argsort(-sums[of], kind="stable")]].tobytes(), 0, None))
-        return pa.Table.from_batches([_table(rows, ANSWER)])
-
-    asked = chunks.select("chunk", "words", "n_words", "counts").mapInArrow(ask, asks)
-    return staged(asked.groupBy("bucket").applyInArrow(answer, ANSWER), "word-counts")
+class Book:
+    """The most frequent words by place. Place 0 is none, place 1 the start."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = np.concatenate([np.zeros(1, U), np.array([START], U), words])
+        self.order = np.argsort(self.words).astype(np.int32)
+        self.sorted = self.words[self.order]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.order[at], 0).astype(np.int64)
+
+
+def make_book(totals: DataFrame, total: int) -> tuple[Book, np.ndarray]:
+    """The book, and the words that hold more than 1/``HOT`` of all tokens. Words go by
+    classes: fewer than 2^k hold more than 1/2^k. The book has as many whole classes as it
+    can hold."""
+    by_class = totals.withColumn("class", F.floor(F.log2(F.lit(float(total)) / F.col("n"))).cast("int"))
+    held, last = 0, -1
+    for r in sorted(by_class.where(F.col("class") < BOOK.bit_length() + 4).groupBy("class").count().collect()):
+        held += r["count"]
+        if held > BOOK:
+            break
+        last = r["class"]
+    found = by_class.where(F.col("class") <= last).select("word", "n", "class").toArrow()
+    word, n, of = (found.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((word, -n))
+    return Book(word.view(U)[order]), word.view(U)[of < HOT_BITS]
 
 
 class Opened(NamedTuple):
@@ -212,12 +220,10 @@ class Opened(NamedTuple):
     codes: np.ndarray  # places in the book, 0 for none
 
     @classmethod
-    def of(cls, row: dict, book: np.ndarray) -> Opened:
+    def of(cls, row: dict, book: Book) -> Opened:
         words = np.frombuffer(row["words"], U)
-        order = np.argsort(book)
-        at = np.minimum(np.searchsorted(book, words, sorter=order), len(book) - 1)
-        codes = np.where(book[order[at]] == words, order[at], 0)
-        turn = np.lexsort((words, np.where(codes > 0, codes, len(book))))
+        codes = book.places(words)
+        turn = np.lexsort((words, np.where(codes > 0, codes, len(book.words))))
         rank = np.empty(len(words), np.int64)
         rank[turn] = np.arange(len(words))
         sizes = np.frombuffer(row["sizes"], np.int64)
@@ -258,32 +264,79 @@ def levels(c: Opened, order: int) -> Iterator[Level]:
             heads = np.column_stack([heads[context], word])
 
 
-class Placed:
-    """Runs of n-grams of one context in one bucket, by bucket. A context that is split has
-    a run, maybe empty, in each of its buckets."""
+def _hash(c: Opened, heads: np.ndarray) -> np.ndarray:
+    out = c.words[heads[:, 0]]
+    for k in range(1, heads.shape[1]):
+        out = _gram(out, c.words[heads[:, k]])
+    return out
+
+
+class Part(NamedTuple):
+    """N-grams of one order in the order of the contexts they stand below."""
 
-    def __init__(self, c: Opened, g: Level, bits: int, hot: np.ndarray) -> None:
-        heads = c.words[g.heads[:, 0]]
-        for k in range(1, g.heads.shape[1]):
-            heads = _gram(heads, c.words[g.heads[:, k]])
-        split = np.isin(heads, hot)
-        width = np.where(np.bincount(g.context, minlength=g.n_contexts) > 0, np.where(split, SALTS, 1), 0)
+    level: int
+    grams: np.ndarray
+    ends: np.ndarray  # where the n-grams of each context end, with a 0 before
+
+    @classmethod
+    def of(cls, level: int, grams: np.ndarray, below: np.ndarray, n: int) -> Part:
+        """``below`` are the places of the n-grams' contexts, of which there are ``n``."""
+        return cls(level, grams[np.argsort(below, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(below, minlength=n))]))
+
+
+class Asked(NamedTuple):
+    """What a chunk asks of the buckets: a forest. Its contexts, by bucket, have below them
+    n-grams, and these the n-grams of the next order. A context that is split stands in
+    each of its buckets, maybe with nothing below it."""
+
+    level: int  # the order of the first n-grams
+    bucket: np.ndarray  # by context in the forest
+    context: np.ndarray  # by context in the forest: its number
+    heads: np.ndarray
+    parts: list[Part]
+
+    @classmethod
+    def of(cls, c: Opened, g: Level, level: int, hashes: np.ndarray, hot: np.ndarray, bits: int, mine: np.ndarray) -> Asked:
+        """``mine`` tells the contexts that take part."""
+        split, grams = np.isin(hashes, hot), np.flatnonzero(mine[g.context])
+        at = g.context[grams]
+        width = np.where(np.bincount(at, minlength=len(hashes)) > 0, np.where(split, SALTS, 1), 0)
         start = np.cumsum(width) - width
-        context = np.repeat(np.arange(g.n_contexts), width)
+        context = np.repeat(np.arange(len(hashes)), width)
         salt = (np.arange(len(context)) - start[context] + 1).astype(U)
-        bucket = (mix(np.where(split[context], heads[context] ^ mix(salt), heads[context])) >> U(64 - bits)).astype(np.int64)
-        # Two parts of a context may meet in one bucket: they are one run.
-        runs, place = np.unique(bucket * g.n_contexts + context, return_inverse=True)
-        own = place[start[g.context] + np.where(split[g.context], (c.words[g.word] % U(SALTS)).astype(np.int64), 0)]
-        self.context, self.bucket = runs % g.n_contexts, runs // g.n_contexts
-        self.grams = np.argsort(own, kind="stable")
-        self.lengths = np.bincount(own, minlength=len(runs))
-        self.ends = np.cumsum(self.lengths)
-
-    def slices(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """``(bucket, runs from, to, n-grams from, to)``."""
+        bucket = (mix(np.where(split[context], hashes[context] ^ mix(salt), hashes[context])) >> U(64 - bits)).astype(np.int64)
+        # Two parts of a context may meet in one bucket: they are one.
+        runs, place = np.unique(bucket * len(hashes) + context, return_inverse=True)
+        own = place[start[at] + np.where(split[at], (c.words[g.word[grams]] % U(SALTS)).astype(np.int64), 0)]
+        return cls(level, runs // len(hashes), runs % len(hashes), g.heads, [Part.of(level, grams, own, len(runs))])
+
+    def slices(self) -> Iterator[tuple[int, int, int, list[tuple[int, int]]]]:
+        """``(bucket, contexts from, to, n-grams from, to of each part)``."""
         for bucket, a, b in _runs(self.bucket):
-            yield bucket, a, b, int(self.ends[a] - self.lengths[a]), int(self.ends[b - 1])
+            spans, lo, hi = [], a, b
+            for p in self.parts:
+                lo, hi = int(p.ends[lo]), int(p.ends[hi])
+                spans.append((lo, hi))
+            yield bucket, a, b, spans
+
+
+def forests(c: Opened, gs: list[Level], bits: int, hot: dict[int, np.ndarray]) -> list[Asked]:
+    """The tree from the first words on, and what is taken out of it: n-grams below hot
+    contexts of two words or more, and below these."""
+    out = [Asked.of(c, gs[0], 2, _hash(c, gs[0].heads), hot[2], bits, np.ones(gs[0].n_contexts, bool))]
+    apart = None
+    for level, g in enumerate(gs[1:], 3):
+        hashes, before = _hash(c, g.heads), gs[level - 3]
+        own = np.isin(hashes, hot[level])
+        if apart is not None:
+            own[:-1] |= apart[before.context]
+        apart, last = own, out[0].parts[-1]
+        place = np.full(len(before.word), -1)
+        place[last.grams] = np.arange(len(last.grams))
+        grams = np.flatnonzero(~apart[g.context])
+        out[0].parts.append(Part.of(level, grams, place[g.context[grams]], len(last.grams)))
+        out.append(Asked.of(c, g, level, hashes, hot[level], bits, apart))
+    return out
 
 
 def _squeeze(c: Opened, at: np.ndarray) -> bytes:
@@ -293,37 +346,45 @@ def _squeeze(c: Opened, at: np.ndarray) -> bytes:
     return len(packed).to_bytes(4, "little") + packed + c.words[at[codes == 0]].tobytes()
 
 
-def _words(raw: bytes, n: int, book: np.ndarray) -> np.ndarray:
+def _words(raw: bytes, n: int, book: Book) -> np.ndarray:
     size = int.from_bytes(raw[:4], "little")
     codes = _unpack(raw[4 : 4 + size], n)
-    out = book[codes]
+    out = book.words[codes]
     out[codes == 0] = np.frombuffer(raw[4 + size :], U)
     return out
 
 
+#: What a bucket says to a chunk: the counts of its n-grams by order, by context the kinds
+#: of tokens that follow it, and of the first contexts how often they occur.
+ANSWER = "chunk long, level int, place long, counts array<binary>, kinds array<binary>, totals binary"
+
+
 def gram_counts(chunks: DataFrame, book, hot: dict[int, np.ndarray], bits: int, order: int) -> DataFrame:
-    """For each chunk the training counts of its n-grams of all orders from 2 on, and by run
-    how many kinds of tokens follow the context in the bucket."""
-    asks = "bucket int, level int, chunk long, place long, n_runs long, n long, heads array<binary>, lengths binary, tails binary, counts binary"
+    """Answers for each chunk about its n-grams of all orders from 2 on."""
+    asks = "bucket int, level int, chunk long, place long, n_runs long, heads array<binary>, n array<long>, lengths array<binary>, tails array<binary>, counts array<binary>"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 c = Opened.of(row, book.value)
-                for level, g in enumerate(levels(c, order), 2):
-                    p, rows = Placed(c, g, bits, hot[level]), []
-                    counts = np.bincount(g.gram[c.train], minlength=len(g.word))[p.grams]
-                    words, heads = g.word[p.grams], g.heads[p.context]
-                    for b, ra, rb, a, z in p.slices():
-                        rows.append((b, level, row["chunk"], ra, rb - ra, z - a, [_squeeze(c, heads[ra:rb, k]) for k in range(level - 1)], _pack(p.lengths[ra:rb]), _squeeze(c, words[a:z]), _pack(counts[a:z])))
+                gs = list(levels(c, order))
+                seen = [np.bincount(g.gram[c.train], minlength=len(g.word)) for g in gs]
+                rows = []
+                for forest in forests(c, gs, bits, hot):
+                    for bucket, a, b, spans in forest.slices():
+                        heads, lo, hi, parts = forest.heads[forest.context[a:b]], a, b, []
+                        for p, (x, y) in zip(forest.parts, spans, strict=True):
+                            mine = p.grams[x:y]
+                            parts.append((y - x, _pack(np.diff(p.ends[lo : hi + 1])), _squeeze(c, gs[p.level - 2].word[mine]), _pack(seen[p.level - 2][mine])))
+                            lo, hi = x, y
+                        rows.append((bucket, forest.level, row["chunk"], a, b - a, [_squeeze(c, heads[:, k]) for k in range(heads.shape[1])], *map(list, zip(*parts, strict=True))))
                         if len(rows) == 64:
                             yield _table(rows, asks)
                             rows = []
-                    yield _table(rows, asks)
+                yield _table(rows, asks)
 
     def answer(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
-        level = asked[0]["level"]
 
         def heads_of(r: dict) -> np.ndarray:
             out = _words(r["heads"][0], r["n_runs"], book.value)
@@ -331,19 +392,25 @@ def gram_counts(chunks: DataFrame, book, hot: dict[int, np.ndarray], bits: int,
                 out = _gram(out, _words(raw, r["n_runs"], book.value))
             return out
 
-        heads, run_at = np.unique(np.concatenate([heads_of(r) for r in asked]), return_inverse=True)
-        at_head = np.repeat(run_at, np.concatenate([_unpack(r["lengths"], r["n_runs"]) for r in asked]))
-        keys = np.concatenate([_words(r["tails"], r["n"], book.value) for r in asked])
-        keys = _gram(heads[at_head], keys)
-        counts = np.concatenate([_unpack(r["counts"], r["n"]) for r in asked])
-        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        sums = np.bincount(at, counts, len(first)).astype(np.int64)
-        kinds = np.bincount(at_head[first[sums > 0]], minlength=len(heads))
-        rows, i, j = [], 0, 0
-        for r in asked:
-            rows.append((r["chunk"], level, r["place"], r["n"], _pack(sums[at[i : i + r["n"]]]), r["n_runs"], _pack(kinds[run_at[j : j + r["n_runs"]]])))
-            i, j = i + r["n"], j + r["n_runs"]
-        return pa.Table.from_batches([_table(rows, ANSWER)])
+        above, at = np.unique(np.concatenate([heads_of(r) for r in asked]), return_inverse=True)
+        sizes, totals = [r["n_runs"] for r in asked], None
+        counts, kinds = [[] for _ in asked], [[] for _ in asked]
+        for k in range(len(asked[0]["n"])):
+            below = np.repeat(at, np.concatenate([_unpack(r["lengths"][k], n) for r, n in zip(asked, sizes, strict=True)]))
+            keys = _gram(above[below], np.concatenate([_words(r["tails"][k], r["n"][k], book.value) for r in asked]))
+            number = np.concatenate([_unpack(r["counts"][k], r["n"][k]) for r in asked])
+            keys, first, mine = np.unique(keys, return_index=True, return_inverse=True)
+            sums = np.bincount(mine, number, len(first)).astype(np.int64)
+            follow = np.bincount(below[first[sums > 0]], minlength=len(above))
+            if totals is None:
+                total = np.bincount(below[first], sums, len(above)).astype(np.int64)
+                totals = [_pack(total[x]) for x in np.split(at, np.cumsum(sizes)[:-1])]
+            for i, x in enumerate(np.split(at, np.cumsum(sizes)[:-1])):
+                kinds[i].append(_pack(follow[x]))
+            above, at, sizes = keys, mine, [r["n"][k] for r in asked]
+            for i, x in enumerate(np.split(mine, np.cumsum(sizes)[:-1])):
+                counts[i].append(_pack(sums[x]))
+        return pa.Table.from_batches([_table([(r["chunk"], r["level"], r["place"], c, n, t) for r, c, n, t in zip(asked, counts, kinds, totals, strict=True)], ANSWER)])
 
     asked = chunks.select("chunk", "train", "sizes", "n_tokens", "tokens", "words").mapInArrow(ask, asks)
     return asked.groupBy("level", "bucket").applyInArrow(answer, ANSWER)
@@ -383,33 +450,38 @@ def score_chunks(chunks: DataFrame, answers: DataFrame, book, hot: dict[int, np.
     def score(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
         c = Opened.of(row, book.value)
+        gs = list(levels(c, order))
         replies = {(r["level"], r["place"]): r for r in answered.to_pylist()}
-        count = np.zeros(len(c.words) - 1, np.int64)
-        by_hash = np.argsort(c.words[:-1])
-        for (level, place), r in replies.items():
-            if level == 1:
-                count[by_hash[place : place + r["n"]]] = _unpack(r["counts"], r["n"])
+        counts = [np.zeros(len(g.word), np.int64) for g in gs]
+        kinds = [np.zeros(g.n_contexts, np.int64) for g in gs]
+        count = np.zeros(gs[0].n_contexts, np.int64)
+        for forest in forests(c, gs, bits, hot):
+            for _, a, b, spans in forest.slices():
+                r, at = replies[forest.level, a], forest.context[a:b]
+                if forest.level == 2:
+                    count[at] += _unpack(r["totals"], b - a)
+                for k, (p, (x, y)) in enumerate(zip(forest.parts, spans, strict=True)):
+                    # A context stands once in a bucket; one of two words or more has the
+                    # number that it has as an n-gram.
+                    kinds[p.level - 2][at] += _unpack(r["kinds"][k], len(at))
+                    at = p.grams[x:y]
+                    counts[p.level - 2][at] = _unpack(r["counts"][k], y - x)
+        count = count[:-1]
+        count[c.words[:-1] == END] = n_texts
         base = (count + 1.0) / (total + distinct + 1.0)
         known = (count > 0)[c.tokens].astype(np.int64)
         arcs, weight, gram = [], base, c.tokens
-        for level, g in enumerate(levels(c, order), 2):
-            p = Placed(c, g, bits, hot[level])
+        for g, own, follow in zip(gs, counts, kinds, strict=True):
             # A context is an n-gram of the order below: its count is known.
             seen = np.append(count, n_texts)
-            count, kinds = np.zeros(len(g.word), np.int64), np.zeros(len(p.context), np.int64)
-            for _, ra, rb, a, z in p.slices():
-                r = replies[level, ra]
-                count[p.grams[a:z]], kinds[ra:rb] = _unpack(r["counts"], r["n"]), _unpack(r["kinds"], r["n_runs"])
-            kinds = np.bincount(p.context, kinds, minlength=g.n_contexts)
-            left = np.where(kinds > 0, DISCOUNT * kinds / np.maximum(seen, 1), 1.0)
+            left = np.where(follow > 0, DISCOUNT * follow / np.maximum(seen, 1), 1.0)
             lower = weight[gram[g.first]]
-            weight = np.maximum(count - DISCOUNT, 0.0) / np.maximum(seen[g.context], 1) + left[g.context] * lower
-            gram = g.gram
-            arcs.append(Arcs(g.before, gram, count > 0, weight, left))
+            weight = np.maximum(own - DISCOUNT, 0.0) / np.maximum(seen[g.context], 1) + left[g.context] * lower
+            count, gram = own, g.gram
+            arcs.append(Arcs(g.before, gram, own > 0, weight, left))
         starts = np.cumsum(c.sizes) - c.sizes
-        ids = row["doc_ids"]
         return pa.table({
-            "doc_id": pa.array(ids, pa.int64()),
+            "doc_id": pa.array(row["doc_ids"], pa.int64()),
             "train": pa.array(np.frombuffer(row["train"], np.uint8).astype(bool)),
             "n_tokens": pa.array(c.sizes),
             "n_known": pa.array(np.add.reduceat(known, starts)),
@@ -421,36 +493,25 @@ def score_chunks(chunks: DataFrame, answers: DataFrame, book, hot: dict[int, np.
     return picked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORED)
 
 
-def _hashes(raws: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, U), *(np.frombuffer(r, U) for r in raws)])
-
-
 def score_texts(docs: DataFrame, train, order: int = ORDER) -> DataFrame:
-    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row."""
+    """``doc_id, train, n_tokens, n_known, train_tokens, base_score, score`` for each row.
+    ``order`` is 2 or more."""
     chunks = encode(docs, train, order)
-    size = chunks.agg(F.sum("n_train"), F.sum("n_words"), F.sum("n_tokens"), F.sum("n_texts")).first()
-    total, asked, tokens, n_texts = (int(x or 0) for x in size)
-    counts = word_counts(chunks, _bits(asked), total)
-    told = {r.level: r.n for r in counts.where("level <= 0").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    held, last = 0, 0
-    for k in CLASSES:
-        if (held := held + told.get(-k, 0)) <= BOOK:
-            last = k
-        else:
-            break
-    of_class = {k: [] for k in CLASSES}
-    for r in counts.where((F.col("level") < 0) & (F.col("level") >= -last)).select("level", "counts").collect():
-        of_class[-r.level].append(r.counts)
+    size = chunks.agg(F.sum("n_train"), F.sum("n_tokens"), F.sum("n_texts")).first()
+    total, tokens, n_texts = (int(x or 0) for x in size)
+    totals = word_totals(chunks)
+    distinct = totals.count()
+    made, frequent = make_book(totals, total)
+    discard(totals)
+    book = docs.sparkSession.sparkContext.broadcast(made)
     start = np.array([START], U)
-    # Place 0 is none, place 1 the start.
-    book = docs.sparkSession.sparkContext.broadcast(np.concatenate([np.zeros(1, U), start, *(np.sort(_hashes(of_class[k])) for k in CLASSES)]))
-    hot, first = {2: np.append(_hashes(sum((of_class[k] for k in range(1, min(last, HOT_BITS) + 1)), [])), start)}, start
+    hot, first = {2: np.append(frequent, start)}, start
     frequent = chunks.select(F.explode("often").alias("x")).groupBy("x.level", "x.hash").agg(F.sum("x.n").alias("n")).where(F.col("n") > tokens >> HOT_BITS)
     found = frequent.collect() if order > 2 else []
     for level in range(3, order + 1):
         first = _gram(first, start)
         hot[level] = np.append(np.array([r.hash for r in found if r.level == level - 1], np.int64).view(U), first)
-    bits = _bits(tokens)
-    answers = counts.where("level = 1").unionByName(gram_counts(chunks, book, hot, bits, order))
-    out = score_chunks(chunks, answers, book, hot, bits, order, total, told.get(0, 0), n_texts)
+    bits = _bits(tokens * (order - 1))
+    answers = gram_counts(chunks, book, hot, bits, order)
+    out = score_chunks(chunks, answers, book, hot, bits, order, total, distinct, n_texts)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
