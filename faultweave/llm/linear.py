@@ -1,9 +1,8 @@
 """Hashed features of texts and sparse linear models over them, for the classifiers.
 
-A text's features are hashed n-grams. The word kind holds runs of words; the shape kind
-holds runs of word shapes (case, digits, marks, length, whether the word repeats the one
-before); the stem kind holds the first bytes of words. A feature's value is the square
-root of its count, the whole scaled to length 1; or, with ``binary``, 1 if it occurs.
+A text's features are hashed n-grams: runs of words, and stems, the first bytes of words.
+A feature's value is the square root of its count, the whole scaled to length 1; or, with
+``binary``, 1 if it occurs.
 """
 
 from __future__ import annotations
@@ -17,48 +16,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .words import CASED, TOKENS, WORDS, U, Words, buffers, chunks, mix, ngrams, scan
+from .words import CASED, MARKS, TOKENS, WORDS, U, Words, buffers, chunks, mix, ngrams, scan
 
 BITS = 20
 
 
 @dataclass(frozen=True)
 class Space:
-    """Which n-grams make the features: orders of words, of shapes, and stem lengths."""
+    """Which n-grams make the features: orders of words, and stem lengths."""
 
     words: tuple[int, ...] = (1, 2)
-    shapes: tuple[int, ...] = ()
     stems: tuple[int, ...] = ()
     lower: bool = True
     bits: int = BITS
     binary: bool = False
-    marks: bool = True  # words keep the punctuation at their ends
-
-
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[[*range(48, 58)]] = 1
-_CLASS[[*range(97, 123), *range(128, 256)]] = 2
-_CLASS[[*range(65, 91)]] = 4
-_CLASS[[i for i in range(33, 127) if not chr(i).isalnum()]] = 8
-
-
-def shapes(w: Words) -> np.ndarray:
-    """A value for each word: its first and last byte's class, the classes inside, its
-    length up to 12, its last byte if that is a mark, and whether it equals the word
-    before or the one two before."""
-    n = len(w.hash)
-    if not n:
-        return np.zeros(0, U)
-    kind = _CLASS[w.data]
-    inner = np.bitwise_or.reduceat(kind, w.begin) if n else kind
-    first, last = w.data[w.begin], w.data[w.end - 1]
-    mark = np.where(_CLASS[last] == 8, last, 0).astype(U)
-    same = np.zeros(n, U)
-    same[1:] += (w.hash[1:] == w.hash[:-1]).astype(U)
-    same[2:] += U(2) * (w.hash[2:] == w.hash[:-2]).astype(U)
-    size = np.minimum(w.end - w.begin, 12).astype(U)
-    out = _CLASS[first].astype(U) | inner.astype(U) << U(4) | mark << U(8) | same << U(16) | size << U(20)
-    return mix(out + U(1))
+    marks: str = "kept"  # by words; or "apart", as words of their own; or "dropped"
+    ditto: bool = False  # a word that repeats the one before stands as a ditto mark
+
+
+_DITTO = mix(np.array([0xD1770], U))[0]
+
+
+def with_dittos(w: Words) -> np.ndarray:
+    """Word hashes, those of repeats of the word before replaced by one mark."""
+    same = np.zeros(len(w.hash), bool)
+    same[1:] = w.hash[1:] == w.hash[:-1]
+    same[w.first[:-1][w.first[:-1] < len(same)]] = False
+    return np.where(same, _DITTO, w.hash)
 
 
 def stem(w: Words, length: int) -> np.ndarray:
@@ -75,12 +59,9 @@ def stem(w: Words, length: int) -> np.ndarray:
 def features(w: Words, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct slots and their values."""
     kinds: list[tuple[np.ndarray, np.ndarray]] = []
+    words = with_dittos(w) if space.ditto else w.hash
     for n in space.words:
-        kinds.append((ngrams(w.hash, n), np.arange(max(0, len(w.hash) - n + 1)) + n))
-    if space.shapes:
-        s = shapes(w)
-        for n in space.shapes:
-            kinds.append((ngrams(s, n) ^ U(0x5348415045), np.arange(max(0, len(s) - n + 1)) + n))
+        kinds.append((ngrams(words, n), np.arange(max(0, len(words) - n + 1)) + n))
     mask, shift = U((1 << space.bits) - 1), U(64 - space.bits)
     slots = [((h >> shift) & mask, upto) for h, upto in kinds]
     stems = []
@@ -89,7 +70,7 @@ def features(w: Words, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         stems.append(((stem(w, length) >> shift) & mask, places))
     for i in range(len(w)):
         a, b = int(w.first[i]), int(w.first[i + 1])
-        parts = [s[a : max(a, b - n + 1)] for (s, _), n in zip(slots, [*space.words, *space.shapes], strict=True)]
+        parts = [s[a : max(a, b - n + 1)] for (s, _), n in zip(slots, space.words, strict=True)]
         for s, places in stems:
             lo, hi = np.searchsorted(places, (a, b))
             parts.append(s[lo:hi])
@@ -103,10 +84,11 @@ def features(w: Words, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def over(texts: pa.Array, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``features`` of a string column."""
-    table = (TOKENS if space.lower else CASED) if space.marks else WORDS
+    table = WORDS if space.marks == "dropped" else TOKENS if space.lower else CASED
     data, offsets = buffers(texts)
     for i, j in chunks(offsets):
-        yield from features(scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table), space)
+        w = scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table, MARKS if space.marks == "apart" else None)
+        yield from features(w, space)
 
 
 def sigmoid(x):
@@ -163,13 +145,15 @@ def score_column(docs: DataFrame, model: np.ndarray, space: Space, text: str = "
 def training_rows(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> DataFrame:
     """``doc_id, text`` and the label columns of at most ``most`` labelled documents: all
     if there are no more, else those with the least hash of the id. Only ids and labels
-    are sorted. Rows without a label are left out; of an id's label rows the least counts.
+    are sorted. Rows without a label are left out; of an id's label rows and texts the
+    least counts.
     """
     bounded_batches(docs.sparkSession)
     labelled = labels.where(F.col("doc_id").isNotNull() & F.greatest(*[F.col(c).isNull().cast("int") for c in columns], F.lit(0)).eqNullSafe(0))
     labelled = labelled.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("y"))
     picked = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", *[F.col(f"y.{c}").cast("double").alias(c) for c in columns])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in columns])
 
 
 FEATURE_ROWS = "doc_id long, y array<double>, slots binary, vals binary"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import quoted, staged, unused
 
 #: Bytes that one row of samples holds: 64 RGB pixels, or 192 grey pixels or sound samples.
 ROW = 192
@@ -37,8 +37,8 @@ def _u(view: memoryview, at: int, form: str) -> int:
 
 
 def _png(v: memoryview, at: int) -> int:
-    """Chunks with right CRCs from IHDR to IEND."""
-    i, first = at + 8, True
+    """Chunks with right CRCs from IHDR to IEND, image data among them."""
+    i, first, data = at + 8, True, False
     while i + 12 <= len(v):
         n = _u(v, i, ">I")
         kind = bytes(v[i + 4 : i + 8])
@@ -46,9 +46,9 @@ def _png(v: memoryview, at: int) -> int:
             return 0
         if zlib.crc32(v[i + 4 : i + 8 + n]) != _u(v, i + 8 + n, ">I"):
             return 0
-        i, first = i + 12 + n, False
+        i, first, data = i + 12 + n, False, data or kind == b"IDAT"
         if kind == b"IEND":
-            return i - at
+            return i - at if data else 0
     return 0
 
 
@@ -82,7 +82,7 @@ def _bmp(v: memoryview, at: int) -> int:
         return 0
     need = start + (width * bits + 31) // 32 * 4 * abs(height)
     packed = _u(v, at + 30, "<I") not in (0, 3)
-    return size if start >= 14 + header and at + size <= len(v) and (packed or size >= need) else 0
+    return size if 14 + header <= start < size and at + size <= len(v) and (packed or size >= need) else 0
 
 
 def _gif(v: memoryview, at: int) -> int:
@@ -202,14 +202,19 @@ def _automaton():
     return found
 
 
-def find_media(blob: bytes) -> list[tuple[str, int, int]]:
-    """``(type, offset, length)`` of each confirmed media that no other one contains."""
-    view, out, inside = memoryview(blob), [], 0
+def find_media(blob: bytes) -> list[tuple[str, int, int, int | None]]:
+    """``(type, offset, length, parent)`` of each confirmed media: ``parent`` is the offset
+    of the media that it lies inside of, null if none."""
+    view, out, around = memoryview(blob), [], []
     hits = sorted((end + 1 - size - back, kind, check) for end, (size, back, kind, check) in _automaton().iter(blob.decode("latin-1")))
     for at, kind, check in hits:
-        if at >= inside and (n := check(view, at)):
-            out.append((kind, at, n))
-            inside = at + n
+        while around and at >= sum(around[-1]):
+            around.pop()
+        if at >= 0 and not (around and at == around[-1][0]) and (n := check(view, at)):
+            if around and at + n > sum(around[-1]):
+                continue
+            out.append((kind, at, n, around[-1][0] if around else None))
+            around.append((at, n))
     return out
 
 
@@ -300,17 +305,20 @@ def store_texts(docs: DataFrame, declared: str = "audio/wav", doc_id: str = "doc
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, declared_type string, media binary")
 
 
-CARVED = "array<struct<type:string,offset:long,length:long,sha256:string>>"
+CARVED = "array<struct<type:string,offset:long,length:long,sha256:string,parent:long>>"
 SNIFFED = f"media_type string, type_corrected boolean, media_length long, carved {CARVED}"
 
 
 def sniff(table: DataFrame, media: str = "media", declared: str = "declared_type", samples: bool = False) -> DataFrame:
     """Add to ``table`` the confirmed ``media_type``, whether it differs from the declared
-    one, the confirmed length and the ``carved`` media behind it. With ``samples`` also
-    what the samples hold: ``payload_bytes, payload_sha256, tail_crc32, feature``, and
-    ``media_bytes, media_sha256`` of the blob; the blob itself then goes.
+    one, the confirmed length and the ``carved`` media behind or inside it. With ``samples``
+    also what the samples hold: ``payload_bytes, payload_sha256, tail_crc32, feature``, and
+    ``media_bytes, media_sha256`` of the blob; the blob itself then goes. Columns of the
+    table with one of these names are replaced.
     """
-    rest = [f for f in table.schema.fields if not samples or f.name != media]
+    made = ["media_type", "type_corrected", "media_length", "carved", *(["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] if samples else [])]
+    rest = [f for f in table.schema.fields if f.name.lower() not in made and (not samples or f.name != media)]
+    blobs, saids = unused(table.columns, "_blob", "_said")
     more = ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if samples else ""
     names = [f.name for f in rest]
 
@@ -318,7 +326,7 @@ def sniff(table: DataFrame, media: str = "media", declared: str = "declared_type
         found = find_media(blob) if blob is not None else []
         kind = None if blob is None else found[0][0] if found and found[0][1] == 0 else "unknown"
         own = found[0][2] if found and found[0][1] == 0 else None
-        carved = [{"type": k, "offset": at, "length": n, "sha256": hashlib.sha256(blob[at : at + n]).hexdigest()} for k, at, n in found if at]
+        carved = [{"type": k, "offset": at, "length": n, "sha256": hashlib.sha256(blob[at : at + n]).hexdigest(), "parent": up} for k, at, n, up in found if at]
         row = (kind, None if kind is None else kind != said, own, carved)
         if not samples:
             return row
@@ -327,21 +335,21 @@ def sniff(table: DataFrame, media: str = "media", declared: str = "declared_type
         data = decode_samples(blob, kind)
         return (*row, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(data, kind))
 
-    types = [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())]))]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("parent", pa.int64())]))]
     types += [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if samples else []
-    out = [*names, "media_type", "type_corrected", "media_length", "carved", *(["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] if samples else [])]
+    out = [*names, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = [one(b.as_py(), s.as_py()) for b, s in zip(part.column("_blob"), part.column("_said"), strict=True)]
+                rows = [one(b.as_py(), s.as_py()) for b, s in zip(part.column(blobs), part.column(saids), strict=True)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], out)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), SNIFFED]) + more
     said = F.col(declared) if declared in table.columns else F.lit(None).cast("string")
-    return table.select(*names, F.col(media).alias("_blob"), said.alias("_said")).mapInArrow(run, schema)
+    return table.select(*quoted(names), F.col(media).alias(blobs), said.alias(saids)).mapInArrow(run, schema)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ sorted bucket by bucket, and joined up by the buckets' sums.
 Defined results: a null text has size 0 and takes 0. Null sources are one source, last
 in order. Rows with equal id and text are interchangeable; ties of keys go by id, then
 text hash. An empty table gives an empty result. Extra columns do not matter unless
-``keep`` names them.
+``keep`` names them; of these, names of the operator's own columns are left out. Null
+weights and weights below 10^-6 count as 10^-6.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_group, staged
+from .common import join_by_group, staged, unused
 
 #: Word pattern: white space is exactly these bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -36,7 +37,8 @@ def uniform(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def length_weight(size: Column, chars: Column) -> Column:
-    """Quality weight from 0.2 to 1: texts whose words are about 6 letters long weigh most."""
+    """A stand-in for tables without a quality score, from 0.2 to 1: texts whose words are
+    about 6 letters long weigh most."""
     return F.greatest(F.lit(0.2), F.lit(1.0) - F.abs(chars / F.greatest(size, F.lit(1)) - 6.0) / 10.0)
 
 
@@ -78,30 +80,38 @@ def mix(
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, epochs, sample_key`` and the
     columns in ``keep``, a row for each row of ``docs``. ``taken`` counts the words that
-    the mix takes from a document, repeats included. ``weight`` may be any positive
-    column of ``docs``; the default looks at the length of words.
+    the mix takes from a document, repeats included. ``weight`` is the quality weight, any
+    column of ``docs`` such as a classifier's score; without it words' lengths stand in.
     """
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    chars = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("double")
-    rows = docs.select("doc_id", "source", *keep, size.alias("size"), uniform(seed).alias("u"), chars.alias("chars"), F.xxhash64("text").alias("tie"), *([weight.alias("given")] if weight is not None else []))
-    rows = rows.withColumn("sample_key", -F.log("u") / (F.col("given") if weight is not None else length_weight(F.col("size"), F.col("chars"))))
-    rows = staged(rows.drop("u", "chars", "given"), "mix-keys")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"), F.avg("sample_key").alias("mean_key"))
-    plan = staged(targets(by_source, weights, share, most).withColumn("sid", F.sha2(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), 256)), "mix-targets")
-    rows = rows.withColumn("sid", F.sha2(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), 256))
-    rows = join_by_group(rows, plan.drop("source"), "sid", "source_rows", "inner")
+    own = {"doc_id", "source", "size", "source_size", "target", "taken", "epochs", "sample_key"}
+    keep = [c for c in keep if c.lower() not in own]
+    names = ["u", "chars", "tie", "given", "sid", "bucket", "place", "source_rows", "mean_key", "before", "bucket_rows", "upto", "rest"]
+    u, chars, tie, given, sid, bucket, place, source_rows, mean_key, before, bucket_rows, upto, rest = unused([*keep, *own], *names)
+    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
+    letters = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("double")
+    rows = docs.select("doc_id", "source", *keep, words.alias("size"), uniform(seed).alias(u), letters.alias(chars), F.xxhash64("text").alias(tie), *([weight.cast("double").alias(given)] if weight is not None else []))
+    heavy = F.greatest(F.coalesce(F.col(given), F.lit(0.0)), F.lit(1e-6)) if weight is not None else length_weight(F.col("size"), F.col(chars))
+    rows = staged(rows.withColumn("sample_key", -F.log(u) / heavy).drop(u, chars, given), "mix-keys")
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias(source_rows), F.avg("sample_key").alias(mean_key))
+    name = F.sha2(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), 256)
+    plan = staged(targets(by_source, weights, share, most).withColumn(sid, name), "mix-targets")
+    rows = join_by_group(rows.withColumn(sid, name), plan.drop("source"), sid, source_rows, "inner")
     # Exponential keys: 1 - exp(-key / mean) is close to uniform, so buckets are even.
-    buckets = F.ceil(F.col("source_rows") / BUCKET_ROWS)
-    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("sample_key") / F.col("mean_key"))) * buckets).cast("long"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("sample_key", F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"), F.count(F.lit(1)).alias("bucket_rows"))
-    before = F.sum("bucket_size").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(F.struct("sid", "bucket").alias("place"), F.coalesce(before, F.lit(0)).alias("before"), "bucket_rows")
-    rows = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("place", F.struct("sid", "bucket"))
-    rows = join_by_group(rows, sums, "place", "bucket_rows", "inner")
+    buckets = F.ceil(F.col(source_rows) / BUCKET_ROWS)
+    rows = rows.withColumn(bucket, F.floor((F.lit(1.0) - F.exp(-F.col("sample_key") / F.col(mean_key))) * buckets).cast("long"))
+    inside = Window.partitionBy(sid, bucket).orderBy("sample_key", F.col("doc_id").asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, 0)
+    # The sums of a source's buckets: a running sum over groups of buckets, then inside each.
+    sums = rows.groupBy(sid, bucket).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias(bucket_rows)).withColumn("g", F.floor(F.col(bucket) / BUCKET_ROWS))
+    sums = staged(sums, "mix-buckets")
+    above = Window.partitionBy(sid).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy(sid, "g").agg(F.sum("n").alias("of_group")).select(sid, "g", F.coalesce(F.sum("of_group").over(above), F.lit(0)).alias("of_groups"))
+    earlier = F.sum("n").over(Window.partitionBy(sid, "g").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(groups, [sid, "g"])
+    sums = staged(sums.select(F.struct(sid, bucket).alias(place), (F.col("earlier") + F.col("of_groups")).alias(before), bucket_rows), "mix-before")
+    rows = rows.withColumn(upto, F.sum("size").over(inside)).withColumn(place, F.struct(sid, bucket))
+    rows = join_by_group(rows, sums, place, bucket_rows, "inner")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("before") + F.col("upto") - F.col("size"))))
-    rows = rows.withColumn("epochs", epochs).withColumn("rest", rest)
+    left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col(rest) - (F.col(before) + F.col(upto) - F.col("size"))))
+    rows = rows.withColumn("epochs", epochs).withColumn(rest, left)
     return rows.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", "sample_key")
-

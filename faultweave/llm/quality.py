@@ -1,13 +1,18 @@
 """Quality classifier: logistic regression on hashed word n-grams, learnt by
 follow-the-regularised-leader updates, scored as sparse dot products.
 
+Words stand between white space, letter case kept; runs of marks are words of their own,
+and a word that repeats the one before it stands as a ditto mark, so that n-grams of words
+never seen in training still tell of shouting, broken marks and endless repeats.
+
 The model is learnt in one task from a bounded sample of labelled documents (``most``,
 by default 12,000; with fewer labelled rows all of them) and has ``2 ** bits`` weights,
 which is what is broadcast. Every whole text is scored.
 
 Defined results: a null or empty text has no features; its score is the bias alone.
 Without any labelled row every score is 0.5. Equal texts have equal scores. An empty table
-gives an empty result; extra columns do not matter.
+gives an empty result; extra columns do not matter, but ``score`` and ``predicted`` are
+replaced by ``scored``.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .linear import Ftrl, Space, feature_table, score_column, training_rows, unpack
 
-SPACE = Space(words=(1, 2), shapes=(1, 2, 3), lower=False)
+SPACE = Space(words=(1, 2), lower=False, marks="apart", ditto=True)
 MOST = 12_000
 THRESHOLD = 0.3
 
@@ -50,7 +55,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def scored(docs: DataFrame, model: np.ndarray, space: Space = SPACE, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; all columns are kept."""
+    """``docs`` with ``score`` and ``predicted``; all other columns are kept."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     out = docs.withColumn("score", score_column(docs, model, space))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

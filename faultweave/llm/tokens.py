@@ -2,8 +2,9 @@
 
 The byte-level BPE library cuts a text at special strings, then by a fixed pattern into
 pre-tokens, and merges inside each pre-token only. So the count of a text is a sum over
-pre-tokens. Offline, ``whole_tokens`` asks the library about every vocabulary string
-once and keeps those that are a single pre-token and a single token. Such pre-tokens
+pre-tokens. Offline, on the driver and once for a tokenizer, ``whole_tokens`` asks the
+library about every vocabulary string and keeps those that are a single pre-token and a
+single token; the proof is broadcast (its size is that of the vocabulary). Such pre-tokens
 count 1 by a table look-up; only the others go through the merges, each distinct one
 once per worker and batch.
 
@@ -34,7 +35,7 @@ REMEMBERED = 200_000
 class Counter:
     """Counts the tokens of texts for one tokenizer file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, proof: tuple[frozenset[str], tuple[str, str]] | None = None) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,8 +43,8 @@ class Counter:
         self.split = regex.compile(PATTERN).findall
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.maybe, self.strange = odd_characters(path)
-        self.whole = whole_tokens(path)
+        self.whole, odd = proof or (whole_tokens(path), odd_characters(path))
+        self.maybe, self.strange = map(re.compile, odd)
         self.known: dict[str, int] = {}
 
     def merged(self, pieces: list[str]) -> int:
@@ -97,7 +98,7 @@ TRIED = ((0x0, 0x2FFF), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF))
 
 
 @lru_cache(maxsize=2)
-def odd_characters(path: str) -> tuple[re.Pattern, re.Pattern]:
+def odd_characters(path: str) -> tuple[str, str]:
     """Two patterns: a quick one that finds a candidate, and the characters that the two
     pattern libraries class differently (their Unicode versions differ) or that were not
     tried. Texts that hold one of the latter are counted by the library alone.
@@ -122,20 +123,16 @@ def odd_characters(path: str) -> tuple[re.Pattern, re.Pattern]:
                 odd += [c for c in chars if not alike(c)]
     least = min(odd, default=chr(0x3000))
     fine = "".join(f"{chr(low)}-{chr(high)}" for low, high in TRIED)
-    return re.compile(f"[{re.escape(least)}-\U0010ffff]"), re.compile(f"[^{fine}]" + (f"|[{re.escape(''.join(odd))}]" if odd else ""))
-
-
-@lru_cache(maxsize=2)
-def _counter(path: str) -> Counter:
-    return Counter(path)
+    return f"[{re.escape(least)}-\U0010ffff]", f"[^{fine}]" + (f"|[{re.escape(''.join(odd))}]" if odd else "")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row. ``tokenizer`` is the path
-    of a byte-level BPE .json file that every executor can open."""
+    of a byte-level BPE .json file that the driver and every executor can open."""
+    proof = docs.sparkSession.sparkContext.broadcast((whole_tokens(tokenizer), odd_characters(tokenizer)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
+        counter = Counter(tokenizer, proof.value)
         for batch in batches:
             counts = [counter.count(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .linear import Ftrl, Space, feature_table, over, score, sigmoid, training_rows, unpack
 
-SPACE = Space(words=(1,), stems=(4, 5), binary=True, marks=False)
+SPACE = Space(words=(1,), stems=(4, 5), binary=True, marks="dropped")
 MOST = 12_000
 THRESHOLD = 0.3
 #: Rate and L1: few strong weights, so that long clean texts do not add up noise.

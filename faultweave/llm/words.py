@@ -110,8 +110,14 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS) -> Words:
-    """The words of texts ``data[offsets[i]:offsets[i + 1]]``."""
+#: Marks, of which runs are words of their own where a table of kinds is given.
+MARKS = np.zeros(256, bool)
+MARKS[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
+
+
+def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS, kinds: np.ndarray | None = None) -> Words:
+    """The words of texts ``data[offsets[i]:offsets[i + 1]]``. With ``kinds`` a word also
+    ends where the kind of its bytes changes."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -122,6 +128,11 @@ def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS) -> Wo
     start[1:] &= ~inside[:-1]
     stop = inside.copy()
     stop[:-1] &= ~inside[1:]
+    if kinds is not None:
+        kind = kinds[data]
+        turn = inside[1:] & inside[:-1] & (kind[1:] != kind[:-1])
+        start[1:] |= turn
+        stop[:-1] |= turn
     edges = offsets[(offsets > 0) & (offsets < n)]
     start[edges] |= inside[edges]
     stop[edges - 1] |= inside[edges - 1]

@@ -25,8 +25,8 @@ def test_round_trip(docs_of, odd_rows):
 def test_formats_and_carving(kind):
     data = M.padded(bytes(range(256)) * 3)
     blob = M.encode_samples(data, kind)
-    assert M.decode_samples(blob, kind) == data and M.find_media(blob) == [(kind, 0, len(blob))]
-    assert M.find_media(b"BM\xff\xd8\xffOggSftyp" + blob + b"tail" + blob) == [(kind, 13, len(blob)), (kind, 17 + len(blob), len(blob))]
+    assert M.decode_samples(blob, kind) == data and M.find_media(blob) == [(kind, 0, len(blob), None)]
+    assert M.find_media(b"BM\xff\xd8\xffOggSftyp" + blob + b"tail" + blob) == [(kind, 13, len(blob), None), (kind, 17 + len(blob), len(blob), None)]
     assert M.find_media(blob[:-1]) == []
 
 
@@ -37,8 +37,8 @@ def test_other_formats():
     ogg = b"OggS\x00\x06" + bytes(20) + b"\x01\x03abc"
     webp = b"RIFF" + struct.pack("<I", 16) + b"WEBPVP8 " + struct.pack("<I", 4) + b"abcd"
     for kind, blob in (("image/gif", gif), ("image/jpeg", jpeg), ("video/mp4", mp4), ("application/ogg", ogg), ("image/webp", webp)):
-        assert M.find_media(blob) == [(kind, 0, len(blob))], kind
-        assert M.find_media(b"junk" + blob + b"more")[0] == (kind, 4, len(blob)), kind
+        assert M.find_media(blob) == [(kind, 0, len(blob), None)], kind
+        assert M.find_media(b"junk" + blob + b"more")[0] == (kind, 4, len(blob), None), kind
 
 
 def test_column(spark):
@@ -49,3 +49,28 @@ def test_column(spark):
     assert rows[2].media_type == "unknown" and [(c.type, c.offset, c.length) for c in rows[2].carved] == [("audio/wav", 3, len(wav))]
     assert rows[3].media_type is None and rows[4].media_type == "unknown"
     assert M.sniff(df.limit(0)).count() == 0
+
+
+def test_media_inside_media():
+    """A thumbnail in a segment of a JPEG, and media in a bitmap's pixels."""
+    png = M.encode_samples(M.padded(b"thumb"), "image/png")
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", 2 + len(png)) + png + b"\xff\xc0\x00\x05abc\xff\xda\x00\x02\x10\xff\xd9"
+    assert M.find_media(b"x" + jpeg) == [("image/jpeg", 1, len(jpeg), None), ("image/png", 7, len(png), 1)]
+    pixels = M.padded(jpeg)
+    assert [m[3] for m in M.find_media(M.encode_samples(pixels, "image/bmp") + png)] == [None, 0, 54, None]
+
+
+def test_loose_headers_are_no_media():
+    bmp = bytearray(M.encode_samples(M.padded(b"x"), "image/bmp"))
+    bmp[2:6], bmp[30:34] = struct.pack("<I", 4), struct.pack("<I", 1)
+    png = M.encode_samples(M.padded(b"x"), "image/png")
+    end = png.index(b"IDAT") - 4
+    n = struct.unpack(">I", png[end : end + 4])[0]
+    assert M.find_media(bytes(bmp)) == [] and M.find_media(png[:end] + png[end + 12 + n :]) == []
+
+
+def test_clashing_columns(spark):
+    wav = M.encode_samples(M.padded(b"x"), "audio/wav")
+    df = spark.createDataFrame([(1, bytearray(wav), "a", "b", 3)], "id int, media binary, media_type string, _blob string, Carved int")
+    out = M.sniff(df)
+    assert out.columns == ["id", "media", "_blob", "media_type", "type_corrected", "media_length", "carved"] and out.first().media_type == "audio/wav"

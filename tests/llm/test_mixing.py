@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from faultweave.llm import mixing
 from faultweave.llm.mixing import mix
 
@@ -64,3 +66,13 @@ def test_odd_rows(docs_of, odd_rows):
     check(docs, odd_rows)
     assert mix(docs.limit(0)).count() == 0
     assert [r.taken for r in mix(docs_of([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_weights_and_clashing_columns(docs_of):
+    rows = [(i, filler(i, 20)) for i in range(600)]
+    docs = docs_of(rows).withColumnsRenamed({"key": "tie", "n_chars": "Size"}).withColumn("good", (F.col("doc_id") % 2) * 0.9 + 0.05)
+    out = mix(docs.withColumn("rest", F.lit(1)), share=0.5, weight=F.col("good"), keep=("tie", "Size", "rest"))
+    assert out.columns == ["doc_id", "source", "tie", "rest", "size", "source_size", "target", "taken", "epochs", "sample_key"]
+    taken = {k: sum(r.taken > 0 for r in out.collect() if r.doc_id % 2 == k) for k in (0, 1)}
+    assert taken[1] > 3 * taken[0] > 0
+    assert mix(docs, weight=F.lit(None)).where("taken is null").count() == 0
