@@ -7,18 +7,24 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.llm import decontam, line_dedup, mixing, ngram_join, quality
 from faultweave.llm.common import staged, table
+from faultweave.llm.linear import score_column
+
+
+def _quality_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Column:
+    """The classifier's score of ``docs``, learnt from the labelled ones of all documents."""
+    known, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(known.where(~quality.held_out()), labels.where(~quality.held_out()))
+    return score_column(docs, model, quality.SPACE)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    labels = table(spark, sf_dir, "labels")
-    model = quality.learn(docs.where(~quality.held_out()), labels.where(~quality.held_out()))
-    return quality.scored(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    return docs.where(_quality_score(spark, docs, sf_dir) >= quality.THRESHOLD)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +44,9 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mix(docs, keep=("lang",)).select("doc_id", "source", "lang", "size", "source_size", "target", "taken", "epochs")
+    """What the mix takes of each document; the better its quality, the likelier. A stage
+    returns documents only, so their quality is scored anew."""
+    return mixing.mix(docs, weight=_quality_score(spark, docs, sf_dir), keep=("lang",)).select("doc_id", "source", "lang", "size", "source_size", "target", "taken", "epochs")
 
 
 STAGES = [
