@@ -50,12 +50,12 @@ UNITS = (
     "second seconds minute minutes min hour hours day days week weeks month months year years "
     "percent cent cents dollar dollars euro euros pound pounds degree degrees meter meters metre metres gram grams kilogram kilograms kilometer kilometers mph kmh"
 ).split()
-#: Names inside sentences; tokens. All loops are possessive: others call
-#: themselves in Java for every repeat, and a long list of names would end the executor.
-NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
-TOKEN = f"{OPEN}[^{CLOSE}]*+{CLOSE}|[0-9]++(?:[.,][0-9]++)*+|\\p{{L}}++"
+#: Names inside sentences; tokens. Loops over groups are possessive: others
+#: call themselves in Java for every repeat, and a long list would end the executor.
+NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+"
+TOKEN = f"{OPEN}[^{CLOSE}]*{CLOSE}|[0-9]+(?:[.,][0-9]+)*+|\\p{{L}}+"
 #: The names of the forms.
-CAPITALISED = r"(?<!\p{L})\p{Lu}\p{L}++(?: \p{Lu}\p{L}++)*+"
+CAPITALISED = r"(?<!\p{L})\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*+"
 FORMS = (NAMES, CAPITALISED, None)
 
 
@@ -75,17 +75,27 @@ def _is_number(x: Column) -> Column:
     return (x >= "0") & (x < ":")
 
 
-def canonical(toks: Column) -> Column:
-    """Tokens with placeholders for numbers, names and units."""
-
+def _canonical(toks: Column, word, mark) -> Column:
     def one(x: Column, i: Column) -> Column:
+        # Few tokens stand behind a number, so that is asked first; before the first
+        # token stands null.
         before = F.get(toks, i - 1)
-        unit = (i > 0) & _is_number(before) & F.array_contains(F.array(*map(F.lit, UNITS)), x)
-        return F.when(x >= "A", F.when(unit, UNIT).otherwise(x)).when(_is_number(x), NUMBER).otherwise(NAME)
+        unit = (before < ":") & (before >= "0") & F.array_contains(F.array(*map(F.lit, UNITS)), x)
+        return F.when(x >= "A", F.when(unit, mark(UNIT)).otherwise(word(x))).when(_is_number(x), mark(NUMBER)).otherwise(mark(NAME))
 
     return F.transform(toks, one)
 
 
+def canonical(toks: Column) -> Column:
+    """Tokens with placeholders for numbers, names and units."""
+    return _canonical(toks, lambda x: x, F.lit)
+
+
+def canonical_hashes(toks: Column) -> Column:
+    """The hashes of the canonical tokens, in one step. A placeholder's is its number."""
+    return _canonical(toks, F.xxhash64, lambda mark: F.lit(ord(mark)).cast("long"))
+
+
 def _shift(a: Column, by: int) -> Column:
     return F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
 
@@ -100,9 +110,10 @@ def _placed(hashes: Column, k: int) -> Column:
 
 
 def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> DataFrame:
-    """Add the hashes of all runs of ``lengths`` tokens of column ``canon``. A run's hash
-    is put together from runs half as long, so a step costs one value for each token."""
-    df = df.withColumn("_w1", F.transform("canon", lambda x: F.xxhash64(x)))
+    """Add the hashes of all runs of ``lengths`` tokens of column ``toks``, by canonical
+    tokens. A run's hash is put together from runs half as long, so a step costs one value
+    for each token."""
+    df = df.withColumn("_w1", canonical_hashes(F.col("toks")))
     power = 1
     while power * 2 <= max(lengths):
         df = df.withColumn(f"_w{power * 2}", _join(F.col(f"_w{power}"), _shift(F.col(f"_w{power}"), power)))
@@ -113,7 +124,7 @@ def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> Da
         for p in (1 << b for b in range(k.bit_length()) if k >> b & 1):
             piece = _shift(F.col(f"_w{p}"), done)
             run, done = piece if run is None else _join(run, piece), done + p
-        parts.append(F.slice(run, F.lit(1), F.greatest(F.size("canon") - (k - 1), F.lit(0))))
+        parts.append(F.slice(run, F.lit(1), F.greatest(F.size("_w1") - (k - 1), F.lit(0))))
     if len(parts) == 1:
         df = df.withColumn(name, F.transform(parts[0], lambda h, i: F.struct(h.alias("h"), i.alias("pos"), F.lit(lengths[0]).alias("k"))) if name == "items" else parts[0])
     else:
@@ -135,7 +146,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
 
     side, hits = small_side(cut), None
     for form in range(len(FORMS)):
-        texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text"), form).alias("toks")).withColumn("canon", canonical(F.col("toks")))
+        texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text"), form).alias("toks"))
         runs = with_windows(texts, lengths)
         # The outer forms: for the others Spark adds a filter on the array's size, which it
         # moves down to the scan and so works out every array twice, in each of its uses.
