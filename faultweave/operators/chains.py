@@ -1,5 +1,8 @@
 """Failure chains: matches in time order, cut where the log falls silent.
 
+Order, gaps and chains are worked out on narrow rows, keys and times in ranges of bounded
+size; what the matches hold besides is joined once, at the end.
+
 Differences from a single-machine run, all deliberate: equal times are ordered by source
 and line number; a cascade that is sorted again puts untimed rows last, by line number.
 """
@@ -13,41 +16,36 @@ from ..functions.enums import severity_name
 from ..functions.text import span_ms
 from ..functions.timestamps import ZERO
 from .stage import staged
-from .twolevel import with_position, with_previous, with_running_sum
+from .twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_position, with_previous, with_running_sum
 
 #: The window in seconds unless another is given, which merging always has;
 #: lines nearer than this belong together if there is no time.
 WINDOW_S = 5.0
 NEAR_LINES = 50
-BUCKET_S = 3600
-BUCKET_LINES = 100_000
+#: Chains, by their numbers, that one task of a merge sorts.
+MERGE_CHAINS = 100_000
 _NANO = 1_000_000_000
-_BUCKET = ["_untimed", "_tb", "_sb", "_lb"]
 #: Times further apart than this many seconds are past every window.
 _FAR_S = 9_000_000_000
 
 
-def _bucketed(matches: DataFrame, bucket_s: float) -> DataFrame:
-    untimed = F.col("ts_sec").isNull()
-    return matches.withColumns({
-        "_untimed": untimed.cast("int"),
-        "_tb": F.floor(F.coalesce("ts_sec", F.lit(0)) / bucket_s),
-        "_sb": F.when(untimed, F.col("source")).otherwise(""),
-        "_lb": F.when(untimed, F.floor(F.col("line_num") / BUCKET_LINES)).otherwise(0),
-    })
-
-
-def _order() -> list[Column]:
-    return [F.coalesce("ts_sec", F.lit(0)), F.coalesce("ts_nano", F.lit(0)), F.col("source"), F.col("line_num")]
+def _ordered(matches: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """The matches as a table with a number for each row; keys and times by range; the
+    order: timed matches by time, then untimed, by source and line."""
+    whole = staged(matches.withColumn("_row", F.monotonically_increasing_id()), "matches")
+    keys = whole.select("_row", F.col("ts_sec").isNull().cast("int").alias("_untimed"), "source", "line_num", "ts_sec", "ts_nano", "category")
+    order = [F.col("_untimed"), F.coalesce("ts_sec", F.lit(0)), F.coalesce("ts_nano", F.lit(0)), F.col("source"), F.col("line_num"), F.col("_row")]
+    return whole, in_ranges(keys, order, bucket_rows), order
 
 
-def _plain(df: DataFrame) -> DataFrame:
-    return df.drop(*_BUCKET)
+def _whole(whole: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    return whole.join(found.select("_row", *columns), "_row").drop("_row")
 
 
-def order_matches(matches: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+def order_matches(matches: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``pos``, from 0: timed matches by time, then untimed by source and line."""
-    return _plain(with_position(_bucketed(staged(matches, "matches"), bucket_s), _BUCKET, _order()))
+    whole, keys, order = _ordered(matches, bucket_rows)
+    return _whole(whole, with_position(keys, [BUCKET], order), "pos")
 
 
 def gap_breaks(window_s: float) -> tuple[Column, Column]:
@@ -63,25 +61,25 @@ def gap_breaks(window_s: float) -> tuple[Column, Column]:
     return gap.cast("long"), prev.isNull() | gap.isNull() | (gap > int(window_s * _NANO))
 
 
-def match_gaps(matches: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+def match_gaps(matches: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``gap_ns`` to the match before."""
-    rows = with_previous(_bucketed(staged(matches, "matches"), bucket_s), _BUCKET, _order(), F.struct("ts_sec", "ts_nano", "source", "line_num"))
-    return _plain(rows.withColumn("gap_ns", gap_breaks(WINDOW_S)[0]).drop("prev", "pos"))
+    whole, keys, order = _ordered(matches, bucket_rows)
+    rows = with_previous(keys, [BUCKET], order, F.struct("ts_sec", "ts_nano", "source", "line_num"))
+    return _whole(whole, rows.withColumn("gap_ns", gap_breaks(WINDOW_S)[0]), "gap_ns")
 
 
-def assign_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_s: float = BUCKET_S) -> DataFrame:
+def assign_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``pos`` and ``chain_seq``, from 1: a new chain where the gap is above the
     window, neighbours of one category merged where it is 5 s or less."""
-    rows = _bucketed(staged(matches, "matches"), bucket_s)
-    rows = with_previous(rows, _BUCKET, _order(), F.struct("ts_sec", "ts_nano", "source", "line_num"))
-    rows = rows.withColumn("_break", gap_breaks(window_s)[1].cast("int")).drop("prev")
-    rows = _plain(with_running_sum(rows, _BUCKET, _order(), F.col("_break"), "chain_seq")).drop("_break")
-    rows = staged(rows, "assigned")
+    broken = gap_breaks(window_s)[1].cast("int")
+    whole, keys, order = _ordered(matches, bucket_rows)
+    rows = with_previous(keys, [BUCKET], order, F.struct("ts_sec", "ts_nano", "source", "line_num"))
+    rows = staged(rows.select("_row", BUCKET, "pos", "category", "ts_sec", "ts_nano", broken.alias("_break")), "breaks")
+    rows = with_running_sum(rows, [BUCKET], [F.col("pos")], F.col("_break"), "chain_seq")
     if window_s < WINDOW_S:
-        merged = merge_chains(rows)
-        rows = rows.join(merged, "chain_seq").drop("chain_seq").withColumnRenamed("merged_seq", "chain_seq")
-        rows = staged(rows, "merged")
-    return rows
+        rows = staged(rows, "unmerged")
+        rows = rows.join(merge_chains(rows), "chain_seq").drop("chain_seq").withColumnRenamed("merged_seq", "chain_seq")
+    return staged(_whole(whole, rows, "pos", "chain_seq"), "assigned")
 
 
 def merge_chains(rows: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ def merge_chains(rows: DataFrame) -> DataFrame:
     that start 5 s or less after the end of the one before, both timed."""
     when = F.struct("ts_sec", "ts_nano")
     chains = rows.groupBy("chain_seq").agg(F.min_by("category", "pos").alias("category"), F.min_by(when, F.col("pos")).alias("start"), F.max_by(when, F.col("pos")).alias("end"))
-    chains = staged(chains.withColumn("_cb", F.floor(F.col("chain_seq") / BUCKET_LINES)), "heads")
+    chains = staged(chains.withColumn("_cb", F.floor(F.col("chain_seq") / MERGE_CHAINS)), "heads")
     chains = with_previous(chains, ["_cb"], [F.col("chain_seq")], F.struct("category", "end"))
     a, b = F.col("prev.end"), F.col("start")
     apart = b["ts_sec"] - a["ts_sec"]
@@ -132,24 +130,22 @@ def chain_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def rank_chains(chains: DataFrame, bucket_s: float = BUCKET_S) -> DataFrame:
+def rank_chains(chains: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``id``, from 1: greatest severity first, then time of the root (untimed as year
     1), then the chains' own order."""
-    rows = chains.withColumn("_t", F.coalesce("root_ts_sec", F.lit(ZERO))).withColumn("_sv", -F.col("severity_rank"))
-    rows = rows.withColumn("_tb", F.floor(F.col("_t") / bucket_s)).withColumn("_cb", F.floor(F.col("chain_seq") / BUCKET_LINES))
-    # Untimed roots share one time; their chains are spread by number.
-    rows = rows.withColumn("_cb", F.when(F.col("root_ts_sec").isNull(), F.col("_cb")).otherwise(-1))
-    order = [F.col("_t"), F.coalesce("root_ts_nano", F.lit(0)), F.col("chain_seq")]
-    out = with_position(staged(rows, "chains"), ["_sv", "_tb", "_cb"], order, "id")
-    return staged(out.withColumn("id", F.col("id") + 1).drop("_t", "_sv", "_tb", "_cb"), "ranked")
+    rows = staged(chains, "chains")
+    keys = rows.select("chain_seq", (-F.col("severity_rank")).alias("_sv"), F.coalesce("root_ts_sec", F.lit(ZERO)).alias("_t"), F.coalesce("root_ts_nano", F.lit(0)).alias("_n"))
+    order = [F.col(c) for c in ("_sv", "_t", "_n", "chain_seq")]
+    ids = with_position(in_ranges(keys, order, bucket_rows), [BUCKET], order, "id")
+    return staged(rows.join(ids.select("chain_seq", (F.col("id") + 1).alias("id")), "chain_seq"), "ranked")
 
 
-def ranked_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_s: float = BUCKET_S) -> DataFrame:
+def ranked_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Matches to ranked chains."""
-    return rank_chains(chain_summary(assign_chains(matches, window_s, bucket_s)), bucket_s)
+    return rank_chains(chain_summary(assign_chains(matches, window_s, bucket_rows)), bucket_rows)
 
 
-def chain_members(rows: DataFrame, chains: DataFrame, window_s: float = WINDOW_S) -> DataFrame:
+def chain_members(rows: DataFrame, chains: DataFrame, window_s: float = WINDOW_S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """A row for each match of ranked chains: ``id``, ``role`` (root or cascade) and
     ``cascade_pos`` from 1. A cascade whose root was not its first match is in time order
     again, the first match in the root's place among equal times."""
@@ -158,12 +154,15 @@ def chain_members(rows: DataFrame, chains: DataFrame, window_s: float = WINDOW_S
     swapped = F.col("root_pos") != F.col("first_pos")
     is_root = F.col("pos") == F.col("root_pos")
     if window_s > WINDOW_S:
-        # All untimed matches are one chain here, of many sources: a sort inside the chain.
-        place = F.when(swapped & (F.col("pos") == F.col("first_pos")), F.col("root_pos")).otherwise(F.col("pos"))
-        resorted = [F.col("ts_sec").isNull(), F.col("ts_sec"), F.col("ts_nano"), F.when(F.col("ts_sec").isNull(), F.col("line_num")), F.col("_place")]
-        out = out.withColumn("_place", place).withColumn("_root", is_root)
-        inside = Window.partitionBy("chain_seq", "_root").orderBy(*[F.when(swapped, c) for c in resorted], F.col("pos"))
-        out = out.withColumn("_k", F.row_number().over(inside)).drop("_place", "_root")
+        # All untimed matches are one chain here, of many sources, and may be most of all:
+        # the cascades that need it are sorted together, and each counts from its first.
+        place = F.when(F.col("pos") == F.col("first_pos"), F.col("root_pos")).otherwise(F.col("pos"))
+        again = staged(out.where(swapped & ~is_root).select("chain_seq", "pos", F.col("ts_sec").isNull().cast("int").alias("_untimed"), F.coalesce("ts_sec", F.lit(0)).alias("_s"), F.coalesce("ts_nano", F.lit(0)).alias("_n"), F.when(F.col("ts_sec").isNull(), F.col("line_num")).otherwise(0).alias("_l"), place.alias("_place")), "resorted")
+        order = [F.col(c) for c in ("chain_seq", "_untimed", "_s", "_n", "_l", "_place", "pos")]
+        again = staged(with_position(in_ranges(again, order, bucket_rows), [BUCKET], order, "_at").select("chain_seq", "pos", "_at"), "places")
+        first = again.groupBy("chain_seq").agg(F.min("_at").alias("_first"))
+        again = again.join(first, "chain_seq").select("pos", (F.col("_at") - F.col("_first") + 1).alias("_again"))
+        out = out.join(again, "pos", "left").withColumn("_k", F.coalesce("_again", F.col("pos") - F.col("first_pos"))).drop("_again")
     else:
         # Positions follow from the order of all matches; only the displaced first match
         # has to know how many equal ones stand between it and the root.

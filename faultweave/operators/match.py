@@ -28,24 +28,34 @@ def _screen(patterns: Sequence[Pattern]) -> list[str]:
 def first_match(line: Column, low: Column, patterns: Sequence[Pattern], literal_prefilter: bool = True) -> Column:
     """The number of the first pattern that finds the line, or null. ``low`` is the line
     in lower case. Without ``literal_prefilter`` the regexes alone decide."""
-    chain = None
-    for i, p in enumerate(patterns):
-        hit = F.rlike(line, F.lit(java_form(p.regex)))
-        if literal_prefilter and p.literals:
-            hit = _contains_any(low, p.literals) & hit
-        chain = F.when(hit, i) if chain is None else chain.when(hit, i)
-    if chain is None:
+    if not patterns:
         return F.lit(None).cast("int")
+
+    # The regexes stand in a lambda, which is not compiled: their code would be larger
+    # than a Java method may be, and their own matching takes the time anyway.
+    def tried(x: Column) -> Column:
+        chain = None
+        for i, p in enumerate(patterns):
+            hit = F.rlike(x["line"], F.lit(java_form(p.regex)))
+            if literal_prefilter and p.literals:
+                hit = _contains_any(x["low"], p.literals) & hit
+            chain = F.when(hit, i) if chain is None else chain.when(hit, i)
+        return chain
+
+    found = F.get(F.transform(F.array(F.struct(line.alias("line"), low.alias("low"))), tried), F.lit(0))
     if literal_prefilter and all(p.literals for p in patterns):
         # Most lines hold no literal at all: they leave after one look.
-        return F.when(_contains_any(low, _screen(patterns)), chain)
-    return chain
+        return F.when(_contains_any(low, _screen(patterns)), found)
+    return found
 
 
 def with_pattern(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS, literal_prefilter: bool = True) -> DataFrame:
     """All lines, with ``priority, pattern, category, severity`` and their ranks and the
     causal weight, null where no pattern matches."""
-    out = lines.withColumn("_low", F.lower("line")).withColumn("priority", first_match(F.col("line"), F.col("_low"), patterns, literal_prefilter)).drop("_low")
+    # A generator's row is made once: as a plain column the regexes would be tried again in
+    # every filter that Spark moves below them. The outer form adds no filter of its own.
+    once = F.explode_outer(F.array(first_match(F.col("line"), F.lower("line"), patterns, literal_prefilter))).alias("priority")
+    out = lines.select("*", once)
     categories = list(CATEGORIES)
 
     def of(values: list) -> Column:

@@ -13,6 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import staged
+
+#: Rows that a bucket holds, about.
+BUCKET_ROWS = 1_000_000
+BUCKET = "_bucket"
+
+
+def in_ranges(rows: DataFrame, order: Sequence[Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (a table) as a table of buckets, ranges of the order with about
+    ``bucket_rows`` rows each. The cuts are quantiles of the whole key, so a time that very
+    many rows share is cut too."""
+    n = max(1, -(-rows.count() // bucket_rows))
+    return staged(rows.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()), "ranges")
+
 
 def _keys(bucket: Sequence[str]) -> Column:
     return F.struct(*bucket)

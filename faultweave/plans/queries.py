@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from ..functions.text import format_count
 from ..functions.timestamps import with_log_time
 from ..operators import chains as C
 from ..operators import match as M
-from ..operators.counts import counts_by, result_summary
-from ..sources.files import lines_from_table
-from ..streaming.live import stream_chains, stream_counts
+from ..operators.counts import counts_by, result_summary, sources_of
+from ..operators.stage import shared_dir
+from ..sources.files import dropped_lines, lines_from_table, read_logs
+from ..streaming.live import stream_chains, stream_counts, stream_matches
 from . import oracle as O
 from . import report as R
 from .fixture import log_lines
@@ -216,17 +218,82 @@ def report_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.text_lines(_ranked(spark, sf_dir)[1])
 
 
-@query(f"""WITH {O.ranked()}, stamped AS (SELECT *, CASE WHEN ts_sec IS NULL THEN '0001-01-01T00:00:00Z'
+_DOCUMENTS = f"""{O.ranked()}, stamped AS (SELECT *, CASE WHEN ts_sec IS NULL THEN '0001-01-01T00:00:00Z'
         ELSE CASE WHEN ts_sec < -62135596800 THEN '0000' || substr(strftime(make_timestamp((ts_sec + 63113904000) * 1000000), '%Y-%m-%dT%H:%M:%S'), 5) ELSE strftime(make_timestamp(ts_sec * 1000000), '%Y-%m-%dT%H:%M:%S') END
         || CASE WHEN ts_nano > 0 THEN '.' || rtrim(lpad(ts_nano::VARCHAR, 9, '0'), '0') ELSE '' END || 'Z' END AS stamp FROM members),
-    parts AS (SELECT id, role, cascade_pos, '{{"entry":{{"source":"' || source || '","line_num":' || line_num || ',"line":' || to_json(line) || '}},"pattern":{{"name":"' || pattern || '","category":"' || category || '","severity":"' || severity || '"}},"timestamp":"' || stamp || '"}}' AS match FROM stamped)
-    SELECT r.id, '{{"id":' || r.id || ',"root_cause":' || p.match || coalesce(',"cascade":[' || c.list || ']', '') || ',"time_span_ms":' || time_span_ms || ',"category":"' || r.category || '","severity":"' || r.severity || '"}}' AS json
-    FROM ranked r JOIN parts p ON p.id = r.id AND p.role = 'root' LEFT JOIN (SELECT id, string_agg(match, ',' ORDER BY cascade_pos) AS list FROM parts WHERE role = 'cascade' GROUP BY 1) c ON c.id = r.id""")
+    parts AS (SELECT id, role, cascade_pos, '{{"entry":{{"source":"' || source || '","line_num":' || line_num || ',"line":' || to_json(line) || '}},"pattern":{{"name":"' || pattern || '","category":"' || category || '","severity":"' || severity || '"}},"timestamp":"' || stamp || '"}}' AS match FROM stamped),
+    documents_of AS (SELECT r.id, '{{"id":' || r.id || ',"root_cause":' || p.match || coalesce(',"cascade":[' || c.list || ']', '') || ',"time_span_ms":' || time_span_ms || ',"category":"' || r.category || '","severity":"' || r.severity || '"}}' AS json
+        FROM ranked r JOIN parts p ON p.id = r.id AND p.role = 'root' LEFT JOIN (SELECT id, string_agg(match, ',' ORDER BY cascade_pos) AS list FROM parts WHERE role = 'cascade' GROUP BY 1) c ON c.id = r.id)"""
+
+
+@query(f"WITH {_DOCUMENTS} SELECT id, json FROM documents_of")
 def report_json_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, chains = _ranked(spark, sf_dir)
     return R.chain_json(C.chain_members(rows, chains), chains)
 
 
+def _map_sql(column: str) -> str:
+    return f"""(SELECT '{{' || string_agg('"' || {column} || '":' || n, ',' ORDER BY {column}) || '}}' FROM (SELECT {column}, count(*) AS n FROM matches GROUP BY 1))"""
+
+
+@query(f"""WITH {_DOCUMENTS} SELECT '{{"chains":[' || (SELECT string_agg(json, ',' ORDER BY id) FROM documents_of) || '],"total_lines":' || (SELECT count(*) FROM log_lines) || ',"total_matches":' || (SELECT count(*) FROM matches)
+    || ',"by_category":' || {_map_sql("category")} || ',"by_severity":' || {_map_sql("severity")} || ',"sources":[' || (SELECT string_agg(DISTINCT '"' || source || '"', ',' ORDER BY '"' || source || '"') FROM log_lines) || ']}}' AS json""")
+def report_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = log_lines(spark, sf_dir)
+    rows, chains = _ranked(spark, sf_dir)
+    sources = sources_of(lines).first().sources
+    return R.report_json(M.with_pattern(lines), C.chain_members(rows, chains), chains, sources)
+
+
+@query(f"""WITH {O.ranked()} SELECT id, 'Chain #' || id || ' [' || category || '] ' || severity || chr(10) || '  Root: ' || root_source || ':' || root_line_num || chr(10) || '  ' || {O.clip('root_line', 200)}
+    || CASE WHEN cascade_size > 0 THEN chr(10) || '  Cascade: ' || cascade_size || ' errors' ELSE '' END AS text FROM ranked
+    UNION ALL SELECT 0, 'Lines scanned: ' || (SELECT count(*) FROM log_lines) || chr(10) || 'Matches found: ' || (SELECT count(*) FROM matches) || chr(10) || 'Failure chains: ' || (SELECT count(*) FROM ranked)""")
+def report_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.report_text(M.with_pattern(log_lines(spark, sf_dir)), _ranked(spark, sf_dir)[1])
+
+
+@query(f"WITH log_lines AS ({O.log_lines_sql()}) SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM log_lines")
+def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources_of(log_lines(spark, sf_dir)).select(F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {O.matches()} SELECT source, line_num, pattern, severity, ts_sec, ts_nano FROM matches")
+def stream_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_matches(log_lines(spark, sf_dir)).select("source", "line_num", "pattern", "severity", "ts_sec", "ts_nano")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """The log lines as files, a folder for each source; some lines end with a carriage
+    return, and some are blank."""
+    path = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    line = F.when(F.col("line_num") % 17 == 0, "").when(F.col("line_num") % 5 == 0, F.concat("line", F.lit("\r"))).otherwise(F.col("line"))
+    rows = log_lines(spark, sf_dir).repartition("source").sortWithinPartitions("source", "line_num").select("source", line.alias("value"))
+    rows.write.partitionBy("source").text(path)
+    return path
+
+
+def _name(source):
+    return F.regexp_extract(source, r"source=([^/]+)/", 1)
+
+
+_NUMBERED = f"log_lines AS ({O.log_lines_sql()}), filed AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_num) AS line_num, CASE WHEN line_num % 17 = 0 THEN '' ELSE line END AS line FROM log_lines)"
+
+
+@query(f"WITH {_NUMBERED} SELECT source, line_num, line FROM filed")
+def read_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_logs(spark, _files(spark, sf_dir)).withColumn("source", _name(F.col("source")))
+
+
+@query(f"WITH {_NUMBERED} SELECT source, line_num, line FROM filed WHERE strlen(line) <= 50")
+def read_log_files_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_logs(spark, _files(spark, sf_dir), 50).withColumn("source", _name(F.col("source")))
+
+
+@query(f"WITH {_NUMBERED} SELECT source, count(*) AS dropped FROM filed WHERE strlen(line) > 50 GROUP BY 1")
+def dropped_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropped_lines(read_logs(spark, _files(spark, sf_dir)), 50).withColumn("source", _name(F.col("source")))
+
+
 @query("""SELECT source || '/' || doc_id AS source, n AS line_num, CASE WHEN line LIKE '%' || chr(13) THEN substr(line, 1, length(line) - 1) ELSE line END AS line
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS total FROM documents)
     WHERE NOT (n = total AND line = '')""")

@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.stage import staged
+
 STDIN = "stdin"
+#: Rows and bytes of a block table that is broadcast.
+MOST_BLOCKS, MOST_BYTES = 500_000, 64 << 20
 
 
 def without_return(line: Column) -> Column:
@@ -26,11 +30,16 @@ def _scan(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """``source, line_num, line`` from a scan: a line's number in its block plus the lines
-    of the file's blocks before. The block table has a row for each block."""
+    of the file's blocks before. The block table has a row for each block; it is counted
+    when this is called and broadcast if that proves it small, so that no line is
+    shuffled."""
     blocks = lines.groupBy("source", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
-    out = lines.join(blocks, ["source", "_block"])
+    blocks = staged(blocks, "blocks")
+    n, size = blocks.agg(F.count(F.lit(1)), F.sum(F.octet_length("source") + 64)).first()
+    small = n <= MOST_BLOCKS and (size or 0) <= MOST_BYTES
+    out = lines.join(F.broadcast(blocks) if small else blocks, ["source", "_block"])
     return out.select("source", (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("long").alias("line_num"), "line")
 
 

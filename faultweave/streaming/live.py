@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.enums import severity_name
 from ..functions.patterns import DEFAULT_PATTERNS, Pattern
 from ..operators.match import match_lines
+from ..operators.stage import staged
+from ..operators.twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_previous, with_running_sum
 
 
 def stream_matches(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> DataFrame:
@@ -33,8 +35,11 @@ def stream_counts(matches: DataFrame, window: str = "1 minute", watermark: str =
 
 
 def stream_chains(matches: DataFrame, window_s: float = 5.0, watermark: str = "1 minute", by_source: bool = False) -> DataFrame:
-    """Chains of timed matches: sessions whose gaps are at most the window. Across all
-    sources one state partition holds the open chains; by source they are spread."""
+    """Chains of timed matches: sessions whose gaps are at most the window. In a stream
+    across all sources one state partition holds the open chains; by source they are
+    spread. Tables across all sources are cut in ranges of time, so no task holds them all."""
+    if not matches.isStreaming and not by_source:
+        return _table_chains(matches, window_s)
     # A plain literal would be folded away, and a session needs a second key.
     key: Column = F.col("source") if by_source else F.when(F.col("line").isNotNull(), "all")
     micros = F.unix_micros("ts")
@@ -45,3 +50,20 @@ def stream_chains(matches: DataFrame, window_s: float = 5.0, watermark: str = "1
         "chain_key", F.col("session_window.start").alias("start"), "last", F.col("root.match.category").alias("category"), severity_name(F.col("severity_rank")).alias("severity"),
         "size", F.col("root.match.pattern").alias("root_pattern"), F.col("root.match.source").alias("root_source"), F.col("root.match.line").alias("root_line"),
     )
+
+
+def _table_chains(matches: DataFrame, window_s: float, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    whole = staged(matches.where(F.col("ts").isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "timed")
+    keys = whole.select("_row", F.unix_micros("ts").alias("_us"), "causal_weight", "severity_rank", "category", "pattern", "source")
+    order = [F.col("_us"), F.col("source"), F.col("_row")]
+    rows = with_previous(in_ranges(keys, order, bucket_rows), [BUCKET], order, F.col("_us"))
+    fresh = F.coalesce(F.col("_us") - F.col("prev") > int(window_s * 1_000_000), F.lit(True)).cast("int")
+    rows = staged(rows.withColumn("_fresh", fresh).drop("prev"), "timed-gaps")
+    rows = with_running_sum(rows, [BUCKET], [F.col("pos")], F.col("_fresh"), "_chain")
+    root = F.max(F.struct("causal_weight", (-F.col("_us")).alias("early"), "category", "pattern", "source", "_row"))
+    out = rows.groupBy("_chain").agg(root.alias("root"), F.min("_us").alias("start"), F.max("_us").alias("last"), F.max("severity_rank").alias("severity_rank"), F.count(F.lit(1)).alias("size"))
+    out = out.withColumn("_row", F.col("root._row")).join(whole.select("_row", "line"), "_row")
+    return out.select(
+        F.lit("all").alias("chain_key"), F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), F.col("root.category").alias("category"), severity_name(F.col("severity_rank")).alias("severity"),
+        "size", F.col("root.pattern").alias("root_pattern"), F.col("root.source").alias("root_source"), F.col("line").alias("root_line"),
+    )

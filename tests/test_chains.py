@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultweave.functions.enums import CATEGORIES, SEVERITIES
 from faultweave.operators import chains as C
 from faultweave.operators.match import match_lines
+from faultweave.operators.twolevel import BUCKET, in_ranges
 
 SAMPLE = """2024-01-15T10:30:01Z INFO Starting application
 2024-01-15T10:30:02Z INFO Connected to database
@@ -26,10 +28,10 @@ def matches(spark, rows):
     return spark.createDataFrame(full, "source string, line_num long, line string, pattern string, category string, category_rank int, severity string, severity_rank int, causal_weight int, ts_sec long, ts_nano int")
 
 
-def run(spark, rows, window=5.0, bucket=3600):
+def run(spark, rows, window=5.0, bucket=1_000_000):
     assigned = C.assign_chains(matches(spark, rows), window, bucket)
     ranked = C.rank_chains(C.chain_summary(assigned), bucket)
-    members = C.chain_members(assigned, ranked, window)
+    members = C.chain_members(assigned, ranked, window, bucket)
     chains = {r.id: (r.category, r.severity, r.size, r.time_span_ms, r.root_line_num) for r in ranked.collect()}
     return chains, {(r.source, r.line_num): (r.id, r.role, r.cascade_pos) for r in members.collect()}
 
@@ -123,10 +125,20 @@ def test_random_and_bucket_sizes(spark, window):
         timed = dice.random() < 0.7
         rows.append((dice.choice("abc"), i, dice.randrange(1500) if timed else None, dice.choice([0, 0, 1, 999]) if timed else None, dice.choice(list(CATEGORIES)), dice.choice(SEVERITIES)))
     want = plain(rows, window)
-    for bucket in (1, 3600):
+    for bucket in (7, 1_000_000):
         assert run(spark, rows, window, bucket) == want
 
 
+@pytest.mark.parametrize("window", [1.0, 10.0])
+def test_all_matches_in_one_second(spark, window):
+    """Ranges cut what shares a time, and what has none."""
+    dice = random.Random(6)
+    rows = [(dice.choice("abc"), i, 77 if i % 3 else None, 5 if i % 3 else None, dice.choice(list(CATEGORIES)), dice.choice(SEVERITIES)) for i in range(300)]
+    ranges = in_ranges(matches(spark, rows), [F.col("ts_sec"), F.col("line_num")], 20)
+    assert max(r["count"] for r in ranges.groupBy(BUCKET).count().collect()) <= 60
+    assert run(spark, rows, window, 20) == plain(rows, window)
+
+
 def test_window_must_be_positive(spark):
     with pytest.raises(ValueError):
         C.assign_chains(matches(spark, CASES["negative span"][0]), 0)
