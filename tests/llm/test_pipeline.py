@@ -1,11 +1,17 @@
 import os
+import re
+from collections import defaultdict
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from faultweave.llm import queries
+from faultweave.llm import quality, queries
+
+from test_line_dedup import brute as lines_of
+from test_mixing import shares
+from test_ngram_join import brute as groups_of
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,3 +57,42 @@ def test_against_sql(spark, name):
     assert sorted(columns) == sorted(df.columns)
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_stages_by_brute_force(spark, tmp_path):
+    """Each stage against a plain version of it, on what its predecessor kept."""
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{DATA}/documents.parquet")
+
+    def through(name):
+        nonlocal docs
+        before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+        stages[name](spark, docs, DATA).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        return before, docs.collect()
+
+    before, after = through("quality")
+    score = {r.doc_id: r.predicted for r in quality.quality_scores(spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+    assert sorted(r.doc_id for r in after) == sorted(i for i, _, _ in before if score[i])
+    before, after = through("lines")
+    assert sorted((str(r.doc_id), r.text) for r in after) == sorted(r[:2] for r in lines_of([b[:2] for b in before]))
+    assert all(r.n_chars == len(r.text) for r in after)
+    before, after = through("near_duplicates")
+    heads = {i for i, group, _ in groups_of([b[:2] for b in before]) if i == group}
+    assert {str(r.doc_id) for r in after} == heads and len(heads) < len(before)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{DATA}/benchmark.parquet'")
+    held = {r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op3_decontamination']})").fetchall()}
+    before, after = through("benchmark")
+    assert held and {r.doc_id for r in after} == {i for i, _, _ in before} - held
+    before, after = through("mix")
+    sizes, taken = defaultdict(int), defaultdict(int)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t, _ in before}
+    for i, _, s in before:
+        sizes[s] += size[i]
+    want = shares(dict(sizes))
+    for r in after:
+        assert r.size == size[r.doc_id] and 0 <= r.taken <= 2 * r.size and abs(r.target - want[r.source]) < 1e-6 * max(1, r.target)
+        taken[r.source] += r.taken
+    assert len(after) == len(before) and all(abs(taken[s] - want[s]) <= 1 for s in sizes)
