@@ -57,7 +57,7 @@ STAGES = [
     ("mix", source_mix),
 ]
 
-#: The classifier and MinHash have no SQL; the stages are tested against brute force.
+#: The classifier has no SQL; each stage is tested against a plain version of it.
 ORACLE_SQL = None
 
 
