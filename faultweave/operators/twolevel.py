@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from .stage import staged
 
-#: Rows that a bucket holds, about.
+#: Rows that a bucket holds, about, and how many buckets there are at most: the cuts are
+#: known to the driver.
 BUCKET_ROWS = 1_000_000
+MOST_BUCKETS = 20_000
 BUCKET = "_bucket"
 
 
 def in_ranges(rows: DataFrame, order: Sequence[Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` (a table) as a table of buckets, ranges of the order with about
-    ``bucket_rows`` rows each. The cuts are quantiles of the whole key, so a time that very
-    many rows share is cut too."""
-    n = max(1, -(-rows.count() // bucket_rows))
+    ``bucket_rows`` rows each, or more where that would be over ``MOST_BUCKETS``. The cuts
+    are quantiles of the whole key, so a time that very many rows share is cut too."""
+    n = min(MOST_BUCKETS, max(1, -(-rows.count() // bucket_rows)))
     return staged(rows.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()), "ranges")
 
 
@@ -62,12 +64,12 @@ def with_previous(rows: DataFrame, bucket: Sequence[str], order: Sequence[Column
     return out.withColumn(position, (F.col(position) + F.col("_before") - 1).cast("long")).drop("_own", "_edge", "_before")
 
 
-def with_running_sum(rows: DataFrame, bucket: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
-    """Add the sum of ``value`` up to and with each row in the order of all."""
+def with_running_sum(rows: DataFrame, bucket: Sequence[str], order: Sequence[Column], value: Column, name: str, kind: str = "long") -> DataFrame:
+    """Add the sum of ``value`` up to and with each row in the order of all, of type ``kind``."""
     inside = Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_value", value)
     sums = rows.groupBy(*bucket).agg(F.sum("_value").alias("_sum"))
     before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     out = _attach(rows.withColumn(name, F.sum("_value").over(inside)), sums, bucket)
-    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_value", "_before")
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast(kind)).drop("_value", "_before")
