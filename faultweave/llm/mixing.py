@@ -5,8 +5,8 @@ seed, id and text, ``w`` its quality weight. Small keys first, this is weighted
 without replacement. Each source's target is first met by complete epochs; what is left
 is taken from the head of one more epoch in key order, by a prefix sum of sizes, and the
 document at the budget's edge is taken up to the budget. A source may hold any share of
-all rows: its keys are cut into buckets of bounded size by the key's own distribution,
-sorted bucket by bucket, and joined up by the buckets' sums.
+all rows, and so may repeats of one row: documents are cut into ranges of bounded size by
+quantiles of the whole order, sorted range by range, and joined up by the ranges' sums.
 
 Defined results: a null text has size 0 and takes 0. Null sources are one source, last
 in order. Rows with equal id and text are interchangeable; ties of keys go by id, then
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_group, staged, unused
+from ..operators.twolevel import BUCKET, in_ranges, with_position, with_running_sum
+from .common import join_by_group, quoted, staged
 
 #: Word pattern: white space is exactly these bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Documents that one task sorts.
-BUCKET_ROWS = 2_000
+#: Documents that one task sorts, about.
+BUCKET_ROWS = 20_000
 
 
 def uniform(seed: int, doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -43,30 +44,30 @@ def length_weight(size: Column, chars: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """Add ``target`` to rows with ``source, source_size``, one for each source.
+    """Add ``target``, and ``base``, the sizes of all sources before, to a table with
+    ``source, source_size``, one row for each source.
 
     Sources share ``share`` of all sizes by weight, none above ``most`` times its size.
     Passing on what is above until nothing is equals ``min(most * size, x * weight)``
     for the one ``x`` at which the sum is right: capped sources are those with the least
-    ``most * size / weight``, found by prefix sums in that order. Works on the one-row-
-    per-source table, whose windows are unpartitioned: it holds sums, not documents.
+    ``most * size / weight``, found by prefix sums in that order. Sources may be many, such
+    as hosts: places and sums come from two-level windows, and three numbers to the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = (
-        s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("open_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("total", F.sum("source_size").over(everything) * share)
-    )
+    name = F.col("source").asc_nulls_last()
+    s = in_ranges(sources, [name])
+    s = with_running_sum(with_position(s, [BUCKET], [name], "rank"), [BUCKET], [name], F.col("source_size"), "base")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = s.drop(BUCKET).withColumn("base", F.col("base") - F.col("source_size")).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    order = [F.col("turn"), name]
+    s = in_ranges(staged(s.withColumn("turn", F.col("cap") / F.col("w")), "mix-turns"), order)
+    capped = with_running_sum(s, [BUCKET], order, F.col("cap"), "capped", "double")
+    capped = with_running_sum(capped, [BUCKET], order, F.col("w"), "weighed", "double")
+    total, total_w = s.agg(F.sum("source_size"), F.sum("w")).first()
     # The water level if all before this one are capped; the first at which this one is not.
-    level = (F.col("total") - F.col("capped")) / F.col("open_w")
-    turn = F.col("cap") / F.col("w")
-    s = s.withColumn("level", F.min(F.when(level <= turn, F.struct(turn.alias("turn"), level.alias("level")))).over(everything)["level"])
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w")))
-    return s.withColumn("target", target).drop("w", "cap", "capped", "open_w", "total", "level")
+    level = (F.lit((total or 0) * share) - (F.col("capped") - F.col("cap"))) / (F.lit(total_w or 0.0) - (F.col("weighed") - F.col("w")))
+    (first,) = capped.agg(F.min(F.when(level <= F.col("turn"), F.struct("turn", level.alias("level"))))["level"]).first()
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(first) * F.col("w"))
+    return s.withColumn("target", target).drop(BUCKET, "rank", "w", "cap", "turn")
 
 
 def mix(
@@ -85,33 +86,24 @@ def mix(
     """
     own = {"doc_id", "source", "size", "source_size", "target", "taken", "epochs", "sample_key"}
     keep = [c for c in keep if c.lower() not in own]
-    names = ["u", "chars", "tie", "given", "sid", "bucket", "place", "source_rows", "mean_key", "before", "bucket_rows", "upto", "rest"]
-    u, chars, tie, given, sid, bucket, place, source_rows, mean_key, before, bucket_rows, upto, rest = unused([*keep, *own], *names)
+    # Columns to keep travel as one, so that their names meet none of this function's.
+    extra = [F.struct(*quoted(keep)).alias("extra")] if keep else []
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     letters = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("double")
-    rows = docs.select("doc_id", "source", *keep, words.alias("size"), uniform(seed).alias(u), letters.alias(chars), F.xxhash64("text").alias(tie), *([weight.cast("double").alias(given)] if weight is not None else []))
-    heavy = F.greatest(F.coalesce(F.col(given), F.lit(0.0)), F.lit(1e-6)) if weight is not None else length_weight(F.col("size"), F.col(chars))
-    rows = staged(rows.withColumn("sample_key", -F.log(u) / heavy).drop(u, chars, given), "mix-keys")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias(source_rows), F.avg("sample_key").alias(mean_key))
+    given = [weight.cast("double").alias("given")] if weight is not None else []
+    rows = docs.select("doc_id", "source", *extra, words.alias("size"), uniform(seed).alias("u"), letters.alias("chars"), F.xxhash64("text").alias("tie"), *given)
+    heavy = F.greatest(F.coalesce("given", F.lit(0.0)), F.lit(1e-6)) if given else length_weight(F.col("size"), F.col("chars"))
+    rows = rows.withColumns({"sample_key": -F.log("u") / heavy, "row": F.monotonically_increasing_id()})
+    rows = staged(rows.drop("u", "chars", *["given"] * len(given)), "mix-keys")
+    by_source = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), "mix-sources")
     name = F.sha2(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")), 256)
-    plan = staged(targets(by_source, weights, share, most).withColumn(sid, name), "mix-targets")
-    rows = join_by_group(rows.withColumn(sid, name), plan.drop("source"), sid, source_rows, "inner")
-    # Exponential keys: 1 - exp(-key / mean) is close to uniform, so buckets are even.
-    buckets = F.ceil(F.col(source_rows) / BUCKET_ROWS)
-    rows = rows.withColumn(bucket, F.floor((F.lit(1.0) - F.exp(-F.col("sample_key") / F.col(mean_key))) * buckets).cast("long"))
-    inside = Window.partitionBy(sid, bucket).orderBy("sample_key", F.col("doc_id").asc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, 0)
-    # The sums of a source's buckets: a running sum over groups of buckets, then inside each.
-    sums = rows.groupBy(sid, bucket).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias(bucket_rows)).withColumn("g", F.floor(F.col(bucket) / BUCKET_ROWS))
-    sums = staged(sums, "mix-buckets")
-    above = Window.partitionBy(sid).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    groups = sums.groupBy(sid, "g").agg(F.sum("n").alias("of_group")).select(sid, "g", F.coalesce(F.sum("of_group").over(above), F.lit(0)).alias("of_groups"))
-    earlier = F.sum("n").over(Window.partitionBy(sid, "g").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(groups, [sid, "g"])
-    sums = staged(sums.select(F.struct(sid, bucket).alias(place), (F.col("earlier") + F.col("of_groups")).alias(before), bucket_rows), "mix-before")
-    rows = rows.withColumn(upto, F.sum("size").over(inside)).withColumn(place, F.struct(sid, bucket))
-    rows = join_by_group(rows, sums, place, bucket_rows, "inner")
+    plan = staged(targets(by_source, weights, share, most).withColumn("sid", name).drop("source"), "mix-targets")
+    # One running sum over all sources in turn; what stands before a source is taken off.
+    order = [F.col("source").asc_nulls_last(), F.col("sample_key"), F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("row")]
+    rows = with_running_sum(in_ranges(rows, order, BUCKET_ROWS), [BUCKET], order, F.col("size"), "upto")
+    rows = join_by_group(rows.withColumn("sid", name), plan, "sid", "source_rows", "inner")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col(rest) - (F.col(before) + F.col(upto) - F.col("size"))))
-    rows = rows.withColumn("epochs", epochs).withColumn(rest, left)
-    return rows.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "epochs", "sample_key")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("upto") - F.col("base") - F.col("size"))))
+    rows = rows.withColumn("epochs", epochs).withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    return rows.select("doc_id", "source", *[F.col("extra")[c].alias(c) for c in keep], "size", "source_size", "target", "taken", "epochs", "sample_key")
