@@ -3,7 +3,8 @@
 A batch of texts is one byte buffer. A table sends each byte to its folded form plus
 1, or to 0 if it separates words; words are runs of other bytes inside one text. A word's hash
 is a polynomial in random 64-bit values of its bytes, taken from a running sum, so that
-no step is a loop over words. Hashes depend on nothing but the word's bytes.
+no step is a loop over words. Sums run over pieces of bounded size, in long texts too.
+Hashes depend on nothing but the word's bytes.
 """
 
 from __future__ import annotations
@@ -137,10 +138,17 @@ def scan(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORDS, kinds
     start[edges] |= inside[edges]
     stop[edges - 1] |= inside[edges - 1]
     begin, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = _powers.get(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_RANDOM[folded] * down[:n], out=total[1:])
-    value = mix((total[end] - total[begin]) * up[begin])
+    value = np.empty(len(begin), U)
+    i = 0
+    while i < len(begin):
+        # Words that end within one chunk; a single longer word is a piece alone.
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))
+        a, b = int(begin[i]), int(end[j - 1])
+        up, down = _powers.get(b - a + 1)
+        total = np.zeros(b - a + 1, U)
+        np.cumsum(_RANDOM[folded[a:b]] * down[: b - a], out=total[1:])
+        value[i:j] = mix((total[end[i:j] - a] - total[begin[i:j] - a]) * up[begin[i:j] - a])
+        i = j
     return Words(value, begin, end, np.searchsorted(begin, offsets).astype(np.int64), data, offsets)
 
 
