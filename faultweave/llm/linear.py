@@ -123,7 +123,11 @@ class Ftrl:
         for _ in range(epochs):
             for i in order.permutation(len(rows)):
                 self.update(*rows[i], labels[i], 1.0 if weights is None else weights[i])
-        return self.weights()
+        # Some slots at a time: temporaries of all of them would be most of the task's memory.
+        out, step = np.empty(len(self.z)), 1 << 16
+        for i in range(0, len(out), step):
+            out[i : i + step] = self.weights(slice(i, i + step))
+        return out
 
 
 def score(rows, model: np.ndarray) -> np.ndarray:
