@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 from .decontam import CONSISTENCY, COVERAGE, PLAIN, SHORTEST, UNITS, WINDOW
 
 
@@ -75,12 +75,69 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress, with_group_error
+
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    out = with_group_error(staged(coded.drop("embedding"), "codes"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op11_vector_codes": _codes_sql(), "op13_hard_negatives": _negatives_sql()}
+
+
+_WHOLE = "embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)"
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds one behind the other."""
+    steps = ["c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM parts WHERE r <= 16)"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, min(list_sum([(x[i] - c[i]) * (x[i] - c[i]) for i in range(1, len(x) + 1)])::HUGEINT * 16 + e) AS m FROM parts JOIN c{i} USING (p) GROUP BY r, p)")
+        if i < rounds:
+            steps.append(f"u{i} AS (SELECT p, (m % 16)::BIGINT AS e, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM a{i})")
+            steps.append(f"s{i} AS (SELECT p, e, i, sum(v)::HUGEINT AS s, count(*) AS n FROM u{i} GROUP BY ALL)")
+            steps.append(f"n{i} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{i} GROUP BY p, e)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (p, e))")
+    return f"""
+        WITH good AS (SELECT * FROM embeddings WHERE {_WHOLE}),
+        size AS (SELECT len(embedding) AS d FROM good WHERE len(embedding) > 0 AND len(embedding) % 8 = 0 GROUP BY 1 ORDER BY count(*) DESC, d DESC LIMIT 1),
+        kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM good, size WHERE len(embedding) = d),
+        parts AS MATERIALIZED (SELECT r, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, range(8) t(p)),
+        {", ".join(steps)},
+        coded AS (SELECT r, string_agg(printf('%02x', (m % 16)::BIGINT), '' ORDER BY p) AS code, sum(m // 16)::BIGINT AS error FROM a{rounds} GROUP BY r)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)"""
+
+
+def _negatives_sql() -> str:
+    return f"""
+        WITH good AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+        size AS (SELECT len(embedding) AS d FROM good WHERE len(embedding) > 0 GROUP BY 1 ORDER BY count(*) DESC, d DESC LIMIT 1),
+        kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM good, size WHERE len(embedding) = d),
+        scored AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM kept a JOIN kept b ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM b.vec_id),
+        positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other NULLS LAST) <= 5),
+        hard AS (SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.r, p.o ORDER BY n.score DESC, n.other NULLS LAST)::INT AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+            FROM positives p JOIN scored n ON p.r = n.r AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+        SELECT * FROM hard WHERE rank <= 10"""
 
 
 ORACLE_SQL: dict[str, str] = {
