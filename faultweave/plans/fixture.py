@@ -80,3 +80,22 @@ def log_lines_sql() -> str:
                     WHEN f = 9 THEN strftime(t, '%d/%b/%Y:%H:%M:%S') ELSE strftime(t, '%Y-%m-%dT%H:%M:%S') || '+05:30' END
                || CASE WHEN event_type = 'error' THEN ' ERROR ' || list_extract([{messages}], (event_id % {len(MESSAGES)})::INT + 1) ELSE ' INFO ' || event_type END AS line
         FROM (SELECT *, event_id % 11 AS f, TIMESTAMP '{START}' + to_seconds(event_id) AS t FROM events)"""
+
+
+#: What is added to the log lines that arrive as files: a match that ends all windows of
+#: time, in a file of its own, and behind it one that comes too late.
+END = "9999-12-31T23:59:59Z ERROR broken pipe"
+LATE = "2024-01-15T08:00:00Z ERROR broken pipe"
+
+
+def arriving(spark: SparkSession, sf_dir: str, folder: str, part: int, parts: int = 3) -> None:
+    """Add one of ``parts`` of the log lines, in order of time, to ``folder`` as files by
+    source; part ``parts`` is the end, the next one the late line."""
+    if part < parts:
+        lines = log_lines(spark, sf_dir)
+        most = lines.agg(F.max("line_num")).first()[0] or 0
+        mine = lines.where(F.floor((F.col("line_num") - 1) * parts / most) == part)
+        rows = mine.repartition("source").sortWithinPartitions("source", "line_num").select("source", F.col("line").alias("value"))
+    else:
+        rows = spark.createDataFrame([("end.log", END if part == parts else LATE)], "source string, value string")
+    rows.write.mode("append").partitionBy("source").text(folder)

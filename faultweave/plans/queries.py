@@ -15,11 +15,12 @@ from ..operators import chains as C
 from ..operators import match as M
 from ..operators.counts import counts_by, result_summary, sources_of
 from ..operators.stage import shared_dir
-from ..sources.files import dropped_lines, lines_from_table, read_logs
+from ..sources.files import LineNumbers, dropped_lines, lines_from_table, read_logs, stream_files
 from ..streaming.live import stream_chains, stream_counts, stream_matches
+from ..streaming.run import rows_of, run_available
 from . import oracle as O
 from . import report as R
-from .fixture import log_lines
+from .fixture import END, LATE, arriving, log_lines
 
 #: A list of one's own, with groups.
 CUSTOM = (
@@ -320,6 +321,54 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_counts(_matches(spark, sf_dir)).select(F.unix_seconds("start").alias("start_sec"), "category", "severity", "n")
 
 
+def _live(spark: SparkSession, sf_dir: str, of) -> DataFrame:
+    """A stream over files that arrive one after the other, in three runs that each go on
+    from the checkpoint of the one before; times in log lines differ by hours, hence the
+    watermark. ``late_rows``: how many came too late."""
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    late = 0
+    for part in range(5):
+        arriving(spark, sf_dir, f"{path}/in", part)
+        if part not in (1, 2):  # these wait for the second run
+            stream = of(stream_matches(stream_files(spark, f"{path}/in").select("source", "line")))
+            late += run_available(stream, path)
+    return rows_of(spark, path, stream.schema).withColumn("late_rows", F.lit(late).cast("long"))
+
+
+@query(f"WITH {O.matches()} SELECT source, line, pattern, severity, ts_sec, ts_nano FROM matches UNION ALL SELECT 'end.log', '{END}', 'broken_pipe', 'ERROR', 253402300799, 0 UNION ALL SELECT 'end.log', '{LATE}', 'broken_pipe', 'ERROR', 1705305600, 0")
+def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _live(spark, sf_dir, lambda matches: matches).select("source", "line", "pattern", "severity", "ts_sec", "ts_nano")
+
+
+@query(f"WITH {O.matches()}, timed AS ({_TIMED}) SELECT (us // 60000000 * 60)::BIGINT AS start_sec, category, severity, count(*) AS n, 1::BIGINT AS late_rows FROM timed GROUP BY ALL")
+def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _live(spark, sf_dir, lambda matches: stream_counts(matches, watermark="6 hours"))
+    return counts.select(F.unix_seconds("start").alias("start_sec"), "category", "severity", "n", "late_rows")
+
+
+@query(f"""WITH {O.matches()}, timed AS ({_TIMED}), cut AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us) <= 5000000 THEN 0 ELSE 1 END AS fresh FROM timed),
+    grouped AS (SELECT *, sum(fresh) OVER (ORDER BY us ROWS UNBOUNDED PRECEDING) AS g FROM cut),
+    rooted AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY causal_weight DESC, ts_sec, ts_nano, source, line) AS place FROM grouped),
+    roots AS (SELECT g, category, pattern AS root_pattern, source AS root_source, line AS root_line FROM rooted WHERE place = 1)
+    SELECT (min(us) // 1000000)::BIGINT AS start_sec, (max(us) // 1000000)::BIGINT AS last_sec, count(*) AS size, max(severity_rank) AS severity_rank, r.category, root_pattern, root_source, root_line, 1::BIGINT AS late_rows FROM grouped JOIN roots r USING (g) GROUP BY g, r.category, root_pattern, root_source, root_line""")
+def live_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.enums import severity_rank
+
+    out = _live(spark, sf_dir, lambda matches: stream_chains(matches, watermark="6 hours"))
+    return out.select(F.unix_seconds("start").alias("start_sec"), F.unix_seconds("last").alias("last_sec"), "size", severity_rank(F.col("severity")).alias("severity_rank"), "category", "root_pattern", "root_source", "root_line", "late_rows")
+
+
+@query(f"WITH log_lines AS ({O.log_lines_sql()}) SELECT source, row_number() OVER (PARTITION BY source ORDER BY line_num) AS line_num, line FROM log_lines")
+def live_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    for part in range(3):
+        arriving(spark, sf_dir, f"{path}/in", part)
+        if part != 1:
+            # A new object each time, as after a restart; a batch takes some files only.
+            LineNumbers(path).run_available(stream_files(spark, f"{path}/in", 5))
+    return LineNumbers(path).table(spark)
+
+
 @query(f"SELECT DISTINCT n, {O.short_count('n')} AS shown FROM (SELECT (o_orderkey * 7919) AS n FROM orders)")
 def short_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey").cast("long") * 7919).alias("n")).distinct()

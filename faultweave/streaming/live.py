@@ -16,6 +16,7 @@ from ..functions.patterns import DEFAULT_PATTERNS, Pattern
 from ..operators.match import match_lines
 from ..operators.stage import staged
 from ..operators.twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_previous, with_running_sum
+from .sessions import joined_sessions, window_summaries
 
 
 def stream_matches(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> DataFrame:
@@ -34,21 +35,33 @@ def stream_counts(matches: DataFrame, window: str = "1 minute", watermark: str =
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "category", "severity", "n")
 
 
-def stream_chains(matches: DataFrame, window_s: float = 5.0, watermark: str = "1 minute", by_source: bool = False) -> DataFrame:
-    """Chains of timed matches: sessions whose gaps are at most the window. In a stream
-    across all sources one state partition holds the open chains; by source they are
-    spread. Tables across all sources are cut in ranges of time, so no task holds them all."""
+def stream_chains(matches: DataFrame, window_s: float = 5.0, watermark: str = "1 minute", by_source: bool = False, place: str | None = None) -> DataFrame:
+    """Chains of timed matches: sessions whose gaps are at most the window, over all sources
+    or by source. The root is the first match of the greatest causal weight; equal times go
+    by source, ``place`` (a column with the line's number, if there is one) and line.
+    Streams go through ``sessions``, tables over all sources through ranges of time, so that
+    no task holds them all."""
     if not matches.isStreaming and not by_source:
         return _table_chains(matches, window_s)
-    # A plain literal would be folded away, and a session needs a second key.
-    key: Column = F.col("source") if by_source else F.when(F.col("line").isNotNull(), "all")
-    micros = F.unix_micros("ts")
-    root = F.max(F.struct("causal_weight", (-micros).alias("early"), F.struct("category", "pattern", "source", "line").alias("match")))
-    gap = f"{int(window_s * 1000)} milliseconds"
-    out = _timed(matches, watermark).groupBy(F.session_window("ts", gap), key.alias("chain_key")).agg(root.alias("root"), F.max("severity_rank").alias("severity_rank"), F.count(F.lit(1)).alias("size"), F.max("ts").alias("last"))
+    timed = _timed(matches, watermark)
+    at = F.col(place) if place else F.lit(0)
+    if not matches.isStreaming:
+        return _table_chains_by_source(timed, window_s, at)
+    sums = window_summaries(timed, window_s, ["source"] if by_source else [], at)
+    found = joined_sessions(sums, window_s, F.col("source") if by_source else F.lit("all"))
+
+    def time(name: str) -> Column:
+        return F.timestamp_micros(F.col(f"{name}_sec") * 1_000_000 + F.call_function("div", F.col(f"{name}_nano"), F.lit(1000))).alias(name)
+
+    return found.select("chain_key", time("start"), time("last"), F.col("root_category").alias("category"), severity_name(F.col("severity_rank")).alias("severity"), "size", "root_pattern", "root_source", "root_line")
+
+
+def _table_chains_by_source(timed: DataFrame, window_s: float, place: Column) -> DataFrame:
+    root = F.min(F.struct((-F.col("causal_weight")).alias("weight"), "ts_sec", "ts_nano", "source", place.alias("place"), "line", "category", "pattern"))
+    out = timed.groupBy(F.session_window("ts", f"{int(window_s * 1_000_000)} microseconds"), F.col("source").alias("chain_key")).agg(root.alias("root"), F.max("severity_rank").alias("severity_rank"), F.count(F.lit(1)).alias("size"), F.max("ts").alias("last"))
     return out.select(
-        "chain_key", F.col("session_window.start").alias("start"), "last", F.col("root.match.category").alias("category"), severity_name(F.col("severity_rank")).alias("severity"),
-        "size", F.col("root.match.pattern").alias("root_pattern"), F.col("root.match.source").alias("root_source"), F.col("root.match.line").alias("root_line"),
+        "chain_key", F.col("session_window.start").alias("start"), "last", F.col("root.category").alias("category"), severity_name(F.col("severity_rank")).alias("severity"),
+        "size", F.col("root.pattern").alias("root_pattern"), F.col("root.source").alias("root_source"), F.col("root.line").alias("root_line"),
     )
 
 
