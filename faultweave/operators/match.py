@@ -101,20 +101,9 @@ def patterns_table(spark, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> Dat
     return spark.createDataFrame(rows, "priority int, name string, category string, severity string, regex string, literals array<string>")
 
 
-#: Rows of a pattern table: a list that people write, checked before it is collected.
-MOST_PATTERNS = 10_000
-
-
-def patterns_from(table: DataFrame) -> list[Pattern]:
-    """A table ``priority, name, category, severity, regex`` as a list; it is checked to be
-    a list of a size that a plan can hold."""
-    rows = table.orderBy("priority").limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError("too many patterns")
-    return [Pattern(r["name"], r["category"], r["severity"], r["regex"]) for r in rows]
-
-
 def match_lines_table(lines: DataFrame, table: DataFrame, literal_prefilter: bool = True) -> DataFrame:
-    """``match_lines`` with the patterns of a table: the list becomes part of the plan, so
-    each regex is compiled once and no line is joined with patterns."""
-    return match_lines(lines, patterns_from(table), literal_prefilter)
+    """``match_lines`` with the patterns of a table ``priority, name, category, severity,
+    regex`` of any length."""
+    from .pattern_index import match_by_table
+
+    return match_by_table(lines, table, literal_prefilter)

@@ -99,3 +99,38 @@ def arriving(spark: SparkSession, sf_dir: str, folder: str, part: int, parts: in
     else:
         rows = spark.createDataFrame([("end.log", END if part == parts else LATE)], "source string, value string")
     rows.write.mode("append").partitionBy("source").text(folder)
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log line for each order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.format_string("%sZ ERROR order %d of Customer#%09d is %s, %s", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return o.select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("line_num"), line.alias("line"))
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns, some for each customer, part and supplier, and one without a literal."""
+
+    def of(table: str, key: str, first: int, name: str, category: str, severity: str, regex) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        number = F.col(key)
+        return rows.select((number * 4 + first).alias("priority"), F.format_string(f"{name}_%d", number).alias("name"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), regex(number).alias("regex"))
+
+    return (
+        of("customer", "c_custkey", 1_000_000, "open", "DB Lock", "ERROR", lambda n: F.format_string(r"(?i)order (\d+) of customer#%09d is [ep]", n))
+        .unionByName(of("customer", "c_custkey", 1_000_003, "low", "Timeout", "WARN", lambda n: F.format_string(r"Customer#%09d is (\w), \d-LOW", n)))
+        .unionByName(of("part", "p_partkey", 2, "part", "Disk I/O", "FATAL", lambda n: F.format_string(r"order %d of (C)", n)))
+        .unionByName(of("supplier", "s_suppkey", 1, "supplier", "Network", "CRITICAL", lambda n: F.format_string(r"Supplier#%09d (refused)", n)))
+        .unionByName(spark.sql(r"SELECT 2000000 AS priority, 'sevens' AS name, 'Signal' AS category, 'WARN' AS severity, r'\b\d{3}77\b' AS regex"))
+    )
+
+
+#: The same in SQL, each rule with the text that a line has to hold, and each line with
+#: those of the texts that it holds.
+RULES_SQL = r"""order_lines AS (SELECT o_orderkey AS line_num, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || ' ERROR order ' || o_orderkey || ' of Customer#' || lpad(o_custkey::VARCHAR, 9, '0') || ' is ' || o_orderstatus || ', ' || o_orderpriority AS line,
+        ['order ' || o_orderkey || ' of ', ' of customer#' || lpad(o_custkey::VARCHAR, 9, '0') || ' is ', 'customer#' || lpad(o_custkey::VARCHAR, 9, '0') || ' is '] AS texts FROM orders),
+    rules AS (SELECT c_custkey * 4 + 1000000 AS priority, 'open_' || c_custkey AS name, 'DB Lock' AS category, 'ERROR' AS severity, '(?i)order (\d+) of customer#' || lpad(c_custkey::VARCHAR, 9, '0') || ' is [ep]' AS regex, ' of customer#' || lpad(c_custkey::VARCHAR, 9, '0') || ' is ' AS literal FROM customer
+    UNION ALL SELECT c_custkey * 4 + 1000003, 'low_' || c_custkey, 'Timeout', 'WARN', 'Customer#' || lpad(c_custkey::VARCHAR, 9, '0') || ' is (\w), \d-LOW', 'customer#' || lpad(c_custkey::VARCHAR, 9, '0') || ' is ' FROM customer
+    UNION ALL SELECT p_partkey * 4 + 2, 'part_' || p_partkey, 'Disk I/O', 'FATAL', 'order ' || p_partkey || ' of (C)', 'order ' || p_partkey || ' of ' FROM part
+    UNION ALL SELECT s_suppkey * 4 + 1, 'supplier_' || s_suppkey, 'Network', 'CRITICAL', 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' (refused)', 'supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' ' FROM supplier
+    UNION ALL SELECT 2000000, 'sevens', 'Signal', 'WARN', '\b\d{3}77\b', NULL)"""

@@ -20,7 +20,7 @@ from ..streaming.live import stream_chains, stream_counts, stream_matches
 from ..streaming.run import rows_of, run_available
 from . import oracle as O
 from . import report as R
-from .fixture import END, LATE, arriving, log_lines
+from .fixture import END, LATE, RULES_SQL, arriving, log_lines, order_lines, rules
 
 #: A list of one's own, with groups.
 CUSTOM = (
@@ -90,6 +90,14 @@ def pattern_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_lines_table(log_lines(spark, sf_dir), M.patterns_table(spark)).select("source", "line_num", "pattern", "severity")
 
 
+@query(f"""WITH {RULES_SQL}, held AS (SELECT line_num, line, unnest(texts) AS literal FROM order_lines), tried AS MATERIALIZED (SELECT line_num, line, priority, regex FROM held JOIN rules USING (literal)),
+    free AS (SELECT line_num, line, priority, regex FROM order_lines, rules WHERE literal IS NULL), hits AS (SELECT line_num, min(priority) AS priority FROM (FROM tried UNION ALL FROM free) WHERE regexp_matches(line, regex) GROUP BY 1)
+    SELECT line_num, priority, name AS pattern, category, severity, CASE WHEN literal IS NOT NULL THEN regexp_extract(line, regex, 1) END AS groups FROM hits JOIN rules USING (priority) JOIN order_lines USING (line_num)""")
+def pattern_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.match_lines_table(order_lines(spark, sf_dir), rules(spark, sf_dir))
+    return found.select("line_num", "priority", "pattern", "category", "severity", F.array_join("submatch", "|").alias("groups"))
+
+
 @query(f"WITH log_lines AS ({O.log_lines_sql()}), {O.timed('log_lines', 'timed')} SELECT source, line_num, ts_sec, ts_nano FROM timed")
 def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_log_time(log_lines(spark, sf_dir)).select("source", "line_num", "ts_sec", "ts_nano")
