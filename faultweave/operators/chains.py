@@ -16,7 +16,7 @@ from ..functions.enums import severity_name
 from ..functions.text import span_ms
 from ..functions.timestamps import ZERO
 from .stage import staged
-from .twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_position, with_previous, with_running_sum
+from .twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_last, with_position, with_previous, with_running_sum
 
 #: The window in seconds unless another is given, which merging always has;
 #: lines nearer than this belong together if there is no time.
@@ -149,37 +149,44 @@ def chain_members(rows: DataFrame, chains: DataFrame, window_s: float = WINDOW_S
     """A row for each match of ranked chains: ``id``, ``role`` (root or cascade) and
     ``cascade_pos`` from 1. A cascade whose root was not its first match is in time order
     again, the first match in the root's place among equal times."""
-    heads = chains.select("chain_seq", "id", "first_pos", "root_pos")
-    out = rows.join(heads, "chain_seq")
+    when = F.struct("ts_sec", "ts_nano", F.when(F.col("ts_sec").isNull(), F.col("line_num")).alias("untimed"))
+    # A chain's head meets the row of its first match and is handed on along the positions,
+    # which a chain has without gaps; nothing is joined by chain.
+    heads = chains.select(F.col("first_pos").alias("pos"), F.struct("chain_seq", "id", "first_pos", "root_pos").alias("_own"))
+    keys = rows.select("pos", "chain_seq", when.alias("_when")).join(heads, "pos", "left")
+    keys = staged(keys.withColumn(BUCKET, F.floor(F.col("pos") / bucket_rows)), "heads")
+    own = F.when(F.col("_own").isNotNull(), F.struct("_own.*", F.col("_when").alias("when")))
+    out = with_last(keys, [BUCKET], [F.col("pos")], own, "_head")
+    out = out.where(F.col("chain_seq") == F.col("_head.chain_seq")).select("pos", "_when", "_head.*")
     swapped = F.col("root_pos") != F.col("first_pos")
     is_root = F.col("pos") == F.col("root_pos")
+    is_first = F.col("pos") == F.col("first_pos")
+    ahead = F.col("pos") - F.col("first_pos")
+    out = staged(out, "headed")
     if window_s > WINDOW_S:
         # All untimed matches are one chain here, of many sources, and may be most of all:
         # the cascades that need it are sorted together, and each counts from its first.
-        place = F.when(F.col("pos") == F.col("first_pos"), F.col("root_pos")).otherwise(F.col("pos"))
-        again = staged(out.where(swapped & ~is_root).select("chain_seq", "pos", F.col("ts_sec").isNull().cast("int").alias("_untimed"), F.coalesce("ts_sec", F.lit(0)).alias("_s"), F.coalesce("ts_nano", F.lit(0)).alias("_n"), F.when(F.col("ts_sec").isNull(), F.col("line_num")).otherwise(0).alias("_l"), place.alias("_place")), "resorted")
+        untimed = F.col("_when.ts_sec").isNull()
+        place = F.when(is_first, F.col("root_pos")).otherwise(F.col("pos"))
+        again = out.where(swapped & ~is_root).select("chain_seq", "pos", untimed.cast("int").alias("_untimed"), F.coalesce("_when.ts_sec", F.lit(0)).alias("_s"), F.coalesce("_when.ts_nano", F.lit(0)).alias("_n"), F.when(untimed, F.col("_when.untimed")).otherwise(0).alias("_l"), place.alias("_place"))
         order = [F.col(c) for c in ("chain_seq", "_untimed", "_s", "_n", "_l", "_place", "pos")]
-        again = staged(with_position(in_ranges(again, order, bucket_rows), [BUCKET], order, "_at").select("chain_seq", "pos", "_at"), "places")
-        first = again.groupBy("chain_seq").agg(F.min("_at").alias("_first"))
-        again = again.join(first, "chain_seq").select("pos", (F.col("_at") - F.col("_first") + 1).alias("_again"))
-        out = out.join(again, "pos", "left").withColumn("_k", F.coalesce("_again", F.col("pos") - F.col("first_pos"))).drop("_again")
+        again = with_previous(in_ranges(staged(again, "resorted"), order, bucket_rows), [BUCKET], order, F.col("chain_seq"), position="_at")
+        again = staged(again.select(BUCKET, "pos", "_at", F.when(F.col("prev").isNull() | (F.col("prev") != F.col("chain_seq")), F.col("_at")).alias("_start")), "places")
+        again = with_last(again, [BUCKET], [F.col("_at")], F.col("_start"), "_first")
+        again = again.select("pos", (F.col("_at") - F.col("_first") + 1).alias("_again"))
+        out = out.join(again, "pos", "left").withColumn("_k", F.coalesce("_again", ahead))
     else:
-        # Positions follow from the order of all matches; only the displaced first match
-        # has to know how many equal ones stand between it and the root.
-        when = F.struct("ts_sec", "ts_nano", F.when(F.col("ts_sec").isNull(), F.col("line_num")).alias("untimed"))
-        out = out.withColumn("_when", when)
-        firsts = out.where(swapped & (F.col("pos") == F.col("first_pos"))).select("chain_seq", F.col("_when").alias("_first"))
-        out = out.join(firsts, "chain_seq", "left")
-        between = (F.col("pos") > F.col("first_pos")) & (F.col("pos") < F.col("root_pos"))
-        ties = out.where(swapped & between & F.col("_when").eqNullSafe(F.col("_first")))
-        ties = ties.groupBy("chain_seq").agg(F.count(F.lit(1)).alias("_ties"))
-        out = out.join(ties, "chain_seq", "left")
-        ahead = F.col("pos") - F.col("first_pos")
-        n_ties = F.coalesce("_ties", F.lit(0))
-        place = F.when(ahead == 0, 1 + n_ties).when((F.col("pos") < F.col("root_pos")) & (ahead > n_ties), ahead + 1).otherwise(ahead)
-        out = out.withColumn("_k", F.when(swapped, place).otherwise(ahead)).drop("_when", "_first", "_ties")
-    out = out.withColumn("role", F.when(is_root, "root").otherwise("cascade"))
-    return out.withColumn("cascade_pos", F.when(~is_root, F.col("_k")).cast("long")).drop("_k", "first_pos", "root_pos")
+        # Positions follow from the order of all matches: those between the first match and
+        # the root move up by one, but those that equal the first, which stand behind it and
+        # let it pass.
+        tie = F.col("_when").eqNullSafe(F.col("when"))
+        between = swapped & (F.col("pos") > F.col("first_pos")) & (F.col("pos") < F.col("root_pos"))
+        ties = out.where(between & tie).groupBy(F.col("first_pos").alias("pos")).agg(F.count(F.lit(1)).alias("_ties"))
+        out = out.join(ties, "pos", "left")
+        place = F.when(is_first, 1 + F.coalesce("_ties", F.lit(0))).when(between & ~tie, ahead + 1).otherwise(ahead)
+        out = out.withColumn("_k", F.when(swapped, place).otherwise(ahead))
+    out = out.select("pos", "id", F.when(is_root, "root").otherwise("cascade").alias("role"), F.when(~is_root, F.col("_k")).cast("long").alias("cascade_pos"))
+    return rows.join(out, "pos")
 
 
 def cascade_preview(members: DataFrame, n: int = 5) -> DataFrame:

@@ -54,8 +54,10 @@ def with_pattern(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERN
     causal weight, null where no pattern matches."""
     # A generator's row is made once: as a plain column the regexes would be tried again in
     # every filter that Spark moves below them. The outer form adds no filter of its own.
-    once = F.explode_outer(F.array(first_match(F.col("line"), F.lower("line"), patterns, literal_prefilter))).alias("priority")
-    out = lines.select("*", once)
+    # The generator would also lower the line again for each literal, so that comes before.
+    (low,) = [n for n in ("_low", "_low_", "_low__") if n not in lines.columns][:1]
+    once = F.explode_outer(F.array(first_match(F.col("line"), F.col(low), patterns, literal_prefilter))).alias("priority")
+    out = lines.withColumn(low, F.lower("line")).select("*", once).drop(low)
     categories = list(CATEGORIES)
 
     def of(values: list) -> Column:

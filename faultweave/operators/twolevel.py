@@ -73,3 +73,15 @@ def with_running_sum(rows: DataFrame, bucket: Sequence[str], order: Sequence[Col
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     out = _attach(rows.withColumn(name, F.sum("_value").over(inside)), sums, bucket)
     return out.withColumn(name, (F.col(name) + F.col("_before")).cast(kind)).drop("_value", "_before")
+
+
+def with_last(rows: DataFrame, bucket: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Add the last ``value`` that is not null, up to and with each row in the order of
+    all."""
+    inside = Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_value", value)
+    ends = rows.groupBy(*bucket).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", True).over(before)).drop("_end")
+    out = _attach(rows.withColumn(name, F.last("_value", True).over(inside)), ends, bucket)
+    return out.withColumn(name, F.coalesce(name, "_before")).drop("_value", "_before")

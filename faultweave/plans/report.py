@@ -35,8 +35,9 @@ def chain_detail(members: DataFrame, chains: DataFrame) -> DataFrame:
     """A row for each match: root lines clipped at 120 characters, others cut to 100; the
     span only if above 0."""
     root = F.col("role") == "root"
-    spans = chains.select("id", F.when(F.col("time_span_ms") > 0, F.col("time_span_ms")).alias("span_ms"))
-    return members.join(spans, "id").select(
+    # Only roots ask for the span; a chain of very many matches is not joined by its id.
+    spans = chains.select(F.col("root_pos").alias("pos"), F.when(F.col("time_span_ms") > 0, F.col("time_span_ms")).alias("span_ms"))
+    return members.join(spans, "pos", "left").select(
         "id", "role", "cascade_pos", "category", "pattern", location(F.col("source"), F.col("line_num")).alias("location"),
         F.when(root, display_time(F.col("ts"))).alias("time"),
         F.when(root, clip_line(F.col("line"), 120)).otherwise(truncate_line(F.col("line"), 100)).alias("line"),
