@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.enums import category_rank, severity_rank
+from ..functions.enums import CATEGORIES, SEVERITIES, category_rank, severity_rank
+from ..functions.patterns import DEFAULT_PATTERNS, Pattern
+from .match import matches_of, with_pattern
+from .stage import staged
+
+#: The counts of ``counted_matches``: by kind and name.
+Counts = dict[tuple[str, str], int]
+
+
+def counted_matches(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS, literal_prefilter: bool = True) -> tuple[DataFrame, Counts]:
+    """The matches as a table, and the counts of ``result_summary``, which are taken while
+    the table is written: lines are read and classified once. The metrics sit in the stage
+    that writes, whose tasks count once each however often they are tried."""
+    names = [("lines", "all"), ("matches", "all"), *(("category", c) for c in CATEGORIES), *(("severity", s) for s in SEVERITIES)]
+    sums = [F.count(F.lit(1)), F.count("pattern"), *(F.count_if(F.col(kind) == name) for kind, name in names[2:])]
+    seen = Observation()
+    classified = with_pattern(lines, patterns, literal_prefilter).observe(seen, *[c.alias(f"n{i}") for i, c in enumerate(sums)])
+    table = staged(matches_of(classified, patterns), "matches")
+    found = seen.get
+    return table, {name: found.get(f"n{i}", 0) for i, name in enumerate(names)}
+
+
+def summary_rows(spark: SparkSession, counts: Counts) -> DataFrame:
+    """``result_summary`` of counts that are known."""
+    rows = [(kind, name, n) for (kind, name), n in counts.items() if n or name == "all"]
+    return spark.createDataFrame(rows, "kind string, name string, n long")
 
 
 def counts_by(classified: DataFrame, column: str) -> DataFrame:

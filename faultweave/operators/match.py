@@ -94,7 +94,12 @@ def filter_failures(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATT
 
 def match_lines(lines: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS, literal_prefilter: bool = True) -> DataFrame:
     """The matches: matched lines with pattern columns, groups and time."""
-    found = with_pattern(lines, patterns, literal_prefilter).where(F.col("priority").isNotNull())
+    return matches_of(with_pattern(lines, patterns, literal_prefilter), patterns)
+
+
+def matches_of(classified: DataFrame, patterns: Sequence[Pattern] = DEFAULT_PATTERNS) -> DataFrame:
+    """The matches among the lines of ``with_pattern``."""
+    found = classified.where(F.col("priority").isNotNull())
     return with_log_time(found.withColumn("submatch", submatch(F.col("line"), patterns)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Messages of error events, in turn. No message holds a single quote.
@@ -134,3 +134,44 @@ RULES_SQL = r"""order_lines AS (SELECT o_orderkey AS line_num, strftime(o_orderd
     UNION ALL SELECT p_partkey * 4 + 2, 'part_' || p_partkey, 'Disk I/O', 'FATAL', 'order ' || p_partkey || ' of (C)', 'order ' || p_partkey || ' of ' FROM part
     UNION ALL SELECT s_suppkey * 4 + 1, 'supplier_' || s_suppkey, 'Network', 'CRITICAL', 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' (refused)', 'supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') || ' ' FROM supplier
     UNION ALL SELECT 2000000, 'sevens', 'Signal', 'WARN', '\b\d{3}77\b', NULL)"""
+
+
+#: Heads that are nearly times, or times of an odd form: what stands before the clock,
+#: what behind it, and in SQL the seconds and nanoseconds that it is; ``t`` is the event's
+#: time and ``s`` the second of its day.
+ODD_TIMES = (
+    ("'2024-02-30T'", "'Z'", "NULL", "NULL"),
+    ("'Feb 29 '", "' host'", "-62167219200 + 59 * 86400 + s", "0"),
+    ("'2024-01-15T'", "'+0530'", "NULL", "NULL"),
+    ("'2024-01-15 '", "', x'", "NULL", "NULL"),
+    ("'2024-01-15 '", "'Z'", "NULL", "NULL"),
+    ("'2024-01/15 '", "''", "NULL", "NULL"),
+    ("'2024/01/15T'", "''", "NULL", "NULL"),
+    ("'2024-01-15T'", "'.123456789123Z'", "1705276800 + s", "123456789"),
+    ("'2024-01-15T'", "',5-14:00'", "1705276800 + s + 50400", "500000000"),
+    ("'2024-01-15T'", "'-25:00'", "NULL", "NULL"),
+    ("'Foo 15 '", "''", "NULL", "NULL"),
+    ("'Jan	15 '", "''", "NULL", "NULL"),
+    ("'Jan  5 '", "''", "-62167219200 + 4 * 86400 + s", "0"),
+    ("'2024-01-15T'", "'5Z'", "NULL", "NULL"),
+    ("'29/Feb/2023:'", "''", "NULL", "NULL"),
+    ("'[2024-01-15 '", "']'", "NULL", "NULL"),
+    ("'2024-01-15 '", "' +0000'", "1705276800 + s", "0"),
+)
+
+
+def odd_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, line``: the forms of ``ODD_TIMES`` in turn, every fifth clock of which
+    has a second of 60."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    clock = F.when(F.col("event_id") % 5 == 0, F.concat(F.date_format("ts", "HH:mm"), F.lit(":60"))).otherwise(F.date_format("ts", "HH:mm:ss"))
+
+    def of(at: int) -> Column:
+        return F.get(F.array(*[F.lit(x[at][1:-1]) for x in ODD_TIMES]), (F.col("event_id") % len(ODD_TIMES)).cast("int"))
+
+    return e.select("event_id", F.concat(of(0), clock, of(1)).alias("line"))
+
+
+ODD_TIMES_SQL = f"""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % {len(ODD_TIMES)} {" ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(ODD_TIMES))} END END::BIGINT AS ts_sec,
+    CASE WHEN event_id % 5 > 0 THEN CASE event_id % {len(ODD_TIMES)} {" ".join(f"WHEN {i} THEN {x[3]}" for i, x in enumerate(ODD_TIMES))} END END::INT AS ts_nano
+    FROM (SELECT event_id, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts) AS s FROM events)"""

@@ -13,14 +13,14 @@ from ..functions.text import format_count
 from ..functions.timestamps import with_log_time
 from ..operators import chains as C
 from ..operators import match as M
-from ..operators.counts import counts_by, result_summary, sources_of
+from ..operators.counts import Counts, counted_matches, counts_by, result_summary, sources_of
 from ..operators.stage import shared_dir
 from ..sources.files import LineNumbers, dropped_lines, lines_from_table, read_logs, stream_files
 from ..streaming.live import stream_chains, stream_counts, stream_matches
 from ..streaming.run import rows_of, run_available
 from . import oracle as O
 from . import report as R
-from .fixture import END, LATE, RULES_SQL, arriving, log_lines, order_lines, rules
+from .fixture import END, LATE, ODD_TIMES_SQL, RULES_SQL, arriving, log_lines, odd_times, order_lines, rules
 
 #: A list of one's own, with groups.
 CUSTOM = (
@@ -54,6 +54,13 @@ def _ranked(spark: SparkSession, sf_dir: str, window_s: float = C.WINDOW_S) -> t
     return rows, C.rank_chains(C.chain_summary(rows))
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Counts]:
+    """Assigned matches, ranked chains and the counts of lines, from one classification."""
+    found, counts = counted_matches(log_lines(spark, sf_dir))
+    rows = C.assign_chains(found)
+    return rows, C.rank_chains(C.chain_summary(rows)), counts
+
+
 @query(f"WITH {O.classified()} SELECT source, line_num, line FROM classified WHERE priority IS NOT NULL")
 def failure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.filter_failures(log_lines(spark, sf_dir))
@@ -103,6 +110,11 @@ def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_log_time(log_lines(spark, sf_dir)).select("source", "line_num", "ts_sec", "ts_nano")
 
 
+@query(ODD_TIMES_SQL)
+def parse_odd_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_log_time(odd_times(spark, sf_dir)).select("event_id", "ts_sec", "ts_nano")
+
+
 @query(f"WITH {O.ordered()} SELECT pos, source, line_num, pattern, ts_sec, ts_nano FROM ordered")
 def ordered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.order_matches(_matches(spark, sf_dir)).select("pos", "source", "line_num", "pattern", "ts_sec", "ts_nano")
@@ -203,8 +215,8 @@ def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.ranked()} SELECT {O.short_count('a')} AS lines, {O.short_count('b')} AS matches, {O.short_count('c')} AS chains FROM (SELECT (SELECT count(*) FROM log_lines) AS a, (SELECT count(*) FROM matches) AS b, (SELECT count(*) FROM ranked) AS c)")
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = M.with_pattern(log_lines(spark, sf_dir))
-    return R.summary_report(lines, _ranked(spark, sf_dir)[1], ["events"]).select("lines", "matches", "chains")
+    _, chains, counts = _counted(spark, sf_dir)
+    return R.summary_report(counts, chains, ["events"]).select("lines", "matches", "chains")
 
 
 @query(f"WITH {O.ranked()} SELECT id, category, severity, size AS errors, {O.cut_line('root_line', 60)} AS root_line FROM ranked")
@@ -248,17 +260,17 @@ def _map_sql(column: str) -> str:
 @query(f"""WITH {_DOCUMENTS} SELECT '{{"chains":[' || (SELECT string_agg(json, ',' ORDER BY id) FROM documents_of) || '],"total_lines":' || (SELECT count(*) FROM log_lines) || ',"total_matches":' || (SELECT count(*) FROM matches)
     || ',"by_category":' || {_map_sql("category")} || ',"by_severity":' || {_map_sql("severity")} || ',"sources":[' || (SELECT string_agg(DISTINCT '"' || source || '"', ',' ORDER BY '"' || source || '"') FROM log_lines) || ']}}' AS json""")
 def report_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = log_lines(spark, sf_dir)
-    rows, chains = _ranked(spark, sf_dir)
-    sources = sources_of(lines).first().sources
-    return R.report_json(M.with_pattern(lines), C.chain_members(rows, chains), chains, sources)
+    rows, chains, counts = _counted(spark, sf_dir)
+    sources = sources_of(log_lines(spark, sf_dir)).first().sources
+    return R.report_json(counts, C.chain_members(rows, chains), chains, sources)
 
 
 @query(f"""WITH {O.ranked()} SELECT id, 'Chain #' || id || ' [' || category || '] ' || severity || chr(10) || '  Root: ' || root_source || ':' || root_line_num || chr(10) || '  ' || {O.clip('root_line', 200)}
     || CASE WHEN cascade_size > 0 THEN chr(10) || '  Cascade: ' || cascade_size || ' errors' ELSE '' END AS text FROM ranked
     UNION ALL SELECT 0, 'Lines scanned: ' || (SELECT count(*) FROM log_lines) || chr(10) || 'Matches found: ' || (SELECT count(*) FROM matches) || chr(10) || 'Failure chains: ' || (SELECT count(*) FROM ranked)""")
 def report_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.report_text(M.with_pattern(log_lines(spark, sf_dir)), _ranked(spark, sf_dir)[1])
+    _, chains, counts = _counted(spark, sf_dir)
+    return R.report_text(counts, chains)
 
 
 @query(f"WITH log_lines AS ({O.log_lines_sql()}) SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM log_lines")

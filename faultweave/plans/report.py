@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip_line, display_time, format_count, location, truncate_line
 from ..functions.timestamps import ZERO
-from ..operators.counts import counts_by, result_summary
+from ..operators.counts import Counts, counts_by, result_summary, summary_rows
 
 
-def summary_report(classified: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
+def _totals(lines: DataFrame | Counts, chains: DataFrame) -> DataFrame:
+    """Lines and matches in all. ``lines`` are classified lines, or the counts that
+    ``counted_matches`` took of them, which saves reading them again."""
+    if isinstance(lines, dict):
+        return chains.sparkSession.createDataFrame([(lines["lines", "all"], lines["matches", "all"])], "lines long, matches long")
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count("pattern").alias("matches"))
+
+
+def summary_report(lines: DataFrame | Counts, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
     """One row: lines, matches and chains in short form, and the sources as given."""
-    lines = classified.agg(F.count(F.lit(1)).alias("lines"), F.count("pattern").alias("matches"))
-    both = lines.withColumn("_one", F.lit(1)).join(chains.agg(F.count(F.lit(1)).alias("chains")).withColumn("_one", F.lit(1)), "_one")
+    both = _totals(lines, chains).withColumn("_one", F.lit(1)).join(chains.agg(F.count(F.lit(1)).alias("chains")).withColumn("_one", F.lit(1)), "_one")
     return both.select(*[format_count(F.col(c)).alias(c) for c in ("lines", "matches", "chains")], F.array(*map(F.lit, sources)).cast("array<string>").alias("sources"))
 
 
@@ -56,10 +63,9 @@ def text_lines(chains: DataFrame) -> DataFrame:
     return chains.select("id", F.concat_ws("\n", *parts).alias("text"))
 
 
-def report_text(classified: DataFrame, chains: DataFrame) -> DataFrame:
+def report_text(lines: DataFrame | Counts, chains: DataFrame) -> DataFrame:
     """``id, text`` with the counts as row 0, or what there is to say if no chain is."""
-    counts = classified.agg(F.count(F.lit(1)).alias("lines"), F.count("pattern").alias("matches")).withColumn("_one", F.lit(1))
-    both = counts.join(chains.agg(F.count(F.lit(1)).alias("chains")).withColumn("_one", F.lit(1)), "_one")
+    both = _totals(lines, chains).withColumn("_one", F.lit(1)).join(chains.agg(F.count(F.lit(1)).alias("chains")).withColumn("_one", F.lit(1)), "_one")
     head = F.when(F.col("chains") == 0, F.lit("No failures detected.")).otherwise(F.format_string("Lines scanned: %d\nMatches found: %d\nFailure chains: %d", "lines", "matches", "chains"))
     return both.select(F.lit(0).cast("long").alias("id"), head.alias("text")).unionByName(text_lines(chains))
 
@@ -100,9 +106,9 @@ def chain_json(members: DataFrame, chains: DataFrame) -> DataFrame:
     return whole.select("id", F.to_json(body).alias("json"))
 
 
-def report_json(classified: DataFrame, members: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
+def report_json(lines: DataFrame | Counts, members: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
     """One row ``json`` with everything. For chains that fit in memory together."""
-    counts = result_summary(classified)
+    counts = summary_rows(chains.sparkSession, lines) if isinstance(lines, dict) else result_summary(lines)
 
     def by(kind: str) -> Column:
         return F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n"))), lambda x: x.isNotNull())))

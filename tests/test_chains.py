@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from faultweave.functions.enums import CATEGORIES, SEVERITIES
 from faultweave.operators import chains as C
 from faultweave.operators.match import match_lines
-from faultweave.operators.twolevel import BUCKET, in_ranges
+from faultweave.operators.twolevel import BUCKET, in_ranges, with_last
 
 SAMPLE = """2024-01-15T10:30:01Z INFO Starting application
 2024-01-15T10:30:02Z INFO Connected to database
@@ -147,3 +147,34 @@ def test_window_must_be_positive(spark):
 def test_no_matches(spark):
     empty = matches(spark, CASES["negative span"][0]).limit(0)
     assert C.ranked_chains(empty).count() == 0
+
+
+def test_one_chain_of_nearly_all_matches(spark):
+    """No join is made by chain, so a chain that holds nearly all is not gathered."""
+    dice = random.Random(8)
+    rows = [(dice.choice("abc"), i, 10**6 if i == 0 else i // 3, dice.choice([0, 5]), dice.choice(list(CATEGORIES)), dice.choice(SEVERITIES)) for i in range(900)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for window in (5.0, 10.0):
+            assigned = C.assign_chains(matches(spark, rows), window, 50)
+            ranked = C.rank_chains(C.chain_summary(assigned), 50)
+            members = C.chain_members(assigned, ranked, window, 50)
+            plan = members._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.split("\n") if "Join" in x]
+            assert joins and not any("chain_seq" in x for x in joins)
+            assert run(spark, rows, window, 50) == plain(rows, window)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_last_value_in_the_order_of_all(spark):
+    dice = random.Random(9)
+    values = [dice.choice([None, None, None, i]) for i in range(200)]
+    df = spark.createDataFrame([(i, i // 9, v) for i, v in enumerate(values)], "i int, b int, v int")
+    got = [r.x for r in with_last(df, ["b"], [F.col("i")], F.col("v"), "x").orderBy("i").collect()]
+    want, last = [], None
+    for v in values:
+        last = last if v is None else v
+        want.append(last)
+    assert got == want

@@ -20,10 +20,10 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
-@pytest.mark.parametrize("name", ["classify_first_match", "ranked_chains", "merge_chains", "chain_members", "report_json_chains", "split_document_lines", "member_page", "chain_members_long_window", "session_window_chains", "report_json_whole", "report_text_whole", "source_list", "stream_match_rows", "read_log_files", "read_log_files_limited", "dropped_long_lines", "live_matches", "live_counts", "live_chains", "live_line_numbers"])
+@pytest.mark.parametrize("name", ["classify_first_match", "ranked_chains", "merge_chains", "chain_members", "report_json_chains", "split_document_lines", "member_page", "chain_members_long_window", "session_window_chains", "report_json_whole", "report_text_whole", "source_list", "stream_match_rows", "read_log_files", "read_log_files_limited", "dropped_long_lines", "live_matches", "live_counts", "live_chains", "live_line_numbers", "pattern_table_large", "parse_odd_timestamps", "summary_report", "chain_detail"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "documents", "orders"):
+    for t in ("events", "documents", "orders", "customer", "part", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     want = con.execute(SQL[name])

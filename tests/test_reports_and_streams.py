@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from faultweave.functions.text import clip_line, format_count, truncate_line
 from faultweave.operators import chains as C
+from faultweave.operators.counts import counted_matches, result_summary, summary_rows
 from faultweave.operators.match import match_lines, with_pattern
 from faultweave.plans.report import category_breakdown, report_json, report_text, severity_breakdown, summary_report
 from faultweave.sources.files import stream_logs
@@ -65,3 +66,19 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in counts) == 7
     chains = sorted((r.size, r.category, r.severity) for r in drain(stream_chains(found, 5.0, "0 seconds"), "s"))
     assert chains == [(1, "Signal", "CRITICAL"), (2, "DB Lock", "CRITICAL"), (4, "OOM Kill", "FATAL")]
+
+
+def test_counts_taken_while_matches_are_written(spark):
+    """The same counts and reports as from a second look at the lines."""
+    lines = sample(spark).repartition(3)
+    found, counts = counted_matches(lines)
+    assert sorted(map(tuple, summary_rows(spark, counts).collect())) == sorted(map(tuple, result_summary(with_pattern(lines)).collect()))
+    assert sorted(r.line_num for r in found.collect()) == sorted(r.line_num for r in match_lines(lines).collect())
+    rows = C.assign_chains(found)
+    ranked = C.rank_chains(C.chain_summary(rows))
+    members = C.chain_members(rows, ranked)
+    assert report_json(counts, members, ranked, ["x"]).collect() == report_json(with_pattern(lines), members, ranked, ["x"]).collect()
+    assert sorted(report_text(counts, ranked).collect()) == sorted(report_text(with_pattern(lines), ranked).collect())
+    assert summary_report(counts, ranked, []).collect() == summary_report(with_pattern(lines), ranked, []).collect()
+    empty, none = counted_matches(lines.limit(0))
+    assert empty.count() == 0 and set(none.values()) == {0} and [r.n for r in summary_rows(spark, none).collect()] == [0, 0]
