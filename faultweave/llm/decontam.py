@@ -14,17 +14,22 @@ slots are judged for each way to lay the item over one passage of the document
 (``layings``); the best one counts.
 
 This is done in three forms of the texts, on both sides, and an item is held if it is held
-in one of them; the figures are those of the first: names inside sentences, as above; all
+in one of them; the figures are those of the first in which it is verbatim, or else of the
+first: names inside sentences, as above; all
 capitalised words as names, also those at the start of a text, sentence or line, after a
 quote or bracket, and in capitals; and no names, for copies in another letter case. Where
 the letter case does not show names, changed names are not known as such.
 
 An item's window counts only if it has at least ``plain`` tokens that are no placeholders.
 Items shorter than ``window`` are one window of their own length, if that is at least
-``shortest``.
-
-Defined results: null and empty texts hold nothing, and null or shorter items are held by
-nothing; items without an id are left out. Rows with equal id and text are one document.
+``shortest``. Of a long item a passage of ``passage`` tokens is enough. Items that have no
+window by these rules, being short or mostly numbers, are held where their whole sequence of
+raw tokens stands, in letter case of any kind, if they have at least ``fewest`` tokens: a
+fourth form, in which all windows count and must be met side by side.
+
+Defined results: null and empty texts hold nothing, and null items and those of fewer
+tokens are held by nothing; items without an id are left out. Rows with equal id and text
+are one document, and one item; of different texts under one id the best one counts.
 Items with equal texts are reported each. Extra columns do not matter; empty tables give an
 empty result.
 """
@@ -39,6 +44,8 @@ from .common import quoted, row_key, small_side, staged, with_row_key
 WINDOW = 8
 SHORTEST = 5
 PLAIN = 3
+FEWEST = 3
+PASSAGE = 50
 COVERAGE = 0.5
 CONSISTENCY = 0.8
 #: Marks around a name; canonical tokens.
@@ -57,6 +64,8 @@ TOKEN = f"{OPEN}[^{CLOSE}]*{CLOSE}|[0-9]+(?:[.,][0-9]+)*+|\\p{{L}}+"
 #: The names of the forms.
 CAPITALISED = r"(?<!\p{L})\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*+"
 FORMS = (NAMES, CAPITALISED, None)
+#: The form of whole raw sequences.
+RAW = len(FORMS)
 
 
 def tokens(text: Column, form: int = 0) -> Column:
@@ -75,6 +84,11 @@ def _is_number(x: Column) -> Column:
     return (x >= "0") & (x < ":")
 
 
+def enough(coverage: float, window: int, passage: int) -> Column:
+    """How many windows of an item have to match: a share of them, or those of a passage."""
+    return F.when(F.col("form") == RAW, F.col("n_windows")).otherwise(F.least(F.col("n_windows") * coverage, F.lit(passage - window + 1)))
+
+
 def _canonical(toks: Column, word, mark) -> Column:
     def one(x: Column, i: Column) -> Column:
         # Few tokens stand behind a number, so that is asked first; before the first
@@ -109,11 +123,11 @@ def _placed(hashes: Column, k: int) -> Column:
     return F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, F.lit(k)).alias("h"), i.alias("pos"), F.lit(k).alias("k")))
 
 
-def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> DataFrame:
-    """Add the hashes of all runs of ``lengths`` tokens of column ``toks``, by canonical
-    tokens. A run's hash is put together from runs half as long, so a step costs one value
+def with_windows(df: DataFrame, lengths: list[int], name: str = "windows", raw: bool = False) -> DataFrame:
+    """Add the hashes of all runs of ``lengths`` tokens of column ``toks``, by canonical or
+    raw tokens. A run's hash is put together from runs half as long, so a step costs one value
     for each token."""
-    df = df.withColumn("_w1", canonical_hashes(F.col("toks")))
+    df = df.withColumn("_w1", F.transform("toks", lambda x: F.xxhash64(x)) if raw else canonical_hashes(F.col("toks")))
     power = 1
     while power * 2 <= max(lengths):
         df = df.withColumn(f"_w{power * 2}", _join(F.col(f"_w{power}"), _shift(F.col(f"_w{power}"), power)))
@@ -132,50 +146,79 @@ def with_windows(df: DataFrame, lengths: list[int], name: str = "windows") -> Da
     return df.drop(*[c for c in df.columns if c.startswith("_w")])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, plain: int = PLAIN, shortest: int = SHORTEST) -> DataFrame:
+def bench_windows(bench: DataFrame, window: int, plain: int, shortest: int, fewest: int) -> tuple[DataFrame, dict[bool, list[int]]]:
+    """``item, form, h, ipos, k`` for each window of the items that counts, a table, and the
+    windows' lengths, for canonical and for raw ones."""
+    k = F.least(F.size("toks"), F.lit(window))
+
+    def windows(of: DataFrame, raw: bool) -> tuple[DataFrame, list[int]]:
+        lengths = sorted({r[0] for r in of.select(k).distinct().collect()} | (set() if raw else {window}))
+        if not lengths:
+            return None, lengths
+        cut = with_windows(of, lengths, "items", raw).withColumn("n", F.size("toks")).select("item", "form", "n", "canon", F.explode_outer("items").alias("w"))
+        return cut.where(F.col("w.k") == F.least("n", F.lit(window))), lengths
+
+    columns = ["item", "form", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"), F.col("w.k").alias("k")]
+    cut, lengths = windows(bench.where((F.col("form") < RAW) & (F.size("toks") >= shortest)), False)
+    good = staged(cut.where(F.size(F.filter(F.slice("canon", F.col("w.pos") + 1, F.col("w.k")), lambda x: x >= "A")) >= plain).select(*columns), "bench-windows")
+    rest = bench.where((F.col("form") == RAW) & (F.size("toks") >= fewest)).join(good.select("item").distinct(), "item", "left_anti")
+    rest = staged(rest, "bench-rest")
+    raw, raw_lengths = windows(rest, True)
+    if raw is not None:
+        good = staged(good.unionByName(raw.select(*columns)), "bench-windows")
+    return good, {False: lengths, True: raw_lengths}
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, plain: int = PLAIN, shortest: int = SHORTEST, fewest: int = FEWEST, passage: int = PASSAGE) -> DataFrame:
     """``row, doc_id, item_id, n_windows, n_matched, coverage, n_slots, slot_consistency,
     verbatim``: a row for each document and benchmark item that it holds."""
-    forms = F.explode(F.array(*map(F.lit, range(len(FORMS))))).alias("form")
-    bench = items.select("item_id", "text", forms).select("item_id", "form", tokens_of(F.col("text"), F.col("form")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
-    bench = staged(bench, "bench-tokens").where(F.size("toks") >= shortest)
-    lengths = sorted({min(window, r[0]) for r in bench.select(F.least(F.size("toks"), F.lit(window))).distinct().collect()} | {window})
-    cut = with_windows(bench, lengths, "items").withColumn("n", F.size("toks")).select("item_id", "form", "n", "canon", F.explode_outer("items").alias("w"))
-    cut = cut.where((F.col("w.k") == F.least("n", F.lit(window))) & (F.size(F.filter(F.slice("canon", F.col("w.pos") + 1, F.col("w.k")), lambda x: x >= "A")) >= plain))
-    cut = staged(cut.select("item_id", "form", F.col("w.h").alias("h"), F.col("w.pos").alias("ipos"), F.col("w.k").alias("k")), "bench-windows")
-    wanted = cut.groupBy("item_id", "form").agg(F.count(F.lit(1)).alias("n_windows"))
+    forms = F.explode(F.array(*map(F.lit, range(RAW + 1)))).alias("form")
+    # An item is a text under an id; rows that repeat are one.
+    bench = items.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    bench = bench.select("item_id", row_key("item_id").alias("item"), "text", forms).select("item_id", "item", "form", tokens_of(F.col("text"), F.col("form")).alias("toks"))
+    # Raw tokens have no placeholders.
+    bench = staged(bench.withColumn("canon", F.when(F.col("form") < RAW, canonical(F.col("toks"))).otherwise(F.transform("toks", lambda x: F.lit("a")))), "bench-tokens")
+    cut, lengths = bench_windows(bench, window, plain, shortest, fewest)
+    wanted = cut.groupBy("item", "form").agg(F.count(F.lit(1)).alias("n_windows"))
 
     side, hits = small_side(cut), None
-    for form in range(len(FORMS)):
-        texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text"), form).alias("toks"))
-        runs = with_windows(texts, lengths)
+    for form in range(RAW + 1):
+        sizes = lengths[form == RAW]
+        if not sizes:
+            continue
+        texts = docs.select("doc_id", row_key().alias("row"), tokens(F.col("text"), min(form, RAW - 1)).alias("toks"))
+        runs = with_windows(texts, sizes, raw=form == RAW)
         # The outer forms: for the others Spark adds a filter on the array's size, which it
         # moves down to the scan and so works out every array twice, in each of its uses.
-        if len(lengths) == 1:
+        if len(sizes) == 1:
             runs = runs.select("row", "doc_id", F.posexplode_outer("windows").alias("dpos", "h"))
         else:
             runs = runs.select("row", "doc_id", F.explode_outer("windows").alias("w")).select("row", "doc_id", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h"))
-        of_form = runs.join(side.where(F.col("form") == form), "h").select("row", "doc_id", "item_id", "form", "ipos", "dpos", "k")
+        of_form = runs.join(side.where(F.col("form") == form), "h").select("row", "doc_id", "item", "form", "ipos", "dpos", "k")
         hits = of_form if hits is None else hits.unionByName(of_form)
-    held = hits.distinct().groupBy("row", "doc_id", "item_id", "form").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    held = hits.distinct().groupBy("row", "doc_id", "item", "form").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    need = enough(coverage, window, passage)
     # Less than that in the whole document cannot be enough in a passage of it.
-    held = held.join(small_side(wanted), ["item_id", "form"]).where(F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))) >= coverage * F.col("n_windows"))
+    held = held.join(small_side(wanted), ["item", "form"]).where(F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))) >= need)
     held = staged(held, "held")
-    laid = staged(layings(held, coverage), "layings")
+    laid = staged(layings(held, need), "layings")
     judged = staged(best_layings(laid, docs, bench), "judged")
-    same = ["row", "item_id", "form"]
-    told = ["n_windows", "best.n_matched", (F.col("best.n_matched") / F.col("n_windows")).alias("coverage"), "best.n_slots", "best.slot_consistency", "best.verbatim"]
-    out = held.drop("hits").join(judged.where(F.col("best.slot_consistency") >= consistency), same).groupBy("row", "doc_id", "item_id")
-    return out.agg(F.min_by(F.struct(*told), "form").alias("x")).select("row", "doc_id", "item_id", "x.*")
+    same = ["row", "item", "form"]
+    share = F.col("best.n_matched") / F.col("n_windows")
+    told = F.struct("best.verbatim", (-F.col("form")).alias("form"), "best.slot_consistency", share.alias("coverage"), "best.n_matched", "n_windows", "best.n_slots")
+    names = bench.select("item", "item_id").distinct()
+    out = held.drop("hits").join(judged.where(F.col("best.slot_consistency") >= consistency), same).join(small_side(names), "item").groupBy("row", "doc_id", "item_id")
+    return out.agg(F.max(told).alias("x")).select("row", "doc_id", "item_id", *[f"x.{c}" for c in ("n_windows", "n_matched", "coverage", "n_slots", "slot_consistency", "verbatim")])
 
 
-def layings(held: DataFrame, coverage: float) -> DataFrame:
-    """``row, item_id, form, layings``: the ways to lay an item over a document, each as places
-    ``ipos, dpos, k`` of at least ``coverage`` of the item's windows. They are, for each
+def layings(held: DataFrame, need: Column) -> DataFrame:
+    """``row, item, form, layings``: the ways to lay an item over a document, each as places
+    ``ipos, dpos, k`` of at least ``need`` of the item's windows. They are, for each
     shift ``dpos - ipos``, the windows at that shift alone, and with every other window at
     its shift nearest to that one, which goes over words put in or left out, but no further
     away than the item has windows: that would be another passage. They are rows until
     they are complete, as a document may have many shifts."""
-    same = ["row", "item_id", "form"]
+    same = ["row", "item", "form"]
     pair = [*same, "n_windows"]
     held = held.select(*pair, "hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["dpos"] - h["ipos"]))).alias("n_shifts"))
     single = held.where("n_shifts = 1").select(*same, F.array("hits").alias("layings"))
@@ -187,22 +230,23 @@ def layings(held: DataFrame, coverage: float) -> DataFrame:
     grid = grid.withColumn("below", F.last("shift", True).over(window.orderBy("at"))).withColumn("above", F.last("shift", True).over(window.orderBy(F.desc("at"))))
     nearest = F.when(F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at")), F.col("below")).otherwise(F.col("above"))
     grid = grid.withColumn("nearest", nearest).where(F.abs(F.col("nearest") - F.col("at")) <= F.col("n_windows"))
+    grid = grid.where(F.col("form") < RAW)
     near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + F.col("nearest")).alias("dpos"), "k")
     laid = alone.unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
-    laid = laid.where(F.size("hits") >= coverage * F.col("n_windows")).groupBy(*same).agg(F.collect_list("hits").alias("layings"))
+    laid = laid.where(F.size("hits") >= need).groupBy(*same).agg(F.collect_list("hits").alias("layings"))
     return single.unionByName(laid)
 
 
 def best_layings(laid: DataFrame, docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``row, item_id, form, best``: of the ways to lay an item the best one: what share of
+    """``row, item, form, best``: of the ways to lay an item the best one: what share of
     the values in the item's slots maps one to one (1 without slots), whether all are equal,
     how many windows match, how many values there are."""
-    same = ["row", "item_id", "form"]
-    slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item_id", "form", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
-    plain = laid.join(small_side(slotted.select("item_id", "form").distinct()), ["item_id", "form"], "left_anti")
+    same = ["row", "item", "form"]
+    slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item", "form", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
+    plain = laid.join(small_side(slotted.select("item", "form").distinct()), ["item", "form"], "left_anti")
     no_slots = F.struct(F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"), F.array_max(F.transform("layings", lambda x: F.size(x).cast("long"))).alias("n_matched"), F.lit(0).alias("n_slots"))
     plain = plain.select(*same, no_slots.alias("best"))
-    asked = laid.join(small_side(slotted), ["item_id", "form"]).select(*same, "layings", "itoks", "icanon")
+    asked = laid.join(small_side(slotted), ["item", "form"]).select(*same, "layings", "itoks", "icanon")
     keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "form").distinct(), "slot-rows"))
     texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"])
     texts = staged(texts.select("row", "form", tokens_of(F.col("text"), F.col("form")).alias("dtoks")), "slot-texts").dropDuplicates(["row", "form"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .decontam import CONSISTENCY, COVERAGE, PLAIN, SHORTEST, UNITS, WINDOW
+from .decontam import CONSISTENCY, COVERAGE, FEWEST, PASSAGE, PLAIN, SHORTEST, UNITS, WINDOW
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,32 +183,34 @@ ORACLE_SQL: dict[str, str] = {
         counts AS (SELECT x, count(*) AS n_links, count(DISTINCT other) FILTER (other <> own) AS n_linked_texts FROM links GROUP BY 1)
         SELECT n.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_linked_texts, 0)::BIGINT AS n_linked_texts, n::INT AS n_grams FROM n JOIN classes c ON c.x = n.r LEFT JOIN counts k ON k.x = n.r""",
     "op3_decontamination": rf"""
-        WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM (SELECT DISTINCT doc_id, text FROM documents) UNION ALL SELECT 1, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+        WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM (SELECT DISTINCT doc_id, text FROM documents) UNION ALL SELECT 1, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL),
         numbered AS (SELECT side, id, row_number() OVER () AS r, coalesce(text, '') AS t FROM texts),
         marked AS (SELECT side, id, r, 0 AS form, regexp_replace(t, '([\p{{L}}\p{{N}},;] )(\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)*)', '\1' || chr(2) || '\2' || chr(3), 'g') AS t FROM numbered
             UNION ALL SELECT side, id, r, 1, regexp_replace(t, '(^|[^\p{{L}}])(\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)*)', '\1' || chr(2) || '\2' || chr(3), 'g') FROM numbered
-            UNION ALL SELECT side, id, r, 2, t FROM numbered),
+            UNION ALL SELECT side, id, r, form, t FROM numbered, (VALUES (2), (3)) f(form)),
         cut AS (SELECT side, id, r, form, regexp_extract_all(lower(t), chr(2) || '[^' || chr(3) || ']*' || chr(3) || '|[0-9]+(?:[.,][0-9]+)*|\p{{L}}+') AS toks FROM marked),
-        canon AS (SELECT *, len(toks) AS n, list_transform(toks, lambda x, i: CASE WHEN x >= 'A' THEN CASE WHEN i > 1 AND toks[i - 1] >= '0' AND toks[i - 1] < ':' AND list_contains({list(UNITS)}, x) THEN chr(3) ELSE x END
+        canon AS (SELECT *, len(toks) AS n, list_transform(toks, lambda x, i: CASE WHEN form = 3 THEN 'a' || x WHEN x >= 'A' THEN CASE WHEN i > 1 AND toks[i - 1] >= '0' AND toks[i - 1] < ':' AND list_contains({list(UNITS)}, x) THEN chr(3) ELSE x END
             WHEN x >= '0' AND x < ':' THEN chr(1) ELSE chr(2) END) AS c FROM cut),
-        items AS (SELECT *, least(n, {WINDOW}) AS k FROM canon WHERE side = 1 AND n >= {SHORTEST}),
-        iw AS (SELECT r AS ir, form, k, unnest(range(1, n - k + 2)) AS ipos, unnest(list_transform(range(1, n - k + 2), lambda p: list_slice(c, p, p + k - 1))) AS w FROM items),
-        good AS (SELECT * FROM iw WHERE len(list_filter(w, lambda x: x >= 'A')) >= {PLAIN}),
-        sizes AS (SELECT ir, form, count(*) AS n_windows FROM good GROUP BY ALL),
+        items AS (SELECT *, least(n, {WINDOW}) AS k FROM canon WHERE side = 1 AND n >= CASE WHEN form = 3 THEN {FEWEST} ELSE {SHORTEST} END),
+        iw AS (SELECT r AS ir, form, k, n, unnest(range(1, n - k + 2)) AS ipos, unnest(list_transform(range(1, n - k + 2), lambda p: list_slice(c, p, p + k - 1))) AS w FROM items),
+        usual AS (SELECT * FROM iw WHERE form < 3 AND len(list_filter(w, lambda x: x >= 'A')) >= {PLAIN}),
+        good AS (FROM usual UNION ALL FROM iw WHERE form = 3 AND ir NOT IN (SELECT ir FROM usual)),
+        sizes AS (SELECT ir, form, count(*) AS n_windows, CASE WHEN form = 3 THEN count(*) ELSE least({COVERAGE} * count(*), {PASSAGE - WINDOW + 1}) END AS need FROM good GROUP BY ir, form),
         dw AS (SELECT r, form, ks.k AS k, unnest(range(1, n - ks.k + 2)) AS dpos, unnest(list_transform(range(1, n - ks.k + 2), lambda p: list_slice(c, p, p + ks.k - 1))) AS w
-            FROM canon, (SELECT DISTINCT k FROM items) ks WHERE side = 0 AND n >= ks.k),
+            FROM canon JOIN (SELECT DISTINCT form, k FROM good) ks USING (form) WHERE side = 0 AND n >= ks.k),
         hits AS (SELECT DISTINCT dw.r AS r, ir, dw.form AS form, ipos, good.k AS k, dpos - ipos AS shift FROM dw JOIN good ON dw.w = good.w AND dw.k = good.k AND dw.form = good.form),
-        held AS (SELECT r, ir, form, n_windows FROM hits JOIN sizes USING (ir, form) GROUP BY ALL HAVING count(DISTINCT ipos) >= {COVERAGE} * n_windows),
+        held AS (SELECT r, ir, form, n_windows, need FROM hits JOIN sizes USING (ir, form) GROUP BY ALL HAVING count(DISTINCT ipos) >= need),
         places AS (SELECT * FROM hits JOIN held USING (r, ir, form)),
-        laid AS (SELECT r, ir, form, n_windows, 1 AS kind, shift AS base, ipos, k, shift FROM places
-            UNION ALL SELECT r, ir, form, n_windows, 2, base, ipos, k, arg_min(shift, 2 * abs(shift - base) + (shift > base)::INT) FROM places JOIN (SELECT DISTINCT r, ir, form, shift AS base FROM places) USING (r, ir, form)
-                WHERE abs(shift - base) <= n_windows GROUP BY ALL),
-        enough AS (SELECT r, ir, form, n_windows, kind, base, count(*) AS n_matched FROM laid GROUP BY ALL HAVING count(*) >= {COVERAGE} * n_windows),
+        laid AS (SELECT r, ir, form, n_windows, need, 1 AS kind, shift AS base, ipos, k, shift FROM places
+            UNION ALL SELECT r, ir, form, n_windows, need, 2, base, ipos, k, arg_min(shift, 2 * abs(shift - base) + (shift > base)::INT) FROM places JOIN (SELECT DISTINCT r, ir, form, shift AS base FROM places) USING (r, ir, form)
+                WHERE form < 3 AND abs(shift - base) <= n_windows GROUP BY ALL),
+        enough AS (SELECT r, ir, form, n_windows, kind, base, count(*) AS n_matched FROM laid GROUP BY r, ir, form, n_windows, need, kind, base HAVING count(*) >= need),
         pairs AS (SELECT DISTINCT l.r, l.ir, l.form, l.kind, l.base, i.toks[l.ipos + j] AS a, d.toks[l.ipos + l.shift + j] AS b FROM laid l SEMI JOIN enough USING (r, ir, form, kind, base)
             JOIN canon i ON i.r = l.ir AND i.form = l.form JOIN canon d ON d.r = l.r AND d.form = l.form, range({WINDOW}) x(j) WHERE j < l.k AND i.c[l.ipos + j] < 'A'),
         slots AS (SELECT r, ir, form, kind, base, count(DISTINCT a) AS n_slots, count(DISTINCT a) / greatest(count(*), count(DISTINCT b)) AS share, bool_and(a = b) AS verbatim FROM pairs GROUP BY ALL),
         judged AS (SELECT r, ir, form, n_windows, n_matched, coalesce(n_slots, 0)::INT AS n_slots, coalesce(share, 1.0)::DOUBLE AS slot_consistency, coalesce(verbatim, true) AS verbatim FROM enough LEFT JOIN slots USING (r, ir, form, kind, base)),
         best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY r, ir, form ORDER BY slot_consistency DESC, verbatim DESC, n_matched DESC, n_slots DESC) = 1),
-        told AS (SELECT * FROM best WHERE slot_consistency >= {CONSISTENCY} QUALIFY row_number() OVER (PARTITION BY r, ir ORDER BY form) = 1)
-        SELECT d.id AS doc_id, i.id AS item_id, n_windows, n_matched, n_matched / n_windows AS coverage, n_slots, slot_consistency, verbatim FROM told JOIN numbered d ON d.r = told.r JOIN numbered i ON i.r = told.ir""",
+        told AS (SELECT best.*, d.id AS doc_id, i.id AS item_id FROM best JOIN numbered d ON d.r = best.r JOIN numbered i ON i.r = best.ir WHERE slot_consistency >= {CONSISTENCY}
+            QUALIFY row_number() OVER (PARTITION BY best.r, i.id ORDER BY verbatim DESC, form, slot_consistency DESC, n_matched / n_windows DESC, n_matched DESC, n_windows DESC, n_slots DESC) = 1)
+        SELECT doc_id, item_id, n_windows, n_matched, n_matched / n_windows AS coverage, n_slots, slot_consistency, verbatim FROM told""",
 }

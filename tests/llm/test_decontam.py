@@ -120,3 +120,40 @@ def test_clashing_columns(spark, docs_of):
     docs = docs_of([(1, ITEM), (2, filler(3))]).withColumnsRenamed({"score": "_key", "key": "_KEY_A"})
     kept = without_contaminated(docs, contaminated(docs, items(spark, [(1, ITEM)])))
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.where("doc_id = 2").collect()]
+
+
+LONG = " ".join(f"{w}{i}" if i % 9 == 4 else w for i, w in enumerate(filler(77, 320).split()))
+ODD_ITEMS = [
+    (1, ITEM), (1, ITEM), (1, ITEM), (2, PLAIN), (2, "a quite different question about seven sleepy badgers in one deep burrow near the lake"),
+    (3, "Compute 345 + 678"), (4, "What is love?"), (5, "yes"), (6, "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3"), (None, PLAIN), (7, LONG), (8, None), (9, ""), (10, "love"),
+]
+ODD_DOCS = [
+    (1, filler(31) + ITEM), (2, filler(32) + "a quite different question about seven sleepy badgers in one deep burrow near the lake" + filler(33)), (3, "please COMPUTE 345, 678 now"),
+    (4, "compute 346 + 678"), (5, "he asked: what is love"), (6, "yes, what love is"), (7, "pi: 3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 3 2"), (8, "pi: 3 1 4 1 5 9 2 6 5 4 5 8 9 7 9 3 2"),
+    (9, filler(34) + " ".join(LONG.split()[100:160]) + filler(35)), (10, filler(36) + " ".join(LONG.split()[100:140]) + filler(37)), (11, "the " + ITEM), (12, None), (13, PLAIN + ". " + PLAIN),
+]
+
+
+def test_repeated_short_and_long_items(spark, docs_of):
+    """Rows that repeat an item are one; each text under an id counts; short and numeric
+    items are held as whole sequences; of a long one a passage is enough."""
+    got = found(docs_of(ODD_DOCS), items(spark, ODD_ITEMS))
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (7, 6), (9, 7), (11, 1), (13, 2)}
+    assert got[1, 1].coverage == 1.0 and got[2, 2].verbatim and got[5, 4].n_windows == 1 and got[7, 6].coverage == 1.0 and got[9, 7].coverage < 0.5
+    # A word put before the first name hides it from one form; the best form is told.
+    assert got[11, 1].verbatim and got[11, 1].slot_consistency == 1.0
+
+
+def test_sql_agrees_on_odd_items(spark, docs_of, tmp_path):
+    import duckdb
+
+    from faultweave.llm.queries import op3_decontamination, oracle_sql
+
+    docs_of(ODD_DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    items(spark, ODD_ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = op3_decontamination(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()['op3_decontamination']})").fetchall()
+    assert want and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
