@@ -13,13 +13,22 @@ from pyspark.sql import functions as F
 from faultweave.llm import decontam, line_dedup, mixing, ngram_join, quality
 from faultweave.llm.common import staged, table
 from faultweave.llm.linear import score_column
+from faultweave.operators.stage import discard
+
+
+#: The last classifier learnt, by application and folder: two stages use the same one.
+_learnt: dict = {}
 
 
 def _quality_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Column:
     """The classifier's score of ``docs``, learnt from the labelled ones of all documents."""
-    known, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality.learn(known.where(~quality.held_out()), labels.where(~quality.held_out()))
-    return score_column(docs, model, quality.SPACE)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _learnt:
+        known, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        model = quality.learn(known.where(~quality.held_out()), labels.where(~quality.held_out()))
+        _learnt.clear()
+        _learnt[key] = model
+    return score_column(docs, _learnt[key], quality.SPACE)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
