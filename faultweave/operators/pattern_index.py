@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.enums import CATEGORIES, SEVERITIES
-from ..functions.patterns import Pattern, java_form
+from ..functions.patterns import Pattern, java_form, required_literals
 from ..functions.timestamps import with_log_time
 from .stage import staged
 
@@ -42,6 +42,16 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def with_literals(table: DataFrame, regex: str = "regex") -> DataFrame:
+    """Add ``literals`` to a table of regexes, valid or not."""
+
+    @F.arrow_udf("array<string>")
+    def literals(regexes: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else list(required_literals(r)) for r in regexes.to_pylist()], pa.list_(pa.string()))
+
+    return table.withColumn("literals", literals(regex))
+
+
 def prepared(table: DataFrame) -> DataFrame:
     """The table ``priority, name, category, severity, regex`` with what matching needs:
     the regex in Java's spelling, its number of groups, its literals and ranks."""

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Messages of error events, in turn. No message holds a single quote.
 MESSAGES = (
-    "Out of memory: Killed process 42 (java)",
+    "Out of memory: killed process 42 (sorter)",
     "memory cgroup out of memory: Kill process 42",
     "memory cgroup out of memory",
     "out of memory kill 5",
-    "OOMKilled container a in pod b",
+    "OOMKilled box a of b",
     "java.lang.OutOfMemoryError: Java heap space",
-    "connection timed out to a:1",
+    "connection timed out at a:1",
     "connection timeout",
     "request timed out",
     "request timeout",
@@ -22,9 +22,9 @@ MESSAGES = (
     "context canceled i/o timeout",
     "context deadline exceeded",
     "HTTP timeout",
-    "deadlock detected in transaction 7",
-    "Lock wait timeout exceeded; try restarting transaction",
-    "could not obtain lock on row in relation x",
+    "deadlock detected among 7 writers",
+    "Lock wait timeout exceeded after 50 s",
+    "could not obtain lock on a row of x",
     "lock on row (id=1)",
     "fatal error: x",
     "nonfatal error: x",
@@ -32,15 +32,15 @@ MESSAGES = (
     "KeyError: x",
     "unhandledPromiseRejection",
     "signal: aborted",
-    "SIGTERM: shutting down",
+    "SIGTERM: leaving",
     "signal: killed",
     "core dumped",
     "no space left on device",
     "x EIO y",
     "EIOx",
     "too many open files",
-    "connection refused to cache:6379",
-    "DNS lookup failed: NXDOMAIN for a",
+    "connection refused to store1:7000",
+    "dns says NXDOMAIN for a",
     "no route to host",
     "broken pipe",
 )
@@ -175,3 +175,49 @@ def odd_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 ODD_TIMES_SQL = f"""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN CASE event_id % {len(ODD_TIMES)} {" ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(ODD_TIMES))} END END::BIGINT AS ts_sec,
     CASE WHEN event_id % 5 > 0 THEN CASE event_id % {len(ODD_TIMES)} {" ".join(f"WHEN {i} THEN {x[3]}" for i, x in enumerate(ODD_TIMES))} END END::INT AS ts_nano
     FROM (SELECT event_id, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + date_part('second', ts) AS s FROM events)"""
+
+
+#: Regexes in which it is not plain what a line must contain.
+ODD_RULES = (
+    r"(abc|def)xyz", r"ab|longer", r"(?i)^Start\.end$", r"\d+", r"[abc]def(ghijkl)mn", r"a\(b\)c|x{3}yz", r"(a[)]b)cde", r"(?:^|\s)^twice", r"one(two(three)four)five|six", r"[^\]]tail of set",
+    r"back\\slash|\tTab", r"été|日", r"(?i)(?:^|\s)MixedCase: \w+$", r"equal|EQUAL|same5", r"price \$5\.00", r"a+bc*def?ghi", r")odd(|paren", r"\.\.\.", r"end$|$", r"[open set",
+)
+
+
+def literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``name, regex``: the rules for orders, the default patterns and odd ones."""
+    from ..functions.patterns import DEFAULT_PATTERNS
+
+    fixed = [(p.name, p.regex) for p in DEFAULT_PATTERNS] + [(f"odd_{i}", r) for i, r in enumerate(ODD_RULES)]
+    return rules(spark, sf_dir).select("name", "regex").unionByName(spark.createDataFrame(fixed, "name string, regex string"))
+
+
+def literals_sql() -> str:
+    """What a line must contain, read off each regex character by character. ``depth``:
+    open groups, in which nothing counts; ``mode``: 1 behind a backslash, 2 in a set; ``run``:
+    the plain characters since the last that was not; ``best``: the longest run."""
+    from ..functions.patterns import DEFAULT_PATTERNS
+
+    def q(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    fixed = ", ".join(f"({q(n)}, {q(r)})" for n, r in [(p.name, p.regex) for p in DEFAULT_PATTERNS] + [(f"odd_{i}", r) for i, r in enumerate(ODD_RULES)])
+
+    def without(head: str, column: str) -> str:
+        return f"CASE WHEN starts_with({column}, {q(head)}) THEN substr({column}, {len(head) + 1}) ELSE {column} END"
+
+    return f"""WITH RECURSIVE {RULES_SQL}, every AS (SELECT name, regex FROM rules UNION ALL SELECT * FROM (VALUES {fixed}) f(name, regex)),
+    h1 AS (SELECT name, {without("(?i)", "regex")} AS x FROM every), h2 AS (SELECT name, {without("(?:^|" + chr(92) + "s)", "x")} AS x FROM h1), h3 AS (SELECT name, {without("^", "x")} AS x FROM h2),
+    whole AS (SELECT name, CASE WHEN suffix(x, '$') THEN substr(x, 1, length(x) - 1) ELSE x END AS x FROM h3),
+    parts AS (SELECT name, unnest(string_split(x, '|')) AS part, generate_subscripts(string_split(x, '|'), 1) AS n FROM whole),
+    steps AS (SELECT name, n, part AS rest, 0 AS depth, 0 AS mode, false AS grouped, '' AS run, '' AS best FROM parts
+        UNION ALL SELECT name, n, substr(rest, 2),
+            CASE WHEN depth > 0 AND c = '(' THEN depth + 1 WHEN depth > 0 AND c = ')' THEN depth - 1 WHEN depth = 0 AND mode = 0 AND c = '(' THEN 1 ELSE depth END,
+            CASE WHEN mode = 1 THEN 0 WHEN mode = 2 AND c <> ']' THEN 2 WHEN mode = 2 THEN 0 WHEN c = chr(92) AND length(rest) > 1 THEN 1 WHEN c = '[' THEN 2 ELSE 0 END,
+            CASE WHEN mode = 0 THEN depth > 0 ELSE grouped END,
+            CASE WHEN mode = 1 AND NOT grouped THEN CASE WHEN contains('sdwbSDWB', c) THEN '' ELSE run || c END
+                WHEN mode > 0 OR depth > 0 OR (c = chr(92) AND length(rest) > 1) THEN run WHEN c = '[' OR contains('()*+?{{}}.^$', c) THEN '' ELSE run || c END,
+            CASE WHEN length(run) > length(best) THEN run ELSE best END
+        FROM (SELECT *, substr(rest, 1, 1) AS c FROM steps WHERE rest <> '')),
+    ends AS (SELECT name, n, lower(CASE WHEN length(run) > length(best) THEN run ELSE best END) AS literal FROM steps WHERE rest = '')
+    SELECT name, coalesce(string_agg(literal, '|' ORDER BY n) FILTER (strlen(literal) >= 3), '') AS literals FROM ends GROUP BY name"""

@@ -14,13 +14,14 @@ from ..functions.timestamps import with_log_time
 from ..operators import chains as C
 from ..operators import match as M
 from ..operators.counts import Counts, counted_matches, counts_by, result_summary, sources_of
+from ..operators.pattern_index import with_literals
 from ..operators.stage import shared_dir
 from ..sources.files import LineNumbers, dropped_lines, lines_from_table, read_logs, stream_files
 from ..streaming.live import stream_chains, stream_counts, stream_matches
 from ..streaming.run import rows_of, run_available
 from . import oracle as O
 from . import report as R
-from .fixture import END, LATE, ODD_TIMES_SQL, RULES_SQL, arriving, log_lines, odd_times, order_lines, rules
+from .fixture import END, LATE, ODD_TIMES_SQL, RULES_SQL, arriving, literal_rules, literals_sql, log_lines, odd_times, order_lines, rules
 
 #: A list of one's own, with groups.
 CUSTOM = (
@@ -105,6 +106,11 @@ def pattern_table_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("line_num", "priority", "pattern", "category", "severity", F.array_join("submatch", "|").alias("groups"))
 
 
+@query(literals_sql())
+def pattern_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_literals(literal_rules(spark, sf_dir)).select("name", F.array_join("literals", "|").alias("literals"))
+
+
 @query(f"WITH log_lines AS ({O.log_lines_sql()}), {O.timed('log_lines', 'timed')} SELECT source, line_num, ts_sec, ts_nano FROM timed")
 def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_log_time(log_lines(spark, sf_dir)).select("source", "line_num", "ts_sec", "ts_nano")
