@@ -279,6 +279,24 @@ def report_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report_text(counts, chains)
 
 
+_TAIL = f"""'],"total_lines":' || (SELECT count(*) FROM log_lines) || ',"total_matches":' || (SELECT count(*) FROM matches)
+    || ',"by_category":' || {_map_sql("category")} || ',"by_severity":' || {_map_sql("severity")} || ',"sources":[' || (SELECT string_agg(DISTINCT '"' || source || '"', ',' ORDER BY '"' || source || '"') FROM log_lines) || ']}}'"""
+
+
+@query(f"""WITH {_DOCUMENTS}, pieces AS (SELECT 0 AS id, 0 AS place, '{{"chains":[' AS text
+    UNION ALL SELECT r.id, 0, CASE WHEN r.id > 1 THEN ',' ELSE '' END || '{{"id":' || r.id || ',"root_cause":' || p.match || CASE WHEN cascade_size > 0 THEN ',"cascade":[' ELSE '' END FROM ranked r JOIN parts p ON p.id = r.id AND p.role = 'root'
+    UNION ALL SELECT id, cascade_pos, CASE WHEN cascade_pos > 1 THEN ',' ELSE '' END || match FROM parts WHERE role = 'cascade'
+    UNION ALL SELECT id, size, CASE WHEN size > 1 THEN ']' ELSE '' END || ',"time_span_ms":' || time_span_ms || ',"category":"' || category || '","severity":"' || severity || '"}}' FROM ranked
+    UNION ALL SELECT 4611686018427387904, 0, {_TAIL})
+    SELECT row_number() OVER (ORDER BY id, place) AS line_num, text FROM pieces""")
+def report_json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, chains, counts = _counted(spark, sf_dir)
+    sources = sources_of(log_lines(spark, sf_dir)).first().sources
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    R.write_pieces(R.json_pieces(counts, C.chain_members(rows, chains), chains, sources), path, files=5)
+    return R.read_pieces(spark, path)
+
+
 @query(f"WITH log_lines AS ({O.log_lines_sql()}) SELECT string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM log_lines")
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources_of(log_lines(spark, sf_dir)).select(F.array_join("sources", ",").alias("sources"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip_line, display_time, format_count, location, truncate_line
 from ..functions.timestamps import ZERO
 from ..operators.counts import Counts, counts_by, result_summary, summary_rows
+from ..operators.stage import discard, staged
+from ..sources.files import read_logs
 
 
 def _totals(lines: DataFrame | Counts, chains: DataFrame) -> DataFrame:
@@ -106,16 +108,71 @@ def chain_json(members: DataFrame, chains: DataFrame) -> DataFrame:
     return whole.select("id", F.to_json(body).alias("json"))
 
 
-def report_json(lines: DataFrame | Counts, members: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """One row ``json`` with everything. For chains that fit in memory together."""
-    counts = summary_rows(chains.sparkSession, lines) if isinstance(lines, dict) else result_summary(lines)
+def _heads(counts: DataFrame) -> DataFrame:
+    """One row with the totals of ``kind, name, n``."""
 
     def by(kind: str) -> Column:
         return F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n"))), lambda x: x.isNotNull())))
 
-    one = counts.agg(F.max(F.when(F.col("kind") == "lines", F.col("n"))).alias("total_lines"), F.max(F.when(F.col("kind") == "matches", F.col("n"))).alias("total_matches"), by("category").alias("by_category"), by("severity").alias("by_severity")).withColumn("_one", F.lit(1))
+    return counts.agg(F.max(F.when(F.col("kind") == "lines", F.col("n"))).alias("total_lines"), F.max(F.when(F.col("kind") == "matches", F.col("n"))).alias("total_matches"), by("category").alias("by_category"), by("severity").alias("by_severity"))
+
+
+def _totals_json(sources: Sequence[str]) -> Column:
+    return F.to_json(F.struct("total_lines", "total_matches", "by_category", "by_severity", F.array(*map(F.lit, sources)).cast("array<string>").alias("sources")))
+
+
+def report_json(lines: DataFrame | Counts, members: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """One row ``json`` with everything. For chains that fit in memory together."""
+    counts = summary_rows(chains.sparkSession, lines) if isinstance(lines, dict) else result_summary(lines)
+
+    one = _heads(counts).withColumn("_one", F.lit(1))
     docs = chain_json(members, chains).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "json"))), lambda x: x["json"]).alias("docs")).withColumn("_one", F.lit(1))
-    body = F.to_json(F.struct("total_lines", "total_matches", "by_category", "by_severity", F.array(*map(F.lit, sources)).cast("array<string>").alias("sources")))
+    body = _totals_json(sources)
     listed = F.when(F.size("docs") == 0, F.lit("null")).otherwise(F.concat(F.lit("["), F.array_join("docs", ","), F.lit("]")))
     return one.join(docs, "_one").select(F.concat(F.lit('{"chains":'), listed, F.lit(","), F.substring(body, F.lit(2), F.length(body))).alias("json"))
 
+
+def json_pieces(lines: DataFrame | Counts, members: DataFrame, chains: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """``id, at, text``: the document of ``report_json`` in pieces, of which none holds more
+    than one match; in order of ``id`` and ``at`` they are the document. Nothing is joined
+    or grouped by chain."""
+    counts = summary_rows(chains.sparkSession, lines) if isinstance(lines, dict) else result_summary(lines)
+    match = F.to_json(_match())
+    comma = F.when(F.col("id") > 1, ",").otherwise("")
+    any_chain = chains.agg((F.count(F.lit(1)) > 0).alias("any"))
+    head = any_chain.select(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("at"), F.concat(F.lit('{"chains":'), F.when(F.col("any"), "[").otherwise("null")).alias("text"))
+    sizes = chains.select(F.col("root_pos").alias("pos"), (F.col("size") > 1).alias("more"))
+    roots = members.where(F.col("role") == "root").join(sizes, "pos")
+    roots = roots.select("id", F.lit(0).cast("long").alias("at"), F.concat(comma, F.format_string('{"id":%d,"root_cause":', "id"), match, F.when(F.col("more"), ',"cascade":[').otherwise("")).alias("text"))
+    cascade = members.where(F.col("role") == "cascade").select("id", F.col("cascade_pos").alias("at"), F.concat(F.when(F.col("cascade_pos") > 1, ",").otherwise(""), match).alias("text"))
+    rest = F.to_json(F.struct("time_span_ms", "category", "severity"))
+    ends = chains.select("id", F.col("size").cast("long").alias("at"), F.concat(F.when(F.col("size") > 1, "]").otherwise(""), F.lit(","), F.substring(rest, F.lit(2), F.length(rest))).alias("text"))
+    body = _totals_json(sources)
+    tail = _heads(counts).withColumn("_one", F.lit(1)).join(any_chain.withColumn("_one", F.lit(1)), "_one")
+    tail = tail.select(F.lit(2**62).alias("id"), F.lit(0).cast("long").alias("at"), F.concat(F.when(F.col("any"), "]").otherwise(""), F.lit(","), F.substring(body, F.lit(2), F.length(body))).alias("text"))
+    return head.unionByName(roots).unionByName(cascade).unionByName(ends).unionByName(tail)
+
+
+def text_pieces(lines: DataFrame | Counts, chains: DataFrame) -> DataFrame:
+    """``id, at, text``: the paragraphs of the text report."""
+    return report_text(lines, chains).select("id", F.lit(0).cast("long").alias("at"), "text")
+
+
+def write_pieces(pieces: DataFrame, path: str, files: int = 0, piece_rows: int = 1_000_000) -> None:
+    """Write pieces as text files that are one document, read in order of their names. A
+    file is a range of the order, so many tasks write, a long chain's too; Spark commits
+    the files together."""
+    kept = staged(pieces, "pieces")
+    files = files or max(1, -(-kept.count() // piece_rows))
+    kept.repartitionByRange(files, "id", "at").sortWithinPartitions("id", "at").select("text").write.option("lineSep", "\n").text(path)
+    discard(kept)
+
+
+def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``line_num, text``: the lines of a document that was written as ordered files."""
+    lines = read_logs(spark, path)
+    sizes = lines.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    # A row for each file.
+    before = F.sum("_n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1))
+    starts = staged(sizes.select("source", F.coalesce(before, F.lit(0)).alias("_before")), "starts")
+    return lines.join(starts, "source").select((F.col("line_num") + F.col("_before")).alias("line_num"), F.col("line").alias("text"))

@@ -6,7 +6,7 @@ from faultweave.functions.text import clip_line, format_count, truncate_line
 from faultweave.operators import chains as C
 from faultweave.operators.counts import counted_matches, result_summary, summary_rows
 from faultweave.operators.match import match_lines, with_pattern
-from faultweave.plans.report import category_breakdown, report_json, report_text, severity_breakdown, summary_report
+from faultweave.plans.report import category_breakdown, json_pieces, read_pieces, report_json, report_text, severity_breakdown, summary_report, text_pieces, write_pieces
 from faultweave.sources.files import stream_logs
 from faultweave.streaming.live import stream_chains, stream_counts, stream_matches
 
@@ -82,3 +82,26 @@ def test_counts_taken_while_matches_are_written(spark):
     assert summary_report(counts, ranked, []).collect() == summary_report(with_pattern(lines), ranked, []).collect()
     empty, none = counted_matches(lines.limit(0))
     assert empty.count() == 0 and set(none.values()) == {0} and [r.n for r in summary_rows(spark, none).collect()] == [0, 0]
+
+
+def test_report_as_ordered_files(spark, tmp_path):
+    """All files together are the document, in any number; a chain may span files."""
+    lines = sample(spark)
+    found, counts = counted_matches(lines)
+    rows = C.assign_chains(found)
+    ranked = C.rank_chains(C.chain_summary(rows))
+    members = C.chain_members(rows, ranked)
+    want = json.loads(report_json(counts, members, ranked, ["sample.log"]).first().json)
+    for files in (1, 7):
+        path = tmp_path / f"json-{files}"
+        write_pieces(json_pieces(counts, members, ranked, ["sample.log"]), str(path), files)
+        assert json.loads("".join(p.read_text() for p in sorted(path.glob("part-*")))) == want
+        assert len(list(path.glob("part-*.txt"))) >= min(files, 5)
+        assert json.loads("".join(r.text for r in read_pieces(spark, str(path)).orderBy("line_num").collect())) == want
+    write_pieces(text_pieces(counts, ranked), str(tmp_path / "text"), 3)
+    assert "\n".join(r.text for r in read_pieces(spark, str(tmp_path / "text")).orderBy("line_num").collect()) == "\n".join(r.text for r in report_text(counts, ranked).orderBy("id").collect())
+    none, no_counts = counted_matches(lines.where("line_num < 3"))
+    rows = C.assign_chains(none)
+    ranked = C.rank_chains(C.chain_summary(rows))
+    write_pieces(json_pieces(no_counts, C.chain_members(rows, ranked), ranked, []), str(tmp_path / "none"), 2)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == json.loads(report_json(no_counts, C.chain_members(rows, ranked), ranked, []).first().json)
