@@ -14,6 +14,7 @@ Repeated rows and extra columns do not matter; an empty table gives an empty res
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,33 +30,41 @@ from .common import quoted, staged, unused
 #: Bytes that one row of samples holds: 64 RGB pixels, or 192 grey pixels or sound samples.
 ROW = 192
 
-Validator = Callable[[memoryview, int], int]
+#: The length of a format that starts at a place of a blob, or 0. What validators learn of a
+#: blob on the way is kept in a dictionary, so that no stretch is walked for each start.
+Validator = Callable[[memoryview, int, dict], int]
 
 
 def _u(view: memoryview, at: int, form: str) -> int:
     return struct.unpack_from(form, view, at)[0]
 
 
-def _png(v: memoryview, at: int) -> int:
-    """Chunks with right CRCs from IHDR to IEND, image data among them."""
+def _png(v: memoryview, at: int, known: dict) -> int:
+    """Chunks with right CRCs from IHDR to IEND, a size above 0, and image data that can be
+    inflated."""
     i, first, data = at + 8, True, False
     while i + 12 <= len(v):
         n = _u(v, i, ">I")
         kind = bytes(v[i + 4 : i + 8])
         if i + 12 + n > len(v) or (first and (kind != b"IHDR" or n != 13)):
             return 0
-        if zlib.crc32(v[i + 4 : i + 8 + n]) != _u(v, i + 8 + n, ">I"):
+        if zlib.crc32(v[i + 4 : i + 8 + n]) != _u(v, i + 8 + n, ">I") or (first and not all(struct.unpack_from(">II", v, i + 8))):
             return 0
-        i, first, data = i + 12 + n, False, data or kind == b"IDAT"
+        if kind == b"IDAT" and n and not data:
+            try:
+                data = bool(zlib.decompressobj().decompress(v[i + 8 : i + 8 + n], 1)) or n < 16
+            except zlib.error:
+                return 0
+        i, first = i + 12 + n, False
         if kind == b"IEND":
             return i - at if data else 0
     return 0
 
 
 def _riff(kind: bytes) -> Validator:
-    def check(v: memoryview, at: int) -> int:
+    def check(v: memoryview, at: int, known: dict) -> int:
         """The sizes of the chunks fill the size of the whole, and a data chunk is there."""
-        if at + 12 > len(v) or bytes(v[at + 8 : at + 12]) != kind:
+        if at + 12 > len(v) or bytes(v[at : at + 4]) != b"RIFF" or bytes(v[at + 8 : at + 12]) != kind:
             return 0
         end = at + 8 + _u(v, at + 4, "<I")
         if end > len(v):
@@ -73,7 +82,7 @@ def _riff(kind: bytes) -> Validator:
     return check
 
 
-def _bmp(v: memoryview, at: int) -> int:
+def _bmp(v: memoryview, at: int, known: dict) -> int:
     if at + 54 > len(v):
         return 0
     size, start, header = _u(v, at + 2, "<I"), _u(v, at + 10, "<I"), _u(v, at + 14, "<I")
@@ -85,10 +94,10 @@ def _bmp(v: memoryview, at: int) -> int:
     return size if 14 + header <= start < size and at + size <= len(v) and (packed or size >= need) else 0
 
 
-def _gif(v: memoryview, at: int) -> int:
+def _gif(v: memoryview, at: int, known: dict) -> int:
     if at + 13 > len(v):
         return 0
-    flags, i, n = v[at + 10], at + 13, len(v)
+    flags, i, n, images = v[at + 10], at + 13, len(v), 0
     i += 3 * (2 << (flags & 7)) if flags & 0x80 else 0
 
     def blocks(i: int) -> int:
@@ -98,18 +107,22 @@ def _gif(v: memoryview, at: int) -> int:
 
     while i < n:
         if v[i] == 0x3B:
-            return i + 1 - at
+            return i + 1 - at if images else 0
         if v[i] == 0x21:
             i = blocks(i + 2)
         elif v[i] == 0x2C and i + 10 < n:
-            local = v[i + 9]
+            local, images = v[i + 9], images + 1
             i = blocks(i + 11 + (3 * (2 << (local & 7)) if local & 0x80 else 0))
         else:
             return 0
     return 0
 
 
-def _jpeg(v: memoryview, at: int) -> int:
+#: Fixed value: in image data a marker that is neither stuffing nor a restart.
+_MARK = re.compile(rb"\xff[^\x00\xd0-\xd7]")
+
+
+def _jpeg(v: memoryview, at: int, known: dict) -> int:
     """Marker segments up to the end-of-image marker, with a frame and a scan."""
     i, n, frame = at + 2, len(v), False
     while i + 4 <= n:
@@ -129,49 +142,66 @@ def _jpeg(v: memoryview, at: int) -> int:
         frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         i += 2 + size
         if mark == 0xDA:
-            raw = bytes(v[i:])
-            k = 0
-            while (k := raw.find(b"\xff", k)) >= 0 and k + 1 < len(raw) and (raw[k + 1] == 0 or 0xD0 <= raw[k + 1] <= 0xD7):
-                k += 2
-            if k < 0 or k + 1 >= len(raw):
+            mark = _MARK.search(v, i) if i < known.get("no mark from", n) else None
+            if mark is None:
+                known["no mark from"] = min(i, known.get("no mark from", n))
                 return 0
-            i += k
-            if raw[k + 1] == 0xD9:
+            i = mark.start()
+            if v[i + 1] == 0xD9:
                 return i + 2 - at if frame else 0
     return 0
 
 
-def _mp4(v: memoryview, at: int) -> int:
-    """Boxes one after the other, ftyp first, moov or moof among them."""
-    i, names = at, []
-    while i + 8 <= len(v):
-        n, kind = _u(v, i, ">I"), bytes(v[i + 4 : i + 8])
-        if not kind.isalnum():
-            break
-        head = 8
-        if n == 1 and i + 16 <= len(v):
-            n, head = _u(v, i + 8, ">Q"), 16
-        elif n == 0:
-            n = len(v) - i
-        if n < head or i + n > len(v):
-            break
-        names.append(kind)
-        i += n
-    return i - at if names[:1] == [b"ftyp"] and {b"moov", b"moof"} & set(names) else 0
+def _box(v: memoryview, i: int) -> tuple[bytes, int]:
+    """The kind of the box at ``i`` and where it ends; 0 if there is no whole box."""
+    if i + 8 > len(v):
+        return b"", 0
+    n, kind, head = _u(v, i, ">I"), bytes(v[i + 4 : i + 8]), 8
+    if n == 1 and i + 16 <= len(v):
+        n, head = _u(v, i + 8, ">Q"), 16
+    elif n == 0:
+        n = len(v) - i
+    return kind, i + n if kind.isalnum() and n >= head and i + n <= len(v) else 0
 
 
-def _ogg(v: memoryview, at: int) -> int:
-    """Pages one after the other, up to the last of the stream."""
-    i = at
+def _mp4(v: memoryview, at: int, known: dict) -> int:
+    """Boxes one after the other, ftyp first, moov or moof among them, up to another ftyp.
+    Where the boxes from a place on end is worked out once."""
+    kind, i = _box(v, at)
+    if kind != b"ftyp" or not i:
+        return 0
+    ends, way = known.setdefault("boxes", {}), []
+    while i not in ends:
+        kind, after = _box(v, i)
+        if not after or kind == b"ftyp":
+            ends[i] = (i, False)
+            break
+        way.append((i, kind))
+        i = after
+    end, media = ends[i]
+    for i, kind in reversed(way):
+        media |= kind in (b"moov", b"moof")
+        ends[i] = (end, media)
+    return end - at if media else 0
+
+
+def _ogg(v: memoryview, at: int, known: dict) -> int:
+    """Pages one after the other, from a first page of a stream to where all streams that
+    have begun have ended. Pages that a walk has passed are no starts of their own."""
+    passed, open_, i = known.setdefault("pages", set()), set(), at
+    if at in passed or at + 27 > len(v) or not v[at + 5] & 2:
+        return 0
     while i + 27 <= len(v) and bytes(v[i : i + 4]) == b"OggS" and v[i + 4] == 0:
-        segments = v[i + 26]
+        segments, flags, serial = v[i + 26], v[i + 5], _u(v, i + 14, "<I")
+        passed.add(i)
         if i + 27 + segments > len(v):
             return 0
-        last = v[i + 5] & 4
+        open_ |= {serial} if flags & 2 else set()
+        open_ -= {serial} if flags & 4 else set()
         i += 27 + segments + sum(v[i + 27 : i + 27 + segments])
         if i > len(v):
             return 0
-        if last:
+        if not open_:
             return i - at
     return 0
 
@@ -205,12 +235,12 @@ def _automaton():
 def find_media(blob: bytes) -> list[tuple[str, int, int, int | None]]:
     """``(type, offset, length, parent)`` of each confirmed media: ``parent`` is the offset
     of the media that it lies inside of, null if none."""
-    view, out, around = memoryview(blob), [], []
+    view, out, around, known = memoryview(blob), [], [], {}
     hits = sorted((end + 1 - size - back, kind, check) for end, (size, back, kind, check) in _automaton().iter(blob.decode("latin-1")))
     for at, kind, check in hits:
         while around and at >= sum(around[-1]):
             around.pop()
-        if at >= 0 and not (around and at == around[-1][0]) and (n := check(view, at)):
+        if at >= 0 and not (around and at == around[-1][0]) and (n := check(view, at, known)):
             if around and at + n > sum(around[-1]):
                 continue
             out.append((kind, at, n, around[-1][0] if around else None))
@@ -312,14 +342,14 @@ SNIFFED = f"media_type string, type_corrected boolean, media_length long, carved
 def sniff(table: DataFrame, media: str = "media", declared: str = "declared_type", samples: bool = False) -> DataFrame:
     """Add to ``table`` the confirmed ``media_type``, whether it differs from the declared
     one, the confirmed length and the ``carved`` media behind or inside it. With ``samples``
-    also what the samples hold: ``payload_bytes, payload_sha256, tail_crc32, feature``, and
-    ``media_bytes, media_sha256`` of the blob; the blob itself then goes. Columns of the
+    also what the samples hold: ``payload_bytes, payload_sha256, tail_crc32, feature`` and the
+    number of media in it, ``n_payload_media``, and ``media_bytes, media_sha256`` of the blob; the blob itself then goes. Columns of the
     table with one of these names are replaced.
     """
-    made = ["media_type", "type_corrected", "media_length", "carved", *(["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] if samples else [])]
+    made = ["media_type", "type_corrected", "media_length", "carved", *(["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_payload_media"] if samples else [])]
     rest = [f for f in table.schema.fields if f.name.lower() not in made and (not samples or f.name != media)]
     blobs, saids = unused(table.columns, "_blob", "_said")
-    more = ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" if samples else ""
+    more = ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_payload_media int" if samples else ""
     names = [f.name for f in rest]
 
     def one(blob: bytes | None, said: str | None) -> tuple:
@@ -331,12 +361,12 @@ def sniff(table: DataFrame, media: str = "media", declared: str = "declared_type
         if not samples:
             return row
         if kind not in ENCODERS:
-            return (*row, None, None, None, None if blob is None else len(blob), None if blob is None else hashlib.sha256(blob).hexdigest(), None)
+            return (*row, None, None, None, None if blob is None else len(blob), None if blob is None else hashlib.sha256(blob).hexdigest(), None, None)
         data = decode_samples(blob, kind)
-        return (*row, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(data, kind))
+        return (*row, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(data, kind), len(find_media(data)))
 
     types = [pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string()), ("parent", pa.int64())]))]
-    types += [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if samples else []
+    types += [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()] if samples else []
     out = [*names, *made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

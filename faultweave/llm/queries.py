@@ -13,7 +13,7 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_round_trip
 
     out = media_round_trip(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "type_corrected", F.size("carved").alias("n_carved"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "type_corrected", F.size("carved").alias("n_carved"), "n_payload_media")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

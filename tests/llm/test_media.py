@@ -74,3 +74,45 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, bytearray(wav), "a", "b", 3)], "id int, media binary, media_type string, _blob string, Carved int")
     out = M.sniff(df)
     assert out.columns == ["id", "media", "_blob", "media_type", "type_corrected", "media_length", "carved"] and out.first().media_type == "audio/wav"
+
+
+def test_what_is_no_media():
+    """Text with magic words, a wave without RIFF, empty and broken pictures."""
+    wav = M.encode_samples(M.padded(b"x"), "audio/wav")
+    assert M.find_media(b"GIF89a1234567;") == [] and M.find_media(b"XXXX" + wav[4:]) == []
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def png(width, body):
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+    good = zlib.compress(b"\0\0")
+    assert len(M.find_media(png(1, good))) == 1
+    assert M.find_media(png(0, good)) == M.find_media(png(1, b"")) == M.find_media(png(1, b"no deflate stream at all")) == []
+
+
+def test_streams_of_boxes_and_pages():
+    mp4 = struct.pack(">I", 16) + b"ftypisom" + bytes(4) + struct.pack(">I", 8) + b"moov"
+    assert M.find_media(mp4 + mp4) == [("video/mp4", 0, 24, None), ("video/mp4", 24, 24, None)]
+
+    def page(serial, flags):
+        return b"OggS\x00" + bytes([flags]) + bytes(8) + struct.pack("<I", serial) + bytes(8) + b"\x01\x02ab"
+
+    two = page(1, 2) + page(2, 2) + page(1, 4) + page(2, 0) + page(2, 4)
+    assert M.find_media(two + page(3, 6)) == [("application/ogg", 0, len(two), None), ("application/ogg", len(two), 30, None)]
+    assert M.find_media(page(1, 0) + page(1, 4)) == [] and M.find_media(page(1, 2)) == []
+
+
+@pytest.mark.parametrize("piece", [struct.pack(">I", 12) + b"ftypisom", struct.pack(">I", 0) + b"ftyp", b"OggS\x00\x02" + bytes(21), b"\xff\xd8\xff\xc0\x00\x05abc\xff\xda\x00\x02", b"\x00\x00\x00\x0cftypisom\x00\x00\x00\x08free"])
+def test_time_is_linear(piece):
+    import time
+
+    began = time.time()
+    M.find_media(piece * (500_000 // len(piece)))
+    assert time.time() - began < 10
+
+
+def test_media_in_texts(docs_of):
+    rows = {r.doc_id: r for r in M.media_round_trip(docs_of([(1, "plain"), (2, "GIF89a" + "\x01\x00\x01\x00\x00\x00\x00" + "\x2c" + "\x00" * 9 + "\x02\x01\x44\x00\x3b tail")])).collect()}
+    assert rows[1].n_payload_media == 0 and rows[2].n_payload_media == 1
