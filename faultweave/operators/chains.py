@@ -130,16 +130,39 @@ def chain_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def _ranking(rows: DataFrame, bucket_rows: int) -> tuple[DataFrame, list[Column]]:
+    """The keys of chains (a table) by range of their rank, and its order."""
+    keys = rows.select("chain_seq", (-F.col("severity_rank")).alias("_sv"), F.coalesce("root_ts_sec", F.lit(ZERO)).alias("_t"), F.coalesce("root_ts_nano", F.lit(0)).alias("_n"))
+    order = [F.col(c) for c in ("_sv", "_t", "_n", "chain_seq")]
+    return in_ranges(keys, order, bucket_rows), order
+
+
 def rank_chains(chains: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``id``, from 1: greatest severity first, then time of the root (untimed as year
     1), then the chains' own order."""
     rows = staged(chains, "chains")
-    keys = rows.select("chain_seq", (-F.col("severity_rank")).alias("_sv"), F.coalesce("root_ts_sec", F.lit(ZERO)).alias("_t"), F.coalesce("root_ts_nano", F.lit(0)).alias("_n"))
-    order = [F.col(c) for c in ("_sv", "_t", "_n", "chain_seq")]
-    ids = with_position(in_ranges(keys, order, bucket_rows), [BUCKET], order, "id")
+    keys, order = _ranking(rows, bucket_rows)
+    ids = with_position(keys, [BUCKET], order, "id")
     return staged(rows.join(ids.select("chain_seq", (F.col("id") + 1).alias("id")), "chain_seq"), "ranked")
 
 
+def ranked_page(chains: DataFrame, offset: int = 0, limit: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``chain_page`` of chains that are not ranked yet. The ranges of the rank are counted,
+    and only those that the page meets are sorted: the counts, one for each range, tell which
+    and how many chains stand before them."""
+    rows = staged(chains, "chains")
+    keys, order = _ranking(rows, bucket_rows)
+    before, met, first = 0, [], None
+    for r in keys.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).orderBy(BUCKET).collect():
+        if before < offset + limit and before + r["n"] > offset:
+            met.append(r[BUCKET])
+            first = before if first is None else first
+        before += r["n"]
+    ids = with_position(keys.where(F.col(BUCKET).isin(met)), [BUCKET], order, "id")
+    ids = ids.select("chain_seq", (F.col("id") + 1 + (first or 0)).alias("id"))
+    return rows.join(chain_page(ids, offset, limit), "chain_seq")
+
+
 def ranked_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Matches to ranked chains."""
     return rank_chains(chain_summary(assign_chains(matches, window_s, bucket_rows)), bucket_rows)

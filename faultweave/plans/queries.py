@@ -192,7 +192,8 @@ def cascade_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.ranked()} SELECT {_CHAIN} FROM ranked WHERE id BETWEEN 21 AND 40")
 def chain_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chain_page(_ranked(spark, sf_dir)[1], 20, 20).select(*_CHAIN.split(", "))
+    chains = C.chain_summary(C.assign_chains(_matches(spark, sf_dir)))
+    return C.ranked_page(chains, 20, 20, bucket_rows=100).select(*_CHAIN.split(", "))
 
 
 @query(f"""WITH {O.ranked()}, big AS (SELECT id, cascade_size FROM ranked ORDER BY cascade_size DESC, id LIMIT 1)

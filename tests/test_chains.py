@@ -178,3 +178,13 @@ def test_last_value_in_the_order_of_all(spark):
         last = last if v is None else v
         want.append(last)
     assert got == want
+
+
+def test_pages_sort_only_their_ranges(spark):
+    dice = random.Random(12)
+    rows = [("a", i * 100, dice.randrange(10**6), 0, dice.choice(list(CATEGORIES)), dice.choice(SEVERITIES)) for i in range(300)]
+    chains = C.chain_summary(C.assign_chains(matches(spark, rows)))
+    ranked = {r.id: r.chain_seq for r in C.rank_chains(chains).collect()}
+    for offset, limit, bucket in ((0, 20, 30), (95, 40, 30), (len(ranked) - 5, 20, 7), (len(ranked), 10, 30), (0, 10**6, 50), (10, 5, 10**6)):
+        page = {r.id: r.chain_seq for r in C.ranked_page(chains, offset, limit, bucket).collect()}
+        assert page == {i: c for i, c in ranked.items() if offset < i <= offset + limit}
