@@ -16,13 +16,22 @@ from faultweave.llm.linear import score_column
 from faultweave.operators.stage import discard
 
 
-#: The last classifier learnt, by application and folder: two stages use the same one.
+#: The last classifier learnt, by application and state of its tables: two stages use the
+#: same one.
 _learnt: dict = {}
 
 
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What tells a table from what it was before: its size, files and time."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    sums = files.getContentSummary(place)
+    return path, sums.getLength(), sums.getFileCount(), files.getFileStatus(place).getModificationTime()
+
+
 def _quality_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Column:
     """The classifier's score of ``docs``, learnt from the labelled ones of all documents."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels")))
     if key not in _learnt:
         known, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         model = quality.learn(known.where(~quality.held_out()), labels.where(~quality.held_out()))
