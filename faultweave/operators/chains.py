@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.enums import severity_name
 from ..functions.text import span_ms
 from ..functions.timestamps import ZERO
-from .stage import staged
+from .stage import discard, staged
 from .twolevel import BUCKET, BUCKET_ROWS, in_ranges, with_last, with_position, with_previous, with_running_sum
 
 #: The window in seconds unless another is given, which merging always has;
@@ -74,12 +74,15 @@ def assign_chains(matches: DataFrame, window_s: float = WINDOW_S, bucket_rows: i
     broken = gap_breaks(window_s)[1].cast("int")
     whole, keys, order = _ordered(matches, bucket_rows)
     rows = with_previous(keys, [BUCKET], order, F.struct("ts_sec", "ts_nano", "source", "line_num"))
-    rows = staged(rows.select("_row", BUCKET, "pos", "category", "ts_sec", "ts_nano", broken.alias("_break")), "breaks")
-    rows = with_running_sum(rows, [BUCKET], [F.col("pos")], F.col("_break"), "chain_seq")
+    breaks = staged(rows.select("_row", BUCKET, "pos", "category", "ts_sec", "ts_nano", broken.alias("_break")), "breaks")
+    discard(keys)
+    rows = with_running_sum(breaks, [BUCKET], [F.col("pos")], F.col("_break"), "chain_seq")
     if window_s < WINDOW_S:
         rows = staged(rows, "unmerged")
         rows = rows.join(merge_chains(rows), "chain_seq").drop("chain_seq").withColumnRenamed("merged_seq", "chain_seq")
-    return staged(_whole(whole, rows, "pos", "chain_seq"), "assigned")
+    out = staged(_whole(whole, rows, "pos", "chain_seq"), "assigned")
+    discard(whole, breaks)
+    return out
 
 
 def merge_chains(rows: DataFrame) -> DataFrame:
@@ -143,7 +146,9 @@ def rank_chains(chains: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     rows = staged(chains, "chains")
     keys, order = _ranking(rows, bucket_rows)
     ids = with_position(keys, [BUCKET], order, "id")
-    return staged(rows.join(ids.select("chain_seq", (F.col("id") + 1).alias("id")), "chain_seq"), "ranked")
+    out = staged(rows.join(ids.select("chain_seq", (F.col("id") + 1).alias("id")), "chain_seq"), "ranked")
+    discard(rows, keys)
+    return out
 
 
 def ranked_page(chains: DataFrame, offset: int = 0, limit: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -186,6 +191,7 @@ def chain_members(rows: DataFrame, chains: DataFrame, window_s: float = WINDOW_S
     is_first = F.col("pos") == F.col("first_pos")
     ahead = F.col("pos") - F.col("first_pos")
     out = staged(out, "headed")
+    discard(keys)
     if window_s > WINDOW_S:
         # All untimed matches are one chain here, of many sources, and may be most of all:
         # the cascades that need it are sorted together, and each counts from its first.
