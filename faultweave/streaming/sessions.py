@@ -102,6 +102,8 @@ def joined_sessions(summaries: DataFrame, window_s: float, key: Column) -> DataF
     """Chains, as summaries with ``chain_key``, each once it is closed."""
     spark = summaries.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # A batch then adds its changes to the checkpoint, not another copy of the store's files.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # A window may still be filled until the watermark passes its end, one width later.
     sessions = Sessions(int(window_s * _NANO), int(2 * window_s * 1000) + 1)
     return summaries.withColumn("chain_key", key).groupBy("chain_key").transformWithState(statefulProcessor=sessions, outputStructType=f"chain_key string, {_SUMMARY}", outputMode="Append", timeMode="EventTime")
