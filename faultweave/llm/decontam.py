@@ -46,6 +46,8 @@ SHORTEST = 5
 PLAIN = 3
 FEWEST = 3
 PASSAGE = 50
+#: Places of an item in a document that are judged in one row.
+PART = 20_000
 COVERAGE = 0.5
 CONSISTENCY = 0.8
 #: Marks around a name; canonical tokens.
@@ -196,76 +198,91 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, covera
             runs = runs.select("row", "doc_id", F.explode_outer("windows").alias("w")).select("row", "doc_id", F.col("w.pos").alias("dpos"), F.col("w.h").alias("h"))
         of_form = runs.join(side.where(F.col("form") == form), "h").select("row", "doc_id", "item", "form", "ipos", "dpos", "k")
         hits = of_form if hits is None else hits.unionByName(of_form)
-    held = hits.distinct().groupBy("row", "doc_id", "item", "form").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
+    # A shift is a place where the item may lie: its windows that are met there.
+    shifts = hits.groupBy("row", "doc_id", "item", "form", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.collect_set(F.struct("ipos", "k")).alias("hits"))
+    shifts = staged(shifts, "shifts")
+    held = shifts.select("row", "doc_id", "item", "form", "shift", F.explode("hits.ipos").alias("ipos")).groupBy("row", "doc_id", "item", "form")
+    held = held.agg(F.size(F.collect_set("ipos")).alias("met"), (F.min("shift") == F.max("shift")).alias("single"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     need = enough(coverage, window, passage)
     # Less than that in the whole document cannot be enough in a passage of it.
-    held = held.join(small_side(wanted), ["item", "form"]).where(F.size(F.array_distinct(F.transform("hits", lambda h: h["ipos"]))) >= need)
-    held = staged(held, "held")
-    laid = staged(layings(held, need), "layings")
+    held = staged(held.join(small_side(wanted), ["item", "form"]).where(F.col("met") >= need), "held")
+    laid = staged(layings(shifts, held, need), "layings")
     judged = staged(best_layings(laid, docs, bench), "judged")
     same = ["row", "item", "form"]
     share = F.col("best.n_matched") / F.col("n_windows")
     told = F.struct("best.verbatim", (-F.col("form")).alias("form"), "best.slot_consistency", share.alias("coverage"), "best.n_matched", "n_windows", "best.n_slots")
     names = bench.select("item", "item_id").distinct()
-    out = held.drop("hits").join(judged.where(F.col("best.slot_consistency") >= consistency), same).join(small_side(names), "item").groupBy("row", "doc_id", "item_id")
+    out = held.join(judged.where(F.col("best.slot_consistency") >= consistency), same).join(small_side(names), "item").groupBy("row", "doc_id", "item_id")
     return out.agg(F.max(told).alias("x")).select("row", "doc_id", "item_id", *[f"x.{c}" for c in ("n_windows", "n_matched", "coverage", "n_slots", "slot_consistency", "verbatim")])
 
 
-def layings(held: DataFrame, need: Column) -> DataFrame:
-    """``row, item, form, layings``: the ways to lay an item over a document, each as places
-    ``ipos, dpos, k`` of at least ``need`` of the item's windows. They are, for each
-    shift ``dpos - ipos``, the windows at that shift alone, and with every other window at
-    its shift nearest to that one, which goes over words put in or left out, but no further
-    away than the item has windows: that would be another passage. They are rows until
-    they are complete, as a document may have many shifts."""
+def layings(shifts: DataFrame, held: DataFrame, need: Column) -> DataFrame:
+    """``row, item, form, part, hits``: the ways to lay an item over a document, a row each,
+    with the places ``ipos, dpos, k`` of at least ``need`` of the item's windows. They are,
+    for each shift ``dpos - ipos``, the windows at that shift alone, and with every other
+    window at its shift nearest to that one, which goes over words put in or left out, but no
+    further away than the item has windows: that would be another passage. The second is left
+    out where it is the first again. The layings of one pair are dealt into parts of about
+    ``PART`` places, as a document that repeats itself may have very many."""
     same = ["row", "item", "form"]
-    pair = [*same, "n_windows"]
-    held = held.select(*pair, "hits", F.size(F.array_distinct(F.transform("hits", lambda h: h["dpos"] - h["ipos"]))).alias("n_shifts"))
-    single = held.where("n_shifts = 1").select(*same, F.array("hits").alias("layings"))
-    flat = held.where("n_shifts > 1").select(*pair, F.explode("hits").alias("x")).select(*pair, "x.ipos", "x.dpos", "x.k", (F.col("x.dpos") - F.col("x.ipos")).alias("shift"))
-    alone = flat.select(*pair, F.lit(1).alias("kind"), F.col("shift").alias("at"), "ipos", "dpos", "k")
-    grid = flat.select(*pair, "ipos", "k").distinct().join(flat.select(*same, F.col("shift").alias("at")).distinct(), same)
-    grid = grid.join(flat.select(*same, "ipos", F.col("shift").alias("at"), "shift"), [*same, "ipos", "at"], "left")
-    window = Window.partitionBy(*same, "ipos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grid = grid.withColumn("below", F.last("shift", True).over(window.orderBy("at"))).withColumn("above", F.last("shift", True).over(window.orderBy(F.desc("at"))))
+    pair = [*same, "n_windows", "parts"]
+    rows = shifts.join(small_side(held.select(*pair, "single", "met")), same)
+    placed = F.transform("hits", lambda h: F.struct(h["ipos"].alias("ipos"), (h["ipos"] + F.col("shift")).alias("dpos"), h["k"].alias("k")))
+    alone = rows.select(*pair, F.col("shift").alias("at"), placed.alias("hits"))
+    several = rows.where(~F.col("single") & (F.col("form") < RAW))
+    flat = several.select(*pair, "shift", F.explode("hits").alias("x")).select(*pair, "shift", "x.ipos", "x.k")
+    # Where all windows that are met lie at one shift no other is nearer.
+    some = several.where(F.size("hits") < F.col("met")).select(*same, F.col("shift").alias("at"))
+    grid = flat.select(*pair, "ipos", "k").distinct().join(some, same)
+    # Both kinds of rows in one order: a shift of the window, and a shift asked for.
+    grid = grid.select(*pair, "ipos", "k", "at", F.lit(None).cast("int").alias("shift"), F.lit(True).alias("asked"))
+    grid = grid.unionByName(flat.select(*pair, "ipos", "k", F.col("shift").alias("at"), "shift", F.lit(False).alias("asked")))
+    window = Window.partitionBy(*same, "ipos")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    below = F.last("shift", True).over(window.orderBy("at").rangeBetween(*so_far))
+    above = F.last("shift", True).over(window.orderBy(F.desc("at")).rangeBetween(*so_far))
+    grid = grid.withColumn("below", below).withColumn("above", above).where("asked")
     nearest = F.when(F.col("above").isNull() | (F.col("at") - F.col("below") <= F.col("above") - F.col("at")), F.col("below")).otherwise(F.col("above"))
     grid = grid.withColumn("nearest", nearest).where(F.abs(F.col("nearest") - F.col("at")) <= F.col("n_windows"))
-    grid = grid.where(F.col("form") < RAW)
-    near = grid.select(*pair, F.lit(2).alias("kind"), "at", "ipos", (F.col("ipos") + F.col("nearest")).alias("dpos"), "k")
-    laid = alone.unionByName(near).groupBy(*pair, "kind", "at").agg(F.collect_list(F.struct("ipos", "dpos", "k")).alias("hits"))
-    laid = laid.where(F.size("hits") >= need).groupBy(*same).agg(F.collect_list("hits").alias("layings"))
-    return single.unionByName(laid)
+    near = grid.groupBy(*pair, "at").agg(F.collect_list(F.struct("ipos", (F.col("ipos") + F.col("nearest")).alias("dpos"), "k")).alias("hits"), F.max(F.col("nearest") != F.col("at")).alias("other"))
+    part = F.pmod(F.xxhash64("at"), F.col("parts")).alias("part")
+    return alone.unionByName(near.where("other").drop("other")).where(F.size("hits") >= need).select(*same, part, "hits")
 
 
 def best_layings(laid: DataFrame, docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``row, item, form, best``: of the ways to lay an item the best one: what share of
     the values in the item's slots maps one to one (1 without slots), whether all are equal,
-    how many windows match, how many values there are."""
+    how many windows match, how many values there are. A part of a pair's layings is judged
+    in one row, which holds the document's tokens once."""
     same = ["row", "item", "form"]
     slotted = bench.where(F.exists("canon", lambda x: x < "A")).select("item", "form", F.col("toks").alias("itoks"), F.col("canon").alias("icanon"))
-    plain = laid.join(small_side(slotted.select("item", "form").distinct()), ["item", "form"], "left_anti")
-    no_slots = F.struct(F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"), F.array_max(F.transform("layings", lambda x: F.size(x).cast("long"))).alias("n_matched"), F.lit(0).alias("n_slots"))
-    plain = plain.select(*same, no_slots.alias("best"))
-    asked = laid.join(small_side(slotted), ["item", "form"]).select(*same, "layings", "itoks", "icanon")
-    keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "form").distinct(), "slot-rows"))
+    plain = laid.join(small_side(slotted.select("item", "form").distinct()), ["item", "form"], "left_anti").groupBy(*same).agg(F.max(F.size("hits").cast("long")).alias("n_matched"))
+    plain = plain.select(*same, F.struct(F.lit(1.0).alias("slot_consistency"), F.lit(True).alias("verbatim"), "n_matched", F.lit(0).alias("n_slots")).alias("best"))
+
+    def places(h: Column) -> Column:
+        # A slot's places in item and document as one number: those that windows share count once.
+        slots = F.filter(F.sequence(h["ipos"], h["ipos"] + h["k"] - 1), lambda i: F.get("icanon", i) < "A")
+        return F.transform(slots, lambda i: F.shiftleft(i.cast("long"), 32) + h["dpos"] + i - h["ipos"])
+
+    asked = laid.join(small_side(slotted), ["item", "form"])
+    asked = asked.select(*same, "part", F.size("hits").cast("long").alias("n_matched"), F.array_distinct(F.flatten(F.transform("hits", places))).alias("places"))
+    asked = staged(asked.groupBy(*same, "part").agg(F.collect_list(F.struct("n_matched", "places")).alias("layings")), "slot-places")
+    keys = small_side(staged(asked.select(F.col("row.a").alias("ra"), F.col("row.b").alias("rb"), "form", "part").distinct(), "slot-rows"))
     texts = docs.select(row_key().alias("row"), "text").withColumn("ra", F.col("row.a")).withColumn("rb", F.col("row.b")).join(keys, ["ra", "rb"])
-    texts = staged(texts.select("row", "form", tokens_of(F.col("text"), F.col("form")).alias("dtoks")), "slot-texts").dropDuplicates(["row", "form"])
-    at = asked.join(texts, ["row", "form"])
-
-    def values(hits: Column) -> Column:
-        one = F.transform(
-            hits,
-            lambda h: F.transform(
-                F.filter(F.sequence(F.lit(0), h["k"] - 1), lambda j: F.get("icanon", h["ipos"] + j) < "A"),
-                lambda j: F.struct(F.get("itoks", h["ipos"] + j).alias("i"), F.get("dtoks", h["dpos"] + j).alias("d")),
-            ),
-        )
-        return F.struct(F.size(hits).cast("long").alias("n_matched"), F.array_distinct(F.flatten(one)).alias("pairs"))
+    texts = staged(texts.select("row", "form", "part", tokens_of(F.col("text"), F.col("form")).alias("dtoks")), "slot-texts").dropDuplicates(["row", "form", "part"])
+    at = asked.join(texts, ["row", "form", "part"]).join(small_side(slotted.drop("icanon")), ["item", "form"])
+
+    def values(x: Column) -> Column:
+        pairs = F.transform(x["places"], lambda p: F.struct(F.get("itoks", F.shiftright(p, 32).cast("int")).alias("i"), F.get("dtoks", p.bitwiseAND((1 << 32) - 1).cast("int")).alias("d")))
+        return F.struct(x["n_matched"].alias("n_matched"), pairs.alias("pairs"))
 
     def counted(x: Column) -> Column:
-        pairs = x["pairs"]
-        of_item, of_doc = F.array_distinct(F.transform(pairs, lambda p: p["i"])), F.array_distinct(F.transform(pairs, lambda p: p["d"]))
-        return F.struct(x["n_matched"].alias("n_matched"), F.size(of_item).alias("n_slots"), F.greatest(F.size(pairs), F.size(of_doc)).alias("n_values"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("verbatim"))
+        def count(of) -> Column:
+            return F.size(F.array_distinct(F.transform(x["pairs"], of)))
+
+        # The length keeps pairs apart that read the same when joined.
+        both = count(lambda p: F.concat(F.char_length(p["i"]).cast("string"), F.lit(":"), p["i"], p["d"]))
+        return F.struct(x["n_matched"].alias("n_matched"), count(lambda p: p["i"]).alias("n_slots"), F.greatest(both, count(lambda p: p["d"])).alias("n_values"), F.forall(x["pairs"], lambda p: p["i"] == p["d"]).alias("verbatim"))
 
     def judged(x: Column) -> Column:
         share = F.when(x["n_values"] == 0, 1.0).otherwise(x["n_slots"] / x["n_values"])
@@ -273,7 +290,8 @@ def best_layings(laid: DataFrame, docs: DataFrame, bench: DataFrame) -> DataFram
 
     at = at.select(*same, F.transform("layings", values).alias("pairs"))
     at = at.select(*same, F.transform("pairs", counted).alias("counts"))
-    return plain.unionByName(at.select(*same, F.array_max(F.transform("counts", judged)).alias("best")))
+    at = at.select(*same, F.array_max(F.transform("counts", judged)).alias("best")).groupBy(*same).agg(F.max("best").alias("best"))
+    return plain.unionByName(at)
 
 
 def without_contaminated(docs: DataFrame, found: DataFrame) -> DataFrame:

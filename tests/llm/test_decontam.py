@@ -157,3 +157,16 @@ def test_sql_agrees_on_odd_items(spark, docs_of, tmp_path):
     got = op3_decontamination(spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()['op3_decontamination']})").fetchall()
     assert want and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_text_that_repeats_itself(spark, docs_of):
+    """Very many ways to lay an item are dealt into parts; the copy among them is found."""
+    def text(seed, n):
+        return " ".join(f"Then Alice Brown gave {(seed * i * i + i) % 9} red apples and {(seed + i * 5) % 7} green pears to the old man near Paris today." for i in range(n))
+
+    item = text(1, 6)
+    docs = docs_of([(1, text(2, 150) + " " + item + " " + text(3, 150)), (2, text(2, 300)), (3, item.replace("old", "very old"))])
+    got = found(docs, items(spark, [(7, item)]))
+    assert got[1, 7].verbatim and got[1, 7].coverage == 1.0
+    assert (2, 7) not in got or not got[2, 7].verbatim
+    assert (3, 7) in got
