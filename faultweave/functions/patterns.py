@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ class Pattern:
         if self.category not in CATEGORIES or self.severity not in SEVERITIES:
             raise ValueError(f"{self.name}: unknown category or severity")
         try:
-            re.compile(java_form(self.regex).replace("(?iud)", "(?i)").replace("(?d)", "").replace(r"\z", r"\Z"))
+            n_groups(self.regex)
         except re.error as e:
             raise ValueError(f"{self.name}: {e}") from e
         if not self.literals:
@@ -84,6 +85,31 @@ def java_form(regex: str) -> str:
     return ("(?iud)" if folded else "(?d)") + "".join(out)
 
 
+#: Plain characters, of which only their being there counts; what is kept; and what may
+#: give those behind it another meaning, so that the whole regex is read.
+_SHAPE = re.compile(r"[0-9A-Za-z #_]+|(?P<kept>\\[sdwbSDWB\W]|\[\^?[^]\\^][^]\\]*\]|\{[^}]*\}|\(\?:)|(?P<odd>\\|\[|\(\?|\0)")
+
+
+def _python_groups(regex: str) -> int:
+    return re.compile(java_form(regex).replace("(?iud)", "(?i)").replace("(?d)", "").replace(r"\z", r"\Z")).groups
+
+
+_groups_of_shape = functools.lru_cache(4096)(_python_groups)
+
+
+def n_groups(regex: str) -> int:
+    """The number of groups; an error if the regex is not valid. Long tables have many
+    regexes that differ in plain characters only: these are read once."""
+    body = regex.removeprefix("(?i)")
+    shape = _SHAPE.sub(lambda m: m["kept"] or ("\0" if m["odd"] else "x"), body)
+    if "\0" in shape:
+        return _python_groups(regex)
+    try:
+        return _groups_of_shape(shape if body is regex else "(?i)" + shape)
+    except re.error:
+        return _python_groups(regex)  # with its own message
+
+
 def _patterns(rows: Sequence[tuple[str, str, str, str]]) -> tuple[Pattern, ...]:
     return tuple(Pattern(*row) for row in rows)
 

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 
-from faultweave.functions.patterns import DEFAULT_PATTERNS, Pattern, java_form, required_literals
+from faultweave.functions.patterns import DEFAULT_PATTERNS, Pattern, java_form, n_groups, required_literals
 from faultweave.operators.match import filter_failures, match_lines, match_lines_table, patterns_table, with_pattern
+from faultweave.plans.fixture import ODD_RULES
 
 TRUTH = [
     ("Out of memory: Killed process 42 (java)", "oom_kill"), ("memory cgroup out of memory: Kill process 42", "oom_kill"), ("memory cgroup out of memory", "oom_cgroup"),
@@ -58,3 +61,16 @@ def test_captures_and_table(spark):
     table = match_lines_table(df, patterns_table(spark, own)).collect()
     assert sorted((r.line_num, r.pattern) for r in table) == [(1, "a"), (2, "a"), (3, "b")]
     assert filter_failures(df, own).columns == df.columns
+
+
+def test_groups_of_like_regexes():
+    """Read by their shape, regexes have the groups and errors that they have by themselves."""
+    odd = (r"[z-a]", r"[a\]z-b]", r"[]z-b]", r"a{2}{3}", r"a{2,1}", r"\x41(b)", r"(a)\1", "a)b", "(a", "a**", "(?P<x1>a)", "(?i)(a(b))c", "a{3", "[^]a]", r"\q", r"a\.b(c)[(](d)")
+    for regex in (*odd, *[p.regex for p in DEFAULT_PATTERNS], *ODD_RULES):
+        try:
+            want = re.compile(regex.replace("(?:^|\\s)", "").removeprefix("(?i)")).groups
+        except re.error:
+            with pytest.raises(re.error):
+                n_groups(regex)
+        else:
+            assert n_groups(regex) == want

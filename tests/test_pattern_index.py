@@ -62,3 +62,40 @@ def test_no_pattern_in_the_plan(spark):
     found = match_lines_table(lines(spark, ["x"]), patterns_table(spark, DEFAULT_PATTERNS))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "goroutine" not in plan and "Join" in plan
+
+
+def shuffled(spark, run):
+    """Rows that the shuffles of ``run`` write."""
+    sc = spark.sparkContext
+    context = sc._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        stages = context.statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    run()
+    return sum(n for stage, n in written().items() if stage not in before)
+
+
+def test_lines_are_shuffled_by_few_runs(spark, monkeypatch):
+    """With an index that is not small, lines go only where one of their runs is filed."""
+    monkeypatch.setattr("faultweave.operators.pattern_index.MOST_ROWS", 0)
+    patterns = [Pattern(f"p{i}", "Panic", "WARN", f"node {i:06d} is (down)") for i in range(40)] + [Pattern("short", "Network", "FATAL", "of [xy]"), Pattern("sevens", "Signal", "WARN", r"\b777\b")]
+    df = lines(spark, [f"2024-01-15T08:00:00Z ERROR node {i:06d} is down, {i * 7919 % 100_000} of {i * 104_729 % 1_000_003} packets of its port are lost" for i in range(2_000)] + ["node 000003 is 777", "777 of x"])
+    table = patterns_table(spark, patterns)
+    assert rows(match_lines_table(df, table)) == rows(match_lines(df, patterns))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: match_lines_table(df, table).collect()) < 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_equal_priority_and_name(spark):
+    """Of rules with one priority and name only one that matches gives a row."""
+    table = spark.createDataFrame([(1, "a", "Panic", "WARN", "abc"), (1, "a", "Network", "FATAL", "xyz (\\d)")], "priority int, name string, category string, severity string, regex string")
+    found = match_lines_table(lines(spark, ["an abc", "an xyz 7", "abc xyz 8"]), table).collect()
+    assert sorted((r.line_num, r.category, r.severity, r.submatch) for r in found) == [(1, "Panic", "WARN", None), (2, "Network", "FATAL", ["7"]), (3, "Panic", "WARN", None)]
