@@ -1,4 +1,7 @@
+import os
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -76,3 +79,23 @@ def test_weights_and_clashing_columns(docs_of):
     taken = {k: sum(r.taken > 0 for r in out.collect() if r.doc_id % 2 == k) for k in (0, 1)}
     assert taken[1] > 3 * taken[0] > 0
     assert mix(docs, weight=F.lit(None)).where("taken is null").count() == 0
+
+
+def test_word_count(docs_of):
+    rows = [(1, None), (2, ""), (3, " \t\n\x0b\x0c\r"), (4, "a"), (5, " x\x1cy\x85z    \U0001f600$1\\ \r\n"), (6, "ä\x00b "), (7, "\n" * 50_000 + "one two" + " " * 50_000)]
+    out = docs_of(rows).select("doc_id", mixing.word_count(F.col("text")).alias("n")).collect()
+    assert {r.doc_id: r.n for r in out} == {i: len(re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in rows}
+
+
+def test_long_text_of_short_words(tmp_path):
+    """Ten million words in one text of 20 MB, with a heap of 600 MB."""
+    code = """
+from pyspark.sql import SparkSession
+from faultweave.llm.mixing import mix
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.range(1).selectExpr("id AS doc_id", "repeat(concat(id, ' b '), 5000000) AS text", "'s' AS source")
+print("size", mix(docs).first()["size"])
+"""
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 600m pyspark-shell", "TMPDIR": str(tmp_path)}
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=250)
+    assert "size 10000000" in ran.stdout, ran.stderr[-2000:]
