@@ -194,7 +194,8 @@ def _is_filed() -> Column:
     return (F.size("literals") > 0) & F.forall("literals", lambda x: F.char_length(x) >= GRAMS[0])
 
 
-def _broadcast_if_small(df: DataFrame, width: Column) -> DataFrame:
+def broadcast_if_small(df: DataFrame, width: Column) -> DataFrame:
+    """Marked to be broadcast if a count proves it small; ``width``: bytes of a row."""
     n, size = df.agg(F.count(F.lit(1)), F.sum(width + 64)).first()
     return F.broadcast(df) if n <= MOST_ROWS and (size or 0) <= MOST_BYTES else df.hint("merge")
 
@@ -234,7 +235,7 @@ def match_by_table(lines: DataFrame, table: DataFrame, literal_prefilter: bool =
         # A line that a pattern without literals matches brings that match as one more row,
         # by one of many keys: no task gets all of them.
         index = index.drop("gram").unionByName(index.sparkSession.range(MARKERS).select(F.col("id").alias("run")), allowMissingColumns=True)
-        index = _broadcast_if_small(index, F.coalesce(F.octet_length(F.to_json(F.struct(*index.columns))), F.lit(0)))
+        index = broadcast_if_small(index, F.coalesce(F.octet_length(F.to_json(F.struct(*index.columns))), F.lit(0)))
         marker = F.when(F.col("_free").isNull(), F.array().cast("array<long>")).otherwise(F.array(F.col("_id") % MARKERS))
         found = rows.select(*keep, "_id", "_free", runs("_low").alias("_runs"))
         found = found.select(*keep, "_id", "_free", F.explode_outer(F.concat(marker, "_runs")).alias("run")).join(index, "run")

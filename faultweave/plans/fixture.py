@@ -101,26 +101,38 @@ def arriving(spark: SparkSession, sf_dir: str, folder: str, part: int, parts: in
     rows.write.mode("append").partitionBy("source").text(folder)
 
 
+def _nine(number: Column) -> Column:
+    """A number in nine characters: cut behind them if it is longer, as SQL's ``lpad`` does."""
+    return F.lpad(number.cast("string"), 9, "0")
+
+
+def _text(*parts: str | Column) -> Column:
+    """The parts one after the other; null if one of them is."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log line for each order."""
+    """A log line for each order; without text if a part of it is null."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    line = F.format_string("%sZ ERROR order %d of Customer#%09d is %s, %s", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    line = _text(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "Z ERROR order ", o.o_orderkey, " of Customer#", _nine(o.o_custkey), " is ", o.o_orderstatus, ", ", o.o_orderpriority)
     return o.select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("line_num"), line.alias("line"))
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns, some for each customer, part and supplier, and one without a literal."""
+    """Patterns, some for each customer, part and supplier, and one without a literal. A row
+    without a key has none."""
 
     def of(table: str, key: str, first: int, name: str, category: str, severity: str, regex) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         number = F.col(key)
-        return rows.select((number * 4 + first).alias("priority"), F.format_string(f"{name}_%d", number).alias("name"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), regex(number).alias("regex"))
+        rows = rows.where(number.isNotNull())
+        return rows.select((number * 4 + first).alias("priority"), _text(f"{name}_", number).alias("name"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), regex(number).alias("regex"))
 
     return (
-        of("customer", "c_custkey", 1_000_000, "open", "DB Lock", "ERROR", lambda n: F.format_string(r"(?i)order (\d+) of customer#%09d is [ep]", n))
-        .unionByName(of("customer", "c_custkey", 1_000_003, "low", "Timeout", "WARN", lambda n: F.format_string(r"Customer#%09d is (\w), \d-LOW", n)))
-        .unionByName(of("part", "p_partkey", 2, "part", "Disk I/O", "FATAL", lambda n: F.format_string(r"order %d of (C)", n)))
-        .unionByName(of("supplier", "s_suppkey", 1, "supplier", "Network", "CRITICAL", lambda n: F.format_string(r"Supplier#%09d (refused)", n)))
+        of("customer", "c_custkey", 1_000_000, "open", "DB Lock", "ERROR", lambda n: _text(r"(?i)order (\d+) of customer#", _nine(n), " is [ep]"))
+        .unionByName(of("customer", "c_custkey", 1_000_003, "low", "Timeout", "WARN", lambda n: _text("Customer#", _nine(n), r" is (\w), \d-LOW")))
+        .unionByName(of("part", "p_partkey", 2, "part", "Disk I/O", "FATAL", lambda n: _text("order ", n, " of (C)")))
+        .unionByName(of("supplier", "s_suppkey", 1, "supplier", "Network", "CRITICAL", lambda n: _text("Supplier#", _nine(n), " (refused)")))
         .unionByName(spark.sql(r"SELECT 2000000 AS priority, 'sevens' AS name, 'Signal' AS category, 'WARN' AS severity, r'\b\d{3}77\b' AS regex"))
     )
 

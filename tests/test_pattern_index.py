@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import pytest
 
 from faultweave.functions.patterns import DEFAULT_PATTERNS, Pattern
 from faultweave.operators.match import match_lines, match_lines_table, patterns_table
 from faultweave.operators.pattern_index import pattern_index, prepared
+from faultweave.plans.queries import QUERIES, SQL
 
 from test_match import TRUTH, lines
 
@@ -99,3 +101,32 @@ def test_equal_priority_and_name(spark):
     table = spark.createDataFrame([(1, "a", "Panic", "WARN", "abc"), (1, "a", "Network", "FATAL", "xyz (\\d)")], "priority int, name string, category string, severity string, regex string")
     found = match_lines_table(lines(spark, ["an abc", "an xyz 7", "abc xyz 8"]), table).collect()
     assert sorted((r.line_num, r.category, r.severity, r.submatch) for r in found) == [(1, "Panic", "WARN", None), (2, "Network", "FATAL", ["7"]), (3, "Panic", "WARN", None)]
+
+
+#: Rules that share a priority, lines that share a number, keys of over nine characters, negative ones and nulls.
+SHARED = """CREATE TABLE customer AS SELECT unnest([7, 7, 8, 250000, 1000000005, 1000000007, -5, NULL])::BIGINT AS c_custkey;
+    CREATE TABLE part AS SELECT unnest([9, 9, 11, NULL])::BIGINT AS p_partkey;
+    CREATE TABLE supplier AS SELECT unnest([1, 1, NULL])::BIGINT AS s_suppkey;
+    CREATE TABLE orders AS SELECT a::BIGINT AS o_orderkey, b::BIGINT AS o_custkey, c AS o_orderstatus, d AS o_orderpriority, e::TIMESTAMP AS o_orderdate FROM (VALUES
+        (600001, 250000, 'P', '2-HIGH', '1998-02-06'), (600002, 250000, 'F', '5-LOW', '1998-02-06'), (10077, 3, 'F', '2-HIGH', '1998-02-06'), (5, 7, 'P', '2-HIGH', '1998-02-06'), (5, 8, 'F', '2-HIGH', '1998-02-06'),
+        (5, NULL, 'F', '2-HIGH', '1998-02-06'), (6, 7, 'P', '5-LOW', '1998-02-06'), (9, 3, 'F', '2-HIGH', '1998-02-06'), (11, 3, 'F', '2-HIGH', '1998-02-06'), (11, 7, 'P', '2-HIGH', '1998-02-06'), (12, 8, 'P', '5-LOW', '1998-02-06'),
+        (700000, 1000000007, 'P', '2-HIGH', '1998-02-06'), (700001, -5, 'P', '2-HIGH', '1998-02-06'), (700002, NULL, 'P', '2-HIGH', '1998-02-06'), (NULL, 8, 'P', '2-HIGH', '1998-02-06'), (NULL, 8, 'P', '5-LOW', '1998-02-06'),
+        (700003, 8, NULL, '2-HIGH', '1998-02-06'), (700004, 8, 'P', NULL, '1998-02-06'), (700005, 8, 'P', '5-LOW', NULL), (13, 4, 'F', '2-HIGH', '1998-02-06')) v(a, b, c, d, e)"""
+
+
+@pytest.mark.parametrize("shared, small", [("all", True), ("all", False), ("rules", True), ("lines", True), ("none", True)])
+def test_query_equals_sql_where_keys_are_shared(spark, tmp_path, monkeypatch, shared, small):
+    if not small:
+        monkeypatch.setattr("faultweave.operators.pattern_index.MOST_ROWS", 0)
+    con = duckdb.connect()
+    con.execute(SHARED)
+    for table, key in (("customer", "c_custkey"), ("part", "p_partkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey")):
+        if shared == "none" or (shared != "all" and (table == "orders") != (shared == "lines")):
+            con.execute(f"CREATE OR REPLACE TABLE {table} AS SELECT DISTINCT ON ({key}) * FROM {table} WHERE {key} IS DISTINCT FROM 250000 ORDER BY ALL")
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    df = QUERIES["pattern_table_large"](spark, str(tmp_path))
+    want = con.execute(SQL["pattern_table_large"])
+    columns = [c[0] for c in want.description]
+    key = lambda r: tuple(map(str, r))
+    assert df.columns == columns and sorted((tuple(r) for r in df.collect()), key=key) == (rows := sorted(want.fetchall(), key=key))
+    assert len(rows) > len({r[0] for r in rows}) or shared == "none"
